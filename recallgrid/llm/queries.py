@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import toxicity
+from . import toxicity, winnowing
 
 QUERIES = {
     "op3_toxicity": toxicity.op,
+    "op5_benchmark_decontamination": winnowing.op,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_benchmark_decontamination": winnowing.ORACLE,
+}
