@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import toxicity, winnowing
+from . import ngram_join, toxicity, winnowing
 
 QUERIES = {
+    "op2_ngram_jaccard_join": ngram_join.op,
     "op3_toxicity": toxicity.op,
     "op5_benchmark_decontamination": winnowing.op,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": ngram_join.ORACLE,
     "op5_benchmark_decontamination": winnowing.ORACLE,
 }
