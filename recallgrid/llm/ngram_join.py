@@ -396,7 +396,7 @@ def op(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{textvec.WORD_SQL}') AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - {N - 2}), i -> array_to_string(w[i : i + {N - 1}], ' ')) END)) AS grams FROM w WHERE len(w) > 0),
+      ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i : i + {N - 1}], ' ')) END)) AS grams FROM w WHERE len(w) > 0),
 v AS (SELECT row_number() OVER (ORDER BY min(doc_id)) AS v, list_sort(list(DISTINCT doc_id)) AS docs, grams, len(grams) AS n FROM s GROUP BY grams),
 g AS (SELECT v, unnest(grams) AS g FROM v),
 c AS (SELECT a.v AS va, b.v AS vb, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.v < b.v GROUP BY a.v, b.v),

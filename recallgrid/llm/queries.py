@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_join, toxicity, winnowing
+from . import ngram_join, secrets, sentencepiece_spans, toxicity, winnowing
 
 QUERIES = {
+    "op1_secret_scan": secrets.op,
     "op2_ngram_jaccard_join": ngram_join.op,
     "op3_toxicity": toxicity.op,
     "op5_benchmark_decontamination": winnowing.op,
+    "op8_sentencepiece": sentencepiece_spans.op,
 }
 
 ORACLE_SQL: dict[str, str] = {

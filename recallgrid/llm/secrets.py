@@ -240,7 +240,7 @@ _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in ".-/+"]] = True
 
 
-def find(column: pa.Array) -> list[tuple[int, int, int, str, float]]:
+def find(column: pa.Array, m: dict) -> list[tuple[int, int, int, str, float]]:
     """(row, first byte, byte after, kind, score) of all secrets; bytes count from the start of the row."""
     raw, row_at = textvec.bytes_of(column)
     inside = np.zeros(len(raw) + 2, np.int8)
@@ -271,7 +271,6 @@ def find(column: pa.Array) -> list[tuple[int, int, int, str, float]]:
     before = np.where(start > row_at[row], raw[np.maximum(start - 1, 0)], 0)
     for i in np.flatnonzero(np.isin(before, np.frombuffer(b"=:\"'` \t\n", np.uint8))):
         keyed[i] = CONTEXT.search(raw[max(row_at[row[i]], start[i] - 40) : start[i]].tobytes().decode("latin-1")) is not None
-    m = model()
     scores = likelihoods(m, raw, start, end, keyed)
     secret = m["secret"]
     fits = scores / (end - start + keyed)[:, None] >= m["floor"][None, :]
@@ -283,9 +282,9 @@ def find(column: pa.Array) -> list[tuple[int, int, int, str, float]]:
     return [(int(row[i]), int(start[i] - row_at[row[i]]), int(end[i] - row_at[row[i]]), names[best[i]], round(float(gain[i]), 4)) for i in hit]
 
 
-def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _scan(batch: pa.RecordBatch, m: dict) -> pa.RecordBatch:
     texts, out = batch.column("text"), []
-    for row, a, b, kind, score in find(texts):
+    for row, a, b, kind, score in find(texts, m):
         raw = texts[row].as_py().encode()
         begin = len(raw[:a].decode())
         out.append((batch.column("doc_id")[row].as_py(), begin, begin + b - a, kind, score, raw[a:b].decode()))
@@ -296,13 +295,15 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def scan(documents: DataFrame) -> DataFrame:
     """One row for every secret in every text."""
-    return batches.map_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _scan, SCHEMA)
+    shared = documents.sparkSession.sparkContext.broadcast(model())
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return batches.map_text(texts, lambda batch: _scan(batch, shared.value), SCHEMA)
 
 
-def _redact(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _redact(batch: pa.RecordBatch, m: dict) -> pa.RecordBatch:
     at = batch.schema.get_field_index("text")
     spans: dict[int, list] = {}
-    for row, a, b, _, _ in find(batch.column(at)):
+    for row, a, b, _, _ in find(batch.column(at), m):
         spans.setdefault(row, []).append((a, b))
     if not spans:
         return batch
@@ -326,7 +327,8 @@ def _redact(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def redact(documents: DataFrame) -> DataFrame:
     """All documents with their secrets replaced; one pass, no shuffle."""
-    return batches.map_text(documents, _redact, documents.schema)
+    shared = documents.sparkSession.sparkContext.broadcast(model())
+    return batches.map_text(documents, lambda batch: _redact(batch, shared.value), documents.schema)
 
 
 def op(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,16 +92,16 @@ class CharacterMap:
     def _active(self) -> re.Pattern | None:
         """Finds any character that the map changes by itself or that only longer keys use."""
         chars = set()
-        for key in self.keys():
+        keys = self.keys()
+        for key in keys:
             text = key.decode("utf-8", "ignore")
             if len(text) == 1:
                 length, to = self.longest(key, 0)
                 if to != key:
                     chars.add(text)
             chars.update(text[1:])
+        self.ascii = any(k.isascii() for k in keys)
         chars = {c for c in chars if not c.isascii()}
-        if any(not k.decode("utf-8", "ignore")[1:].isascii() or k.isascii() for k in self.keys()) and not chars:
-            return re.compile("(?s).")
         if not chars:
             return None
         codes, parts = sorted(map(ord, chars)), []
@@ -195,7 +195,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 normal.append(b"")
-            elif "  " in text or text[0] == " " or (not text.isascii() and (SPACE in text or active is not None and active.search(text))):
+            elif "  " in text or text[0] == " " or text[-1] == " " or self.map.ascii or (not text.isascii() and (SPACE in text or active is not None and active.search(text))):
                 whole[i] = self.encode_whole(text)
                 normal.append(whole[i][3])
             else:
