@@ -34,8 +34,8 @@ from . import batches, textvec
 N = 2
 THRESHOLD = 0.7
 #: Keys that the broadcast order holds, and the least document frequency of interest.
-HOT_KEYS = 1 << 21
-HOT_FLOOR = 16
+HOT_KEYS = 1 << 22
+HOT_FLOOR = 4
 #: Keys that a task holds before it writes them out.
 FLUSH = 6_000_000
 #: Variants of one verifying task are split into blocks of about this many.
@@ -149,7 +149,7 @@ def frequent(documents: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray]:
             break
         floor = row["df"]
     table = hot.where(F.col("df") >= floor).toArrow()
-    keys, df = table["key"].to_numpy().astype(np.uint64), table["df"].to_numpy().astype(np.uint64)
+    keys, df = table["key"].to_numpy().astype(np.uint64), table["df"].to_numpy().astype(np.uint8)
     order = np.argsort(keys)
     return keys[order], df[order]
 
@@ -161,7 +161,7 @@ def ordered(g: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         return g >> np.uint64(8)
     key = g >> np.uint64(24)
     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    rank = np.where(keys[at] == key, df[at], np.uint64(0))
+    rank = np.where(keys[at] == key, df[at], 0).astype(np.uint64)
     return (rank << np.uint64(56)) | (g >> np.uint64(8))
 
 
