@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import ngram_join, secrets, sentencepiece_spans, toxicity, winnowing
+from . import language, lattice_lm, ngram_join, secrets, sentencepiece_spans, toxicity, winnowing
 
 QUERIES = {
     "op1_secret_scan": secrets.op,
     "op2_ngram_jaccard_join": ngram_join.op,
     "op3_toxicity": toxicity.op,
     "op5_benchmark_decontamination": winnowing.op,
+    "op7_lm_score": lattice_lm.op,
     "op8_sentencepiece": sentencepiece_spans.op,
+    "op10_language": language.op,
 }
 
 ORACLE_SQL: dict[str, str] = {
