@@ -3,10 +3,11 @@
 A document is the set of its word n-grams. Under one order of all n-grams, two sets with Jaccard
 similarity t or more share an n-gram among their first |x| - ceil(t |x|) + 1, their prefixes. Documents
 with the same prefix and size collapse into one group; groups that share a prefix n-gram and whose sizes
-allow the threshold are candidates; their members are then expanded and verified on the whole sets.
+allow the threshold are candidates; their members are then expanded, compared by parity sketches that bound
+the overlap from above, and what is left is verified on the whole sets.
 
-The order puts rare n-grams first. Document frequencies are counted over all documents by 40 bits of
-the hash, and the most frequent keys (at most HOT_KEYS of them: the floor rises until they fit) are sent
+The order puts rare n-grams first. Document frequencies are counted over all documents by the
+leading bits of the hash (32 and those that number a bucket), and the most frequent keys (at most HOT_KEYS of them: the floor rises until they fit) are sent
 to every task. Any order gives the same result; a coarser one only makes more candidates.
 
 Documents with equal sets are one variant, so that a thousand copies cost one comparison. A row of the
@@ -51,17 +52,20 @@ def _buckets(spark: SparkSession) -> int:
     return max(4, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
+def _distinct(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row's distinct values in ascending order, and the offsets of the rows."""
+    values = values.copy()
+    for i in range(len(at) - 1):
+        values[at[i] : at[i + 1]].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[at[:-1][at[:-1] < len(values)]] = True
+    return values[new], np.concatenate([[0], np.cumsum(new)])[at]
+
+
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of every row, and the offsets of the rows."""
-    g, at = textvec.grams(textvec.words(column), n)
-    out, sizes = [], np.zeros(len(at) - 1, np.int64)
-    for i in range(len(at) - 1):
-        s = np.sort(g[at[i] : at[i + 1]])
-        if len(s) > 1:
-            s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-        sizes[i] = len(s)
-        out.append(s)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    return _distinct(*textvec.grams(textvec.words(column), n))
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -76,10 +80,10 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(sorted_)]]))
 
 
-def frequent(documents: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent 40-bit keys over all documents, ascending, and the binary logarithm of how many documents hold each."""
+def frequent(documents: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent keys over all documents, ascending; the binary logarithm of how many documents hold each; the bits of a key."""
     bits = _buckets(documents.sparkSession)
-    rest = 40 - bits
+    rest = 32
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -90,7 +94,7 @@ def frequent(documents: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray]:
             first, many = _runs(keys)
             keys = keys[first]
             edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(rest))
-            low = (keys & np.uint64((1 << rest) - 1)).astype("<u8" if rest > 32 else "<u4")
+            low = (keys & np.uint64((1 << rest) - 1)).astype("<u4")
             one = many == 1
             bucket, ones, more, counts = [], [], [], []
             for b in range(1 << bits):
@@ -105,7 +109,7 @@ def frequent(documents: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray]:
 
         for batch in rows:
             for part in batches.text_slices(batch, "text"):
-                held.append(_sets(part.column("text"), n)[0] >> np.uint64(24))
+                held.append(_sets(part.column("text"), n)[0] >> np.uint64(32 - bits))
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield flush()
@@ -114,7 +118,7 @@ def frequent(documents: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
 
     def merge(table: pa.Table) -> pa.Table:
-        kind = "<u8" if rest > 32 else "<u4"
+        kind = "<u4"
         ones = np.concatenate([np.frombuffer(x, kind) for x in table["ones"].to_pylist()])
         more = np.concatenate([np.frombuffer(x, kind) for x in table["more"].to_pylist()])
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
@@ -151,15 +155,15 @@ def frequent(documents: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     table = hot.where(F.col("df") >= floor).toArrow()
     keys, df = table["key"].to_numpy().astype(np.uint64), table["df"].to_numpy().astype(np.uint8)
     order = np.argsort(keys)
-    return keys[order], df[order]
+    return keys[order], df[order], rest + bits
 
 
 def ordered(g: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """n-gram hashes as numbers whose order is the global order: frequency first, then 56 bits of the hash."""
-    keys, df = hot
+    keys, df, bits = hot
     if not len(keys):
         return g >> np.uint64(8)
-    key = g >> np.uint64(24)
+    key = g >> np.uint64(64 - bits)
     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
     rank = np.where(keys[at] == key, df[at], 0).astype(np.uint64)
     return (rank << np.uint64(56)) | (g >> np.uint64(8))
@@ -179,12 +183,10 @@ class Sets:
     """The ordered sets of a slice of documents with their group and variant keys."""
 
     def __init__(self, column: pa.Array, n: int, threshold: float, hot):
-        g, self.at = _sets(column, n)
+        g, at = textvec.grams(textvec.words(column), n)
+        self.value, self.at = _distinct(ordered(g, hot), at)
         self.size = np.diff(self.at)
-        value = ordered(g, hot)
-        for i in range(len(self.size)):
-            value[self.at[i] : self.at[i + 1]].sort()
-        self.value = value
+        value = self.value
         self.prefix = np.where(self.size > 0, prefix_size(self.size, threshold), 0)
         self.set = _fold(value, self.at, 11).view(np.int64)
         self.where = batches.ragged(self.at[:-1], self.prefix)
@@ -192,19 +194,35 @@ class Sets:
         self.group = textvec.mix(_fold(value[self.where], ends, 13) + self.size.astype(np.uint64)).view(np.int64)
 
 
+    def sketch(self, i: int) -> bytes:
+        """Parity of how many members fall on each of about as many bits as there are members, 64 at least."""
+        bits = 1 << max(6, int(self.size[i] - 1).bit_length())
+        at = textvec.mix(self.value[self.at[i] : self.at[i + 1]] + np.uint64(19)) & np.uint64(bits - 1)
+        return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of how many members two sets do not share, from their sketches; the longer one is folded."""
+    while len(a) > len(b):
+        a = (int.from_bytes(a[: len(a) // 2], "little") ^ int.from_bytes(a[len(a) // 2 :], "little")).to_bytes(len(a) // 2, "little")
+    while len(b) > len(a):
+        b = (int.from_bytes(b[: len(b) // 2], "little") ^ int.from_bytes(b[len(b) // 2 :], "little")).to_bytes(len(b) // 2, "little")
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+
+
 def _members(batch: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
     keep = sets.size > 0
-    return pa.RecordBatch.from_arrays([pa.array(sets.group[keep]), pa.array(sets.set[keep]), pa.array(sets.size[keep].astype(np.int32)), batch.column("doc_id").filter(pa.array(keep))], ["grp", "variant", "size", "doc_id"])
+    return pa.RecordBatch.from_arrays([pa.array(sets.group[keep]), pa.array(sets.set[keep]), pa.array(sets.size[keep].astype(np.int32)), batch.column("doc_id").filter(pa.array(keep)), pa.array([sets.sketch(i) for i in np.flatnonzero(keep)], pa.binary())], ["grp", "variant", "size", "doc_id", "sketch"])
 
 
 def variants(documents: DataFrame, shared, n: int, threshold: float) -> DataFrame:
-    """(grp, variant, size, docs, rows): all documents, collapsed; written to the shared folder."""
+    """(grp, variant, size, sketch, docs, rows): all documents, collapsed; written to the shared folder."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return _members(batch, Sets(batch.column("text"), n, threshold, shared.value))
 
-    members = batches.map_text(_texts(documents), run, "grp long, variant long, size int, doc_id long")
-    return batches.cut(members.groupBy("grp", "variant").agg(F.first("size").alias("size"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.count("*").alias("rows")))
+    members = batches.map_text(_texts(documents), run, "grp long, variant long, size int, doc_id long, sketch binary")
+    return batches.cut(members.groupBy("grp", "variant").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.count("*").alias("rows")))
 
 
 def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFrame:
@@ -272,9 +290,20 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
     return posted.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """48 hash bits of every member, ascending, six bytes each."""
+    return np.sort(textvec.mix(values) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _verify(threshold: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        held = {v: np.frombuffer(x, "<u8") for v, x in zip(sets["variant"].to_pylist(), sets["values"].to_pylist())}
+        held = {v: _unpacked(x) for v, x in zip(sets["variant"].to_pylist(), sets["values"].to_pylist())}
         a, b, j = [], [], []
         for x, y in zip(pairs["va"].to_pylist(), pairs["vb"].to_pylist()):
             p, q = held[x], held[y]
@@ -297,12 +326,21 @@ def verified(documents: DataFrame, shared, known: DataFrame, grouped: DataFrame,
     Pairs are gathered at the least variant that either side meets, so that a set is sent about once to
     each place that compares it, however many partners it has there.
     """
-    side = known.select("grp", "variant", "size", F.col("docs")[0].alias("rep"))
+    side = known.select("grp", "variant", "size", "sketch", F.col("docs")[0].alias("rep"))
     left, right = (side.select(*[F.col(c).alias(f"{p}_{c}") for c in side.columns]) for p in "ab")
     across = grouped.join(left, F.col("a") == F.col("a_grp")).join(right, F.col("b") == F.col("b_grp"))
     within = left.join(right, (F.col("a_grp") == F.col("b_grp")) & (F.col("a_variant") < F.col("b_variant")))
-    picked = ["a_variant", "a_rep", "b_variant", "b_rep"]
-    pairs = across.where(F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-6).select(*picked).union(within.select(*picked))
+    close = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-6
+    picked = ["a_variant", "a_rep", "b_variant", "b_rep", "a_size", "b_size", "a_sketch", "b_sketch"]
+
+    def near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            total = batch.column("a_size").to_numpy().astype(np.int64) + batch.column("b_size").to_numpy()
+            least = np.fromiter(map(apart, batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist()), np.int64, batch.num_rows)
+            # |x and y| = (|x| + |y| - unshared) / 2 must reach t / (1 + t) (|x| + |y|)
+            yield batch.select(picked[:4]).filter(pa.array(least <= total * (1 - threshold) / (1 + threshold) + 1e-6))
+
+    pairs = across.where(close).select(*picked).union(within.select(*picked)).mapInArrow(near, "a_variant long, a_rep long, b_variant long, b_rep long")
     pairs = batches.cut(pairs)
     ends = pairs.select(F.col("a_variant").alias("v"), F.col("b_variant").alias("o")).union(pairs.select("b_variant", "a_variant"))
     least = ends.groupBy("v").agg(F.least(F.first("v"), F.min("o")).alias("home"))
@@ -326,7 +364,7 @@ def verified(documents: DataFrame, shared, known: DataFrame, grouped: DataFrame,
         task, variant, values = [], [], []
         for i, tasks in enumerate(batch.column("tasks").to_pylist()):
             if sets.set[i] == wanted[i]:  # a doc_id may have several texts
-                raw = sets.value[sets.at[i] : sets.at[i + 1]].astype("<u8").tobytes()
+                raw = _packed(sets.value[sets.at[i] : sets.at[i + 1]])
                 for t in tasks:
                     task.append(t), variant.append(wanted[i]), values.append(raw)
         return pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array(variant, pa.int64()), pa.array(values, pa.binary())], ["task", "variant", "values"])
