@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one call of a batch function sees, unless a single row is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 21
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ THRESHOLD = 0.7
 HOT_KEYS = 1 << 22
 HOT_FLOOR = 4
 #: Keys that a task holds before it writes them out.
-FLUSH = 6_000_000
+FLUSH = 3_000_000
 #: Variants of one verifying task are split into blocks of about this many.
 BLOCK = 512
 #: Rows of a lookup that may be broadcast; more go through a shuffled join.
@@ -80,8 +80,8 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(sorted_)]]))
 
 
-def frequent(documents: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent keys over all documents, ascending; the binary logarithm of how many documents hold each; the bits of a key."""
+def frequent(documents: DataFrame, n: int = N) -> Order:
+    """The most frequent keys over all documents, each with the binary logarithm of how many documents hold it."""
     bits = _buckets(documents.sparkSession)
     rest = 32
 
@@ -155,18 +155,34 @@ def frequent(documents: DataFrame, n: int = N) -> tuple[np.ndarray, np.ndarray,
     table = hot.where(F.col("df") >= floor).toArrow()
     keys, df = table["key"].to_numpy().astype(np.uint64), table["df"].to_numpy().astype(np.uint8)
     order = np.argsort(keys)
-    return keys[order], df[order], rest + bits
+    return Order(keys[order], df[order], rest + bits)
 
 
-def ordered(g: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+class Order:
+    """The frequent keys behind an index over their leading bits, so that a look-up touches two places and no more."""
+
+    def __init__(self, keys: np.ndarray, df: np.ndarray, bits: int):
+        self.keys, self.df, self.bits = keys, df, bits
+        self.lead = min(bits, max(1, len(keys).bit_length() + 1))
+        self.index = np.searchsorted(keys, np.arange((1 << self.lead) + 1, dtype=np.uint64) << np.uint64(bits - self.lead)).astype(np.uint32)
+
+    def ranks(self, key: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key), np.uint64)
+        lead = (key >> np.uint64(self.bits - self.lead)).astype(np.int64)
+        at, end = self.index[lead], self.index[lead + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            here = at[live]
+            hit = self.keys[here] == key[live]
+            out[live[hit]] = self.df[here[hit]]
+            at[live] += 1
+            live = live[~hit & (here + 1 < end[live])]
+        return out
+
+
+def ordered(g: np.ndarray, hot: Order) -> np.ndarray:
     """n-gram hashes as numbers whose order is the global order: frequency first, then 56 bits of the hash."""
-    keys, df, bits = hot
-    if not len(keys):
-        return g >> np.uint64(8)
-    key = g >> np.uint64(64 - bits)
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    rank = np.where(keys[at] == key, df[at], 0).astype(np.uint64)
-    return (rank << np.uint64(56)) | (g >> np.uint64(8))
+    return (hot.ranks(g >> np.uint64(64 - hot.bits)) << np.uint64(56)) | (g >> np.uint64(8))
 
 
 def prefix_size(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -286,7 +302,7 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
             pairs = pairs[:, pairs[0] != pairs[1]]
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    posted = batches.map_text(_texts(documents).select("text"), post, "bucket int, token binary, grp binary, size binary, before binary", max_bytes=4 * batches.SLICE_BYTES)
+    posted = batches.map_text(_texts(documents).select("text"), post, "bucket int, token binary, grp binary, size binary, before binary")
     return posted.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
 
 
