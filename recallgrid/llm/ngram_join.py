@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,20 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
+def _pack(values: np.ndarray, bits: int) -> bytes:
+    """Ascending numbers: their low bits as they are, the differences of the 16 bits above compressed."""
+    kind = "<u2" if bits == 16 else "<u4"
+    high = np.diff((values >> values.dtype.type(bits)).astype(np.int64), prepend=0).astype("<u2")
+    return len(values).to_bytes(4, "little") + values.astype(kind).tobytes() + zstandard.ZstdCompressor(level=1).compress(high.tobytes())
+
+
+def _unpack(raw: bytes, bits: int) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    end = 4 + n * bits // 8
+    high = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[end:]), "<u2").astype(np.uint64), dtype=np.uint64)
+    return (high << np.uint64(bits)) | np.frombuffer(raw[4:end], "<u2" if bits == 16 else "<u4")
+
+
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index and length of each run of equal values."""
     if not len(sorted_):
@@ -101,8 +116,8 @@ def frequent(documents: DataFrame, n: int = N) -> Order:
                 part = slice(edges[b], edges[b + 1])
                 if edges[b] < edges[b + 1]:
                     bucket.append(b)
-                    ones.append(low[part][one[part]].tobytes())
-                    more.append(low[part][~one[part]].tobytes())
+                    ones.append(_pack(low[part][one[part]], 16))
+                    more.append(_pack(low[part][~one[part]], 16))
                     counts.append(many[part][~one[part]].astype("<u4").tobytes())
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "ones", "more", "counts"])
@@ -118,9 +133,8 @@ def frequent(documents: DataFrame, n: int = N) -> Order:
             yield flush()
 
     def merge(table: pa.Table) -> pa.Table:
-        kind = "<u4"
-        ones = np.concatenate([np.frombuffer(x, kind) for x in table["ones"].to_pylist()])
-        more = np.concatenate([np.frombuffer(x, kind) for x in table["more"].to_pylist()])
+        ones = np.concatenate([_unpack(x, 16) for x in table["ones"].to_pylist()]).astype(np.uint32)
+        more = np.concatenate([_unpack(x, 16) for x in table["more"].to_pylist()]).astype(np.uint32)
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
         ones = np.sort(ones)
         first, many = _runs(ones)
@@ -207,7 +221,8 @@ class Sets:
         self.set = _fold(value, self.at, 11).view(np.int64)
         self.where = batches.ragged(self.at[:-1], self.prefix)
         ends = np.concatenate([[0], np.cumsum(self.prefix)])
-        self.group = textvec.mix(_fold(value[self.where], ends, 13) + self.size.astype(np.uint64)).view(np.int64)
+        # 48 bits: two groups that happen to share a number are candidates of one another's partners, which verification settles
+        self.group = (textvec.mix(_fold(value[self.where], ends, 13) + self.size.astype(np.uint64)) >> np.uint64(16)).view(np.int64)
 
 
     def sketch(self, i: int) -> bytes:
@@ -259,17 +274,20 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
         before[starts] = 0
         group = np.repeat(sets.group[one], length)
         size = np.repeat((np.log(sets.size[one]) * SIZE_STEPS).astype("<u2"), length)
-        bucket = (token >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-        parts = [x[order] for x in ((token & np.uint64(0xFFFFFFFF)).astype("<u4"), group.astype("<i8"), size, before.astype("<u4"))]
+        order = np.argsort(token)
+        token, group = token[order], group[order]
+        edges = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        low = ((token >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        parts = [(group & 0xFFFFFFFF).astype("<u4"), (group >> 32).astype("<u2"), size[order], before.astype("<u4")[order]]
         used = np.flatnonzero(np.diff(edges))
-        columns = [pa.array(used.astype(np.int32))] + [pa.array([p[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary()) for p in parts]
-        return pa.RecordBatch.from_arrays(columns, ["bucket", "token", "grp", "size", "before"])
+        columns = [pa.array(used.astype(np.int32)), pa.array([_pack(low[edges[b] : edges[b + 1]], 16) for b in used], pa.binary())] + [pa.array([p[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary()) for p in parts]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "token", "low", "high", "size", "before"])
 
     def pair(table: pa.Table) -> pa.Table:
         read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-        token, group, size, before = read("token", "<u4"), read("grp", "<i8"), read("size", "<u2").astype(np.int32), read("before", "<u4")
+        token = np.concatenate([_unpack(x, 16) for x in table["token"].to_pylist()]).astype(np.uint32)
+        group = (read("high", "<u2").astype(np.int64) << 32) | read("low", "<u4")
+        size, before = read("size", "<u2").astype(np.int32), read("before", "<u4")
         # only n-grams that several postings hold can make a pair
         order = np.argsort(token, kind="stable")
         first, many = _runs(token[order])
@@ -302,24 +320,13 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
             pairs = pairs[:, pairs[0] != pairs[1]]
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    posted = batches.map_text(_texts(documents).select("text"), post, "bucket int, token binary, grp binary, size binary, before binary")
+    posted = batches.map_text(_texts(documents).select("text"), post, "bucket int, token binary, low binary, high binary, size binary, before binary")
     return posted.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """48 hash bits of every member, ascending, six bytes each."""
-    return np.sort(textvec.mix(values) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _verify(threshold: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        held = {v: _unpacked(x) for v, x in zip(sets["variant"].to_pylist(), sets["values"].to_pylist())}
+        held = {v: _unpack(x, 32) for v, x in zip(sets["variant"].to_pylist(), sets["values"].to_pylist())}
         a, b, j = [], [], []
         for x, y in zip(pairs["va"].to_pylist(), pairs["vb"].to_pylist()):
             p, q = held[x], held[y]
@@ -380,7 +387,7 @@ def verified(documents: DataFrame, shared, known: DataFrame, grouped: DataFrame,
         task, variant, values = [], [], []
         for i, tasks in enumerate(batch.column("tasks").to_pylist()):
             if sets.set[i] == wanted[i]:  # a doc_id may have several texts
-                raw = _packed(sets.value[sets.at[i] : sets.at[i + 1]])
+                raw = _pack(np.sort(textvec.mix(sets.value[sets.at[i] : sets.at[i + 1]]) >> np.uint64(16)), 32)
                 for t in tasks:
                     task.append(t), variant.append(wanted[i]), values.append(raw)
         return pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array(variant, pa.int64()), pa.array(values, pa.binary())], ["task", "variant", "values"])
