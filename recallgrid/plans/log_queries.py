@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recallgrid.functions import text
-from recallgrid.operators import calendar, consolidate, context, feedback, store
+from recallgrid.operators import calendar, consolidate, context, feedback, maintain, relations, store
 from recallgrid.streaming import ingest
 
 from . import standins as s
@@ -209,3 +209,41 @@ def extracted_facts(spark, sf):
 
     lines = ingest.extract(docs.where("CAST(id AS INT) % 2 = 0"), extractor)
     return lines.agg(F.count("*").alias("n"), F.min(F.col("doc").cast("bigint")).alias("first"))
+
+
+@query(f"WITH {s.FACTS} SELECT coalesce(category, 'general') AS bank, count(*) AS facts FROM facts GROUP BY 1")
+def bank_counts(spark, sf):
+    return maintain.bank_counts(s.facts(spark, sf))
+
+
+@query("SELECT count(*) AS n, max(o_orderkey) AS last_id, max(o_orderdate) AS last_change FROM orders")
+def change_key(spark, sf):
+    return maintain.change_key(s.table(spark, sf, "orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_orderdate").alias("updated_at")))
+
+
+@query("""WITH n AS (SELECT 'n' || c_custkey || CASE c_custkey % 9 WHEN 0 THEN ' Engineer' ELSE '' END AS name, CASE c_custkey % 2 WHEN 0 THEN 'idea' ELSE 'person' END AS type, c_custkey FROM customer),
+e AS (SELECT 'n' || c_custkey || CASE c_custkey % 9 WHEN 0 THEN ' Engineer' ELSE '' END AS src FROM customer WHERE c_custkey % 6 = 0)
+SELECT name FROM n WHERE type = 'idea' AND (name IN (SELECT src FROM e) OR name LIKE '%Engineer')""")
+def job_nodes(spark, sf):
+    name = F.concat(F.lit("n"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 9 == 0, " Engineer").otherwise(""))
+    c = s.table(spark, sf, "customer").select(name.alias("name"), F.when(F.col("c_custkey") % 2 == 0, "idea").otherwise("person").alias("type"), "c_custkey")
+    edges = c.where("c_custkey % 6 = 0").select(F.col("name").alias("src"), F.lit("APPLIED_TO").alias("rel"), F.lit("Acme").alias("dst"))
+    return maintain.job_nodes(c, edges)
+
+
+@query(f"""WITH {s.FACTS} SELECT 'holo_fact_' || fact_id AS vid, category AS type, CAST(length(content) AS DOUBLE) AS first FROM facts WHERE trim(content) <> '' AND fact_id NOT IN (SELECT vec_id FROM embeddings)""")
+def new_vectors(spark, sf):
+    def embed(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = maintain.vectorize(s.facts(spark, sf), s.vectors(spark, sf), embed, 1)
+    return rows.select("vid", "type", F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query("""WITH e AS (SELECT 'Ann ' || (event_id % 50) AS a, 'Acme ' || (user_id % 20) AS b FROM events WHERE event_id < 400)
+SELECT b AS src, 'OWNS' AS rel, a AS dst, 'owned by' AS rel_orig, count(*) AS n FROM e GROUP BY a, b""")
+def canonical_edges(spark, sf):
+    e = s.table(spark, sf, "events").where("event_id < 400")
+    a, b = F.concat(F.lit("Ann "), (F.col("event_id") % 50).cast("string")), F.concat(F.lit("Acme "), (F.col("user_id") % 20).cast("string"))
+    edges = e.select(a.alias("src"), F.lit("owned by").alias("rel"), b.alias("dst"), F.lit("doc:1").alias("source_ref"))
+    return relations.canonical_edges(edges).groupBy("src", "rel", "dst", "rel_orig").agg(F.count("*").alias("n"))
