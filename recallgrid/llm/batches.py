@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -15,6 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 21
 
 
+_libc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; the allocator would keep it for a worker that may sit idle next to a busy one."""
+    pa.default_memory_pool().release_unused()
+    if _libc_trim is not None:
+        _libc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds at most max_bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -36,6 +47,7 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 out = fn(part)
                 if out is not None:
                     yield out
+            trim()
 
     return df.mapInArrow(run, schema)
 

@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by grouped prefixes.
 
 A document is the set of its word n-grams. Under one order of all n-grams, two sets with Jaccard
-similarity t or more share an n-gram among their first |x| - ceil(t |x|) + 1, their prefixes. Documents
+similarity t or more share an n-gram among their first |x| - ceil(t |x|) + 1, their prefixes; of the smaller set the first
+|y| - ceil(2t / (1 + t) |y|) + 1 will do. Documents
 with the same prefix and size collapse into one group; groups that share a prefix n-gram and whose sizes
 allow the threshold are candidates; their members are then expanded, compared by parity sketches that bound
 the overlap from above, and what is left is verified on the whole sets.
@@ -39,13 +40,15 @@ THRESHOLD = 0.7
 HOT_KEYS = 1 << 22
 HOT_FLOOR = 4
 #: Keys that a task holds before it writes them out.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 #: Variants of one verifying task are split into blocks of about this many.
 BLOCK = 512
 #: Rows of a lookup that may be broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 500_000
 
-SIZE_STEPS = 2000
+#: A posting carries the logarithm of the size in so many steps, and in the bit above whether it lies in the shorter prefix.
+SIZE_STEPS = 1000
+SHORT = 1 << 15
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -120,6 +123,7 @@ def frequent(documents: DataFrame, n: int = N) -> Order:
                     more.append(_pack(low[part][~one[part]], 16))
                     counts.append(many[part][~one[part]].astype("<u4").tobytes())
             held.clear()
+            batches.trim()
             return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "ones", "more", "counts"])
 
         for batch in rows:
@@ -155,6 +159,7 @@ def frequent(documents: DataFrame, n: int = N) -> Order:
         total = np.add.reduceat(total[order], first) if len(first) else total[:0]
         keys = keys[order][first] if len(first) else keys[:0]
         hot = total >= HOT_FLOOR
+        batches.trim()
         bucket = np.int64(table["bucket"][0].as_py())
         return pa.table({"key": (bucket << np.int64(rest)) | keys[hot].astype(np.int64), "df": np.log2(total[hot]).astype(np.int32)})
 
@@ -274,6 +279,9 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
         before[starts] = 0
         group = np.repeat(sets.group[one], length)
         size = np.repeat((np.log(sets.size[one]) * SIZE_STEPS).astype("<u2"), length)
+        short = sets.size[one] - np.ceil(2 * threshold / (1 + threshold) * sets.size[one] - 1e-9).astype(np.int64) + 1
+        place = np.arange(len(token)) - np.repeat(starts, length)
+        size[place < np.repeat(short, length)] |= SHORT
         order = np.argsort(token)
         token, group = token[order], group[order]
         edges = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -288,16 +296,17 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
         token = np.concatenate([_unpack(x, 16) for x in table["token"].to_pylist()]).astype(np.uint32)
         group = (read("high", "<u2").astype(np.int64) << 32) | read("low", "<u4")
         size, before = read("size", "<u2").astype(np.int32), read("before", "<u4")
+        short, size = size >= SHORT, size & (SHORT - 1)
         # only n-grams that several postings hold can make a pair
         order = np.argsort(token, kind="stable")
         first, many = _runs(token[order])
         order = order[np.repeat(many > 1, many)]
-        token, group, size, before = token[order], group[order], size[order], before[order]
+        token, group, size, before, short = token[order], group[order], size[order], before[order], short[order]
         order = np.lexsort((group, size, token))
-        token, group, size, before = token[order], group[order], size[order], before[order]
+        token, group, size, before, short = token[order], group[order], size[order], before[order], short[order]
         if len(token):
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
-            token, group, size, before = token[new], group[new], size[new], before[new]
+            token, group, size, before, short = token[new], group[new], size[new], before[new], short[new]
         active, step, found, held = np.arange(len(token)), 1, [], 0
         while len(active):
             active = active[active + step < len(token)]
@@ -306,6 +315,8 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
             active, other = active[near], other[near]
             # the pair was met at the n-gram before, if that is the same in both prefixes
             fresh = (before[active] != before[other]) | (before[active] == 0)
+            # the smaller set of a pair needs only its shorter prefix; sizes that round to the same may be either way round
+            fresh &= short[active] | (short[other] & (size[active] == size[other]))
             a, b = group[active[fresh]], group[other[fresh]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             held += len(a)
@@ -318,6 +329,7 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
         if pairs.shape[1]:
             pairs = pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])]
             pairs = pairs[:, pairs[0] != pairs[1]]
+        batches.trim()
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     posted = batches.map_text(_texts(documents).select("text"), post, "bucket int, token binary, low binary, high binary, size binary, before binary")
