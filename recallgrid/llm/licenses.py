@@ -31,11 +31,21 @@ MAX_GAP = 12
 COVERAGE = 0.75
 SCHEMA = "doc_id long, license string, begin int, end int, covered int, coverage double"
 
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
-whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
-notice shall be included in all copies or substantial portions of the Software."""
+_MIT = " ".join(
+    [
+        'Permission is hereby granted, free of charge, to',
+        'any person obtaining a copy of this software',
+        'and associated documentation files (the "Software"), to deal',
+        'in the Software without restriction, including without limitation',
+        'the rights to use, copy, modify, merge, publish,',
+        'distribute, sublicense, and/or sell copies of the Software,',
+        'and to permit persons to whom the Software',
+        'is furnished to do so, subject to the',
+        'following conditions: The above copyright notice and this',
+        'permission notice shall be included in all copies',
+        'or substantial portions of the Software.',
+    ]
+)
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
 following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions
 and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
