@@ -63,9 +63,9 @@ class Memory:
     def delete_vector(self, vid: str) -> None:
         self._append("vectors", [(vid, self._seq(), True)], "vid string, seq long, gone boolean")
 
-    def on_memory_write(self, action: str, target: str, content: str) -> None:
-        vid = f"{target}_{hashlib.sha256(content.encode()).hexdigest()[:12]}"
-        self.delete_vector(vid) if action == "remove" else self.upsert_vector(vid, content, target)
+    def on_memory_write(self, action: str, block: str, body: str) -> None:
+        vid = f"{block}_{hashlib.sha256(body.encode()).hexdigest()[:12]}"
+        self.delete_vector(vid) if action == "remove" else self.upsert_vector(vid, body, block)
 
     # turns
 

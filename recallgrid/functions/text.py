@@ -21,10 +21,10 @@ STOP_WORDS = sorted(
 LEGAL_FORMS = "bv co company corp corporation gmbh inc incorporated limited llc llp lp ltd nv pa plc pllc pty sa".split()
 JUNK_MARKERS = ("Direction: outboundPhone", "Direction: inboundPhoneCall", "Voice call just ended")
 #: What a displayed sample may not hold: mail addresses, long digit runs, money.
-PERSONAL = r"[\w.+-]+@[\w-]+\.\w+|\d[\d\s().-]{7,}\d|\$\s?\d"
+PERSONAL = r"[-+.\w]+@[-\w]+[.]\w+|\d[\d\s().-]{7,}\d|\$\s?\d"
 DURABLE = (
     r"(?i)\b(?:anniversary|birthday|equity|owns?|shares?|vesting|always|default|favou?rite|never)\b|\bprefer|\d{1,3}%"
-    r"|\b\d{1,2}/\d{1,2}(?:/\d{2,4})?\b|[\w.+-]+@[\w-]+\.[\w.]+|\+?\d[\d().\s-]{7,}\d"
+    r"|\b\d\d?/\d\d?(?:/\d{2,4})?\b|[-+.\w]+@[-\w]+[.][.\w]+|\+?\d[\d().\s-]{7,}\d"
 )
 
 

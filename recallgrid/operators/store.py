@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HIDDEN_TAGS = ("proposed", "rejected", "alias-candidate")
+HIDDEN_TAGS = ("alias-candidate", "proposed", "rejected")
 
 
 def fold_edges(log: DataFrame) -> DataFrame:

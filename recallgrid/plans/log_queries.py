@@ -92,7 +92,7 @@ def stale_decisions(spark, sf):
     return feedback.decision_signals(d, "1998-01-01 00:00:00")[2]
 
 
-@query(f"WITH {s.DECISIONS}, t AS (SELECT DISTINCT session_id, turn_number FROM decisions WHERE outcome IN ('accepted', 'rejected', 'modified')) SELECT session_id, count(*) AS turns FROM t GROUP BY 1")
+@query(f"WITH {s.DECISIONS}, t AS (SELECT DISTINCT session_id, turn_number FROM decisions WHERE outcome IN ('accepted', 'modified', 'rejected')) SELECT session_id, count(*) AS turns FROM t GROUP BY 1")
 def resolved_turns(spark, sf):
     d = s.decisions(spark, sf).withColumn("refs", F.array("fact_id")).withColumn("trust_applied", F.lit(0))
     return feedback.decision_signals(d, "1998-01-01 00:00:00")[1].groupBy("session_id").agg(F.count("*").alias("turns"))

@@ -1,10 +1,11 @@
 import os
 import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 # the workers import the package as well
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])

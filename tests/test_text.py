@@ -44,7 +44,7 @@ def test_names_and_keys(spark):
 def test_vid_and_event_names(spark):
     assert value(spark, text.fact_id_of(F.lit("gist_12"))) == 12
     assert value(spark, text.fact_id_of(F.lit("situation_12"))) is None
-    assert value(spark, text.event_name(F.lit("Trip to Czech Republic"), F.lit("2026-08-13T10:00"))) == "Trip to Czech Republic (2026-08-13)"
+    assert value(spark, text.event_name(F.lit("Trip to Lake Garda"), F.lit("2026-08-13T10:00"))) == "Trip to Lake Garda (2026-08-13)"
     assert value(spark, text.event_name(F.lit(None).cast("string"), F.lit(""))) == "(no title)"
 
 
