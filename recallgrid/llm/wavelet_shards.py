@@ -16,6 +16,7 @@ Layout: magic, length of the JSON head, head, then the parts that the head lists
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 import os
 import zlib
@@ -58,21 +59,18 @@ class Tokens:
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.flat, self.first, self.used = np.zeros(1 << 16, np.uint32), [0], 0
-        self.odd: list[bool] = []
-
-    def _learn(self, words: list[str], lead: str) -> None:
-        encode = self.encoding.encode_ordinary
-        for word in words:
-            key = lead + word
-            ids = encode(key)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.memo[key] = len(self.first) - 1
-            self.first.append(self.used)
-            self.odd.append(not word or word[0].isspace() or word[-1].isspace())
+        self.flat, self.first, self.odd = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _learn(self, keys: list[str]) -> None:
+        """Encodes new keys, words with the space before them; odd ones have white space at an end of the word, or nothing else."""
+        found = list(map(self.encoding.encode_ordinary, keys))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        bare = list(map(str.strip, keys))
+        odd = np.fromiter((not b or len(b) + (k[0] == " ") != len(k) for k, b in zip(keys, bare)), bool, len(keys))
+        self.memo.update(zip(keys, range(len(self.odd), len(self.odd) + len(keys))))
+        self.flat, self.odd = np.concatenate([self.flat, flat]), np.concatenate([self.odd, odd])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of each text's."""
@@ -85,16 +83,15 @@ class Tokens:
                 counts[i] = len(words)
                 keys += words
         new = [k for k in dict.fromkeys(keys) if k not in self.memo]
-        for lead in ("", " "):
-            self._learn([k[len(lead) :] for k in new if k.startswith(" ") == bool(lead)], lead)
+        if new:
+            self._learn(new)
         word = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
-        first = np.array(self.first, np.int64)
-        sizes = first[word + 1] - first[word]
-        ids = self.flat[batches.ragged(first[word], sizes)]
+        sizes = self.first[word + 1] - self.first[word]
+        ids = self.flat[batches.ragged(self.first[word], sizes)]
         at = np.concatenate([[0], np.cumsum(counts)])
         total = np.concatenate([[0], np.cumsum(sizes)])
         length = total[at[1:]] - total[at[:-1]]
-        odd = np.concatenate([[0], np.cumsum(np.array(self.odd, bool)[word])]) if len(word) else np.zeros(1, np.int64)
+        odd = np.concatenate([[0], np.cumsum(self.odd[word])]) if len(word) else np.zeros(1, np.int64)
         whole = np.flatnonzero((odd[at[1:]] > odd[at[:-1]]) & (counts > 1))
         if len(whole):
             starts = total[at[:-1]]
