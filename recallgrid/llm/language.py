@@ -131,10 +131,10 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def train(documents: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    rows = (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-        .dropna().orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_labelled).toArrow()
-    )
+    known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).dropna()
+    # only ids are sorted; the texts of the chosen ones come by a broadcast join
+    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    rows = known.join(F.broadcast(chosen), "doc_id").select("text", "lang").toArrow()
     return fit(rows["text"].to_pylist(), rows["lang"].to_pylist())
 
 
