@@ -5,7 +5,9 @@ suffix automaton recognises every run of words of every template. A text is stre
 each word the automaton holds the longest run ending there that some template has (the matching
 statistics). Runs of at least MIN_RUN words that cannot be extended are matches; matches of one
 template in ascending order on both sides, at most MAX_GAP words apart, are chained to a span that covers as
-many template words as possible, and a span is reported if it covers COVERAGE of its template.
+many template words as possible, and a span is reported if it covers COVERAGE of its template and every
+run of words that the template has in braces: licence name and version, which tell it from its siblings. Such a run
+must stand whole within one match, and its version must not go on ('version 2.1' is not 'version 2', nor 'MIT-0' 'MIT').
 
 Words outside all templates end every run, so only stretches of template words are streamed; shorter
 stretches than MIN_RUN cannot hold a match.
@@ -17,6 +19,7 @@ earlier place, then the name that comes first. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -29,6 +32,9 @@ from . import batches, textvec
 MIN_RUN = 3
 MAX_GAP = 12
 COVERAGE = 0.75
+#: What carries a version or an id on: '.1' but not '.0', and after an id a hyphen and more.
+MORE = re.compile(rb"[.](?!0+(?![0-9]))[0-9]")
+MORE_ID = re.compile(MORE.pattern + rb"|-[a-z0-9]")
 SCHEMA = "doc_id long, license string, begin int, end int, covered int, coverage double"
 
 _MIT = " ".join(
@@ -51,46 +57,46 @@ following conditions are met: Redistributions of source code must retain the abo
 and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
 and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 
-#: (licence, text)
+#: (words before the name, names) of short notices
+_LEADS = ["Released under the", "Licensed under the", "This work is licensed under the", "This project is licensed under the terms of the"]
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_NAMES = {"MIT": ["MIT License"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"]} | {
+    f"{short}-{version}.0" if "." not in version else f"{short}-{version}": [
+        *(f"{name}{x}" for name in (long, f"{long} ({short})", f"GNU {short}") for x in (f", version {version}", f" v{version}", f" {version}")),
+        f"GNU {short}v{version}", f"{short}v{version} license", f"{short}-{version} license",
+    ]
+    for short, long in _GNU.items() for version in {"GPL": ["2", "3"], "LGPL": ["2", "2.1", "3"], "AGPL": ["3"]}[short]
+}
+_SPDX = ["MIT", "Apache-2.0", *(f"{x}{only}" for x in ("GPL-3.0", "GPL-2.0") for only in ("", "-only", "-or-later"))]
+
+#: (licence, text); words in braces must be there
 TEMPLATES = [
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", "This project is licensed under the terms of the MIT license"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
+    *((licence, f"{lead} {{{name}}}") for licence, names in _NAMES.items() for name in names for lead in _LEADS),
+    *((re.sub("-only|-or-later", "", licence), f"SPDX-License-Identifier: {{{licence}}}") for licence in _SPDX),
     ("MIT", _MIT),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Released under the Apache License, Version 2.0"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+    ("Apache-2.0", """Licensed under the {Apache License, Version 2.0} (the "License"); you may not use this file except in compliance with the
 License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to
 in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
 express or implied. See the License for the specific language governing permissions and limitations under the License."""),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
-    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
-as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the {GNU General Public License}
+as published by the Free Software Foundation, either {version 3 of the License}, or (at your option) any later version. This program is
 distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
 FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
-    ("GPL-2.0", "Licensed under the GNU General Public License, version 2"),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the {Mozilla Public License, v. 2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-2-Clause", _BSD),
-    ("BSD-3-Clause", _BSD + """ Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
-products derived from this software without specific prior written permission."""),
+    ("BSD-3-Clause", _BSD + """ Neither the name of the copyright holder nor the names of its contributors may be used to {endorse or promote
+products derived} from this software without specific prior written permission."""),
     ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
 provided that the above copyright notice and this permission notice appear in all copies."""),
     ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
 non-commercial, and by any means."""),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-4.0", "Licensed under {CC BY-NC 4.0}"),
+    ("CC-BY-4.0", "Licensed under {CC BY 4.0}"),
+    ("CC-BY-SA-4.0", "Licensed under {CC BY-SA 4.0}"),
+    ("CC-BY-4.0", "This work is licensed under a {Creative Commons Attribution 4.0} International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a {Creative Commons Attribution-ShareAlike 4.0} International License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a {Creative Commons Attribution-NonCommercial 4.0} International License"),
     ("CC0-1.0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work"),
 ]
 
@@ -158,6 +164,16 @@ class Scanner:
         tokens = np.searchsorted(self.keys, w.hash).tolist()
         sequences = [tokens[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
         self.sizes = [len(s) for s in sequences]
+        opened = np.cumsum(w.buf == ord("{"))
+        group = np.where(opened > np.cumsum(w.buf == ord("}")), opened, 0)[w.start]
+        new = np.flatnonzero(np.diff(np.concatenate([[0], group])))
+        ends = np.append(new[1:], len(group))
+        #: by template the runs of words that must be there: first, after, whether it is an id, which a hyphen carries on
+        self.required: list[list[tuple[int, int, bool]]] = [[] for _ in sequences]
+        for a, b in zip(new.tolist(), ends.tolist()):
+            if group[a]:
+                row = int(w.row[a])
+                self.required[row].append((a - int(w.first[row]), b - int(w.first[row]), templates[row][1].startswith("SPDX")))
         self.automaton = SuffixAutomaton(sequences)
 
     def matches(self, tokens: list[int]) -> list[tuple[int, int, int, int]]:
@@ -189,8 +205,8 @@ class Scanner:
                 by[int(w.row[a]), template].append((a + here, there, words))
         best: dict[int, list] = defaultdict(list)
         for (row, template), found in by.items():
-            for begin, end, covered in self.chains(sorted(set(found))):
-                if covered >= COVERAGE * self.sizes[template] - 1e-9:
+            for begin, end, covered, path in self.chains(sorted(set(found))):
+                if covered >= COVERAGE * self.sizes[template] - 1e-9 and all(any(self.holds(w, match, group) for match in path) for group in self.required[template]):
                     best[row].append((-covered, -covered / self.sizes[template], begin, self.names[template], template, end))
         out = []
         for row, spans in sorted(best.items()):
@@ -202,8 +218,18 @@ class Scanner:
         return sorted(out, key=lambda s: (s[0], s[2]))
 
     @staticmethod
-    def chains(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """(first word, word after, covered) of the best chain that ends at each match, best ones first, each match used once."""
+    def holds(w: textvec.Words, match: tuple[int, int, int], group: tuple[int, int, bool]) -> bool:
+        """Whether a match has all words of a required run, and the name or version in the text does not go on after them."""
+        (here, there, words), (first, after, exact) = match, group
+        if first < there or after > there + words:
+            return False
+        last = here + after - 1 - there
+        follows = w.buf[w.end[last] : min(w.end[last] + 16, w.row_at[w.row[last] + 1])].tobytes()
+        return not (MORE_ID if exact else MORE).match(follows)
+
+    @staticmethod
+    def chains(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, list]]:
+        """(first word, word after, covered, matches) of the best chain that ends at each match, best ones first, each match used once."""
         value, back = [], []
         reach = MAX_GAP + max((words for _, _, words in found), default=0)
         for k, (here, there, words) in enumerate(found):
@@ -224,7 +250,7 @@ class Scanner:
                 path.append(j)
                 j = back[j]
             if path and j < 0:
-                out.append((found[path[-1]][0], found[k][0] + found[k][2], value[k]))
+                out.append((found[path[-1]][0], found[k][0] + found[k][2], value[k], [found[j] for j in path]))
             used.update(path)
         return out
 

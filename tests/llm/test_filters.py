@@ -226,6 +226,17 @@ def test_licences(spark):
     assert licenses.scan(many).count() == 300
 
 
+def test_near_misses_of_licences(spark):
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 300).replace("{", "").replace("}", "")
+    none = [f"SPDX-License-Identifier: {x}" for x in ("BSL-1.0", "EUPL-1.2", "Zlib", "MIT-Modern-Variant", "Apache-1.1", "GPL-1.0")]
+    none += ["Licensed under the Apache License, Version 1.1", "Licensed under the GNU General Public License", "Licensed under the GNU General Public License, version 4", "Licensed under CC BY-ND 4.0", "Licensed under CC BY-NC 3.0"]
+    none += [gpl.replace("version 3", "version 4"), "Licensed under the GNU Lesser General Public License, version 4"]
+    named = {"LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1", "GPL-2.0": "Licensed under the GNU General Public License v2.", "GPL-3.0": "Licensed under the GNU General Public License, version 3.0"}
+    named |= {"Apache-2.0": "SPDX-License-Identifier: Apache-2.0.", "MIT": "SPDX-License-Identifier: MIT", "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3"}
+    rows = licenses.scan(documents(spark, none + list(named.values()))).collect()
+    assert {r["doc_id"] - len(none): r["license"] for r in rows} == dict(enumerate(named)), rows
+
+
 # language
 
 
