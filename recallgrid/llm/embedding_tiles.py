@@ -11,14 +11,14 @@ can no longer reach the threshold are dropped before the next dimensions are add
 The result is exact: all pairs whose cosine reaches the threshold. Every vector is compared as a query.
 
 Defined results: a null, empty or zero vector, one with a null or a value that is not finite, and a null
-vec_id have no partner. Vectors of another width than the most frequent one (the least of those on ties) are left
-out. A pair of rows with the same vec_id is no pair. Repeated rows count once. Extra columns are ignored.
+vec_id have no partner. Vectors of different widths are no pair; every width has axes and tiles of its own. A pair of rows with the same vec_id is no pair. Repeated rows count once. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,17 +33,16 @@ TILE = 4096
 #: Dimensions after which candidates are thinned out, as shares of the width.
 STEPS = (0.125, 0.25, 0.5, 1.0)
 SLACK = 1e-9
+SCHEMA = "vec_id_a long, vec_id_b long, cosine double"
 #: Rows of one tile that are compared with the other tile at once.
 STRIP = 512
 
 
 def _vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v) of usable vectors in one width."""
+    """(vec_id, v) of usable vectors of all widths."""
     v = F.col("embedding").cast("array<double>")
     usable = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    usable = usable.where("forall(v, x -> x IS NOT NULL AND x = x AND abs(x) < double('infinity')) AND exists(v, x -> x != 0)")
-    widths = usable.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
-    return usable.where(F.size("v") == (widths[0]["width"] if widths else 0))
+    return usable.where("forall(v, x -> x IS NOT NULL AND x = x AND abs(x) < double('infinity')) AND exists(v, x -> x != 0)")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -53,7 +52,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def axes(vectors: DataFrame) -> np.ndarray | None:
+def axes(vectors: DataFrame) -> np.ndarray:
     """Principal axes of all unit vectors as columns, the strongest first; one small matrix a task comes to the driver."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +65,6 @@ def axes(vectors: DataFrame) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["m"])
 
     summed = vectors.select("v").mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()
-    if summed.empty:
-        return None
     width = math.isqrt(len(summed))
     values, found = np.linalg.eigh(summed["x"].to_numpy().reshape(width, width))
     return found[:, ::-1]
@@ -99,13 +96,19 @@ def compare(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray,
 
 
 def pairs(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """(vec_id_a, vec_id_b, cosine) with vec_id_a < vec_id_b of all pairs at or above the threshold."""
-    spark = embeddings.sparkSession
+    """(vec_id_a, vec_id_b, cosine) with vec_id_a < vec_id_b of all pairs of one width at or above the threshold."""
     vectors = _vectors(embeddings)
-    schema = "vec_id_a long, vec_id_b long, cosine double"
+    # a width of one vector has no pair
+    widths = vectors.groupBy(F.size("v").alias("width")).count().where("count > 1").orderBy("width").collect()
+    found = [_of_width(vectors.where(F.size("v") == r["width"]), threshold, tile) for r in widths]
+    if not found:
+        return embeddings.sparkSession.createDataFrame([], SCHEMA)
+    return found[0] if len(found) == 1 else reduce(DataFrame.union, found).distinct()
+
+
+def _of_width(vectors: DataFrame, threshold: float, tile: int) -> DataFrame:
+    spark = vectors.sparkSession
     rotation = axes(vectors)
-    if rotation is None:
-        return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(rotation)
 
     def rotate(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +146,7 @@ def pairs(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE)
         p, q, cosine = p[keep], q[keep], cosine[keep]
         return pa.table({"vec_id_a": np.minimum(p, q), "vec_id_b": np.maximum(p, q), "cosine": np.round(cosine, 6)})
 
-    return sent.groupBy("tile_a", "tile_b").applyInArrow(run, schema).distinct()
+    return sent.groupBy("tile_a", "tile_b").applyInArrow(run, SCHEMA).distinct()
 
 
 def op(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,20 @@ def test_tiles_equal_brute_force(spark):
     assert embedding_tiles.pairs(df.limit(0)).count() == 0
 
 
+def test_tiles_compare_every_width(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for width, n in ((8, 30), (5, 20), (3, 1)):
+        x = rng.normal(size=(n, width))
+        rows += [(len(rows) + i, v) for i, v in enumerate([*x.tolist(), *(2 * x[: n // 4]).tolist()])]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    want = {(i, j) for i, j in itertools.combinations(unit, 2) if len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95}
+    assert {len(unit[i]) for i, _ in want} == {8, 5}
+    for tile in (8, 4096):
+        got = embedding_tiles.pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95, tile).collect()
+        assert {(r["vec_id_a"], r["vec_id_b"]) for r in got} == want and len(got) == len(want)
+
+
 # pipeline
 
 
