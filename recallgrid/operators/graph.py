@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 
@@ -60,24 +61,27 @@ def shared_neighbours(edges: DataFrame, names: list[str], shown: int = 15) -> Da
     return both.orderBy("name").limit(shown).select("name")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, limit: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, hops, path) of undirected shortest paths for pairs (a, b); null hops where there is none.
 
-    All pairs advance a hop together; a node is visited once a pair, by the least path. Visited nodes are written out every round.
+    All pairs advance a hop together, until no pair has a node left to go to; a node is visited once a pair, by the least path.
+    A node next to the front is new, in the front or in the front before it, so only these two are looked up. Fronts are written out.
     """
     both = undirected(edges).select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    seen = cut(pairs.select("a", "b").distinct().select("a", "b", F.col("a").alias("at"), F.lit(0).alias("hops"), F.array("a").alias("path")))
-    front = seen
+    front = cut(pairs.select("a", "b").distinct().select("a", "b", F.col("a").alias("at"), F.lit(0).alias("hops"), F.array("a").alias("path")))
+    before = front
     done = front.where("at = b")
-    for hop in range(1, limit + 1):
+    for hop in itertools.count(1):
         open_ = front.join(done.select("a", "b"), ["a", "b"], "left_anti")
         step = open_.join(both, "at").select("a", "b", F.col("to").alias("at"), F.lit(hop).alias("hops"), F.concat("path", F.array("to")).alias("path"))
         step = step.groupBy("a", "b", "at").agg(F.first("hops").alias("hops"), F.min("path").alias("path"))
-        front = cut(step.join(seen.select("a", "b", "at"), ["a", "b", "at"], "left_anti"))
+        seen = front.union(before).select("a", "b", "at")
+        before, front = front, cut(step.join(seen, ["a", "b", "at"], "left_anti"))
         if front.isEmpty():
             break
-        seen = cut(seen.union(front))
-        done = done.union(front.where("at = b"))
+        found = front.where("at = b")
+        if not found.isEmpty():
+            done = cut(done.union(found))
     return pairs.select("a", "b").distinct().join(done.select("a", "b", "hops", "path"), ["a", "b"], "left")
 
 

@@ -30,6 +30,13 @@ def test_paths(spark):
     assert steps == {(1, "a", "R", "b"), (2, "c", "S", "b"), (3, "c", "T", "d")}
 
 
+def test_long_paths_are_found(spark):
+    e = edges(spark, [(f"n{i:03}", "R", f"n{i + 1:03}") for i in range(70)])
+    pairs = spark.createDataFrame([("n000", "n070"), ("n000", "n065"), ("n070", "n067"), ("n000", "other")], "a string, b string")
+    got = {(r["a"], r["b"]): (r["hops"], r["path"] and len(r["path"])) for r in graph.shortest_paths(e, pairs).collect()}
+    assert got == {("n000", "n070"): (70, 71), ("n000", "n065"): (65, 66), ("n070", "n067"): (3, 4), ("n000", "other"): (None, None)}
+
+
 def test_components_equal_union_find(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 101), (7, 100), (50, 51)]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
