@@ -31,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import batches, textvec
 
@@ -409,15 +410,16 @@ def verified(documents: DataFrame, shared, known: DataFrame, grouped: DataFrame,
     return ask.groupBy("task").cogroup(sent.groupBy("task")).applyInArrow(_verify(threshold), "va long, vb long, jaccard double")
 
 
-def _joined(documents: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _joined(documents: DataFrame, n: int, threshold: float) -> tuple:
+    """The broadcast order of n-grams, all variants, and the pairs of them that are near."""
     shared = documents.sparkSession.sparkContext.broadcast(frequent(documents, n))
     known = variants(documents, shared, n, threshold)
     grouped = candidates(documents, shared, n, threshold)
-    return known, batches.cut(verified(documents, shared, known, grouped, n, threshold))
+    return shared, known, batches.cut(verified(documents, shared, known, grouped, n, threshold))
 
 
 def pairs(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    known, found = _joined(documents, n, threshold)
+    _, known, found = _joined(documents, n, threshold)
     a, b = (known.select(F.col("variant").alias(f"v{p}"), F.col("docs").alias(f"docs_{p}")) for p in "ab")
     both = found.join(a, "va").join(b, "vb")
     swap = F.col("docs_a")[0] > F.col("docs_b")[0]
@@ -444,22 +446,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those of a connected group whose doc_id is not the least of the group; all columns stay."""
-    known, found = _joined(documents, n, threshold)
+    """The documents without those of a connected group whose doc_id is not the least of the group; all columns stay.
+
+    A document is a doc_id with a variant: each text of a doc_id that has several stays or goes with its own group, and one row of
+    those that repeat a document stays. Texts without words are in no group.
+    """
+    shared, known, found = _joined(documents, n, threshold)
     labels = components(found.select(F.col("va").alias("a"), F.col("vb").alias("b")))
-    placed = known.join(labels, known["variant"] == labels["node"], "left").select(F.coalesce("label", "variant").alias("label"), "docs", "rows")
-    least = placed.groupBy("label").agg(F.min(F.col("docs")[0]).alias("kept"), F.sum(F.size("docs")).alias("n"), F.sum("rows").alias("rows"))
-    least = batches.cut(placed.select("label", F.explode("docs").alias("id")).join(least, "label").select("id", "kept", (F.col("rows") > F.col("n")).alias("repeated")))
-    gone = least.groupBy("id").agg(F.min("kept").alias("kept")).where("id != kept").select(F.col("id").alias("__gone"))
+    placed = known.join(labels, known["variant"] == labels["node"], "left").select(F.coalesce("label", "variant").alias("label"), "variant", "docs")
+    least = placed.groupBy("label").agg(F.min(F.struct(F.col("docs")[0].alias("id"), "variant")).alias("kept"))
+    least = placed.select("label", "variant", F.explode("docs").alias("id")).join(least, "label")
+    gone = batches.cut(least.where("id != kept.id OR variant != kept.variant").select(F.col("id").alias("__gone"), F.col("variant").alias("__of")))
     if batches.fits_broadcast(gone, 4 * BROADCAST_ROWS):
         gone = F.broadcast(gone)
     key = documents["doc_id"].cast("long")
-    rest = documents.join(gone, key == F.col("__gone"), "left_anti")
-    again = least.where("repeated").select(F.col("id").alias("__again")).distinct()
-    if again.isEmpty():
-        return rest
-    single = rest.join(again, rest["doc_id"].cast("long") == F.col("__again"), "left_anti")
-    return single.union(rest.join(again, rest["doc_id"].cast("long") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"]))
+    several = batches.cut(documents.where("doc_id IS NOT NULL").groupBy(key.alias("__id")).count().where("count > 1").select("__id"))
+    if several.isEmpty():
+        return documents.join(gone, key == F.col("__gone"), "left_anti")
+    if batches.fits_broadcast(several, 4 * BROADCAST_ROWS):
+        several = F.broadcast(several)
+    single = documents.join(several, key == F.col("__id"), "left_anti")
+    single = single.join(gone, single["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    own = _with_variant(documents.join(several, key == F.col("__id"), "left_semi"), shared, n, threshold)
+    left = own.join(gone, (own["doc_id"].cast("long") == F.col("__gone")) & (F.col("__variant") == F.col("__of")), "left_anti")
+    once = left.where("__variant IS NOT NULL").dropDuplicates(["doc_id", "__variant"])
+    return single.union(once.union(left.where("__variant IS NULL")).select(*documents.columns))
+
+
+def _with_variant(documents: DataFrame, shared, n: int, threshold: float) -> DataFrame:
+    """All columns and __variant, null for texts without words."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = Sets(batch.column("__text"), n, threshold, shared.value)
+        columns = [batch.column(c) for c in range(batch.num_columns - 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(sets.set, mask=sets.size == 0)], [*batch.schema.names[:-1], "__variant"])
+
+    schema = StructType([*documents.schema.fields, StructField("__variant", LongType())])
+    return batches.map_text(documents.withColumn("__text", F.col("text").cast("string")), run, schema, "__text")
 
 
 def op(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,15 @@ def test_keep_one_follows_chains(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 6]
 
 
+def test_keep_one_keeps_every_text_of_an_id(spark):
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, near), (2, near + " more"), (2, "a text that stands alone"), (2, "..."), (3, "a text that stands alone"), (4, "four has this"), (4, "four has this"), (4, "and that as well")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x", "y", "z") for i, t in rows], DOCS)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, near), (2, "a text that stands alone"), (2, "..."), (4, "four has this"), (4, "and that as well")])
+
+
 # embeddings
 
 
