@@ -1,6 +1,6 @@
 """License scans with a generalised suffix automaton.
 
-All templates (``TEMPLATES``: notices and grant texts of common public licences) are sequences of words. One
+All templates (``TEMPLATES``: notices, file headers and, in ``licence_texts``, whole texts of common public licences) are sequences of words. One
 suffix automaton recognises every run of words of every template. A text is streamed through it: at
 each word the automaton holds the longest run ending there that some template has (the matching
 statistics). Runs of at least MIN_RUN words that cannot be extended are matches; matches of one
@@ -9,8 +9,8 @@ many template words as possible, and a span is reported if it covers COVERAGE of
 run of words that the template has in braces: licence name and version, which tell it from its siblings. Such a run
 must stand whole within one match, and its version must not go on ('version 2.1' is not 'version 2', nor 'MIT-0' 'MIT').
 
-Words outside all templates end every run, so only stretches of template words are streamed; shorter
-stretches than MIN_RUN cannot hold a match.
+Every match consists of runs of MIN_RUN words that some template has, so only stretches of such runs are streamed, and
+a template is looked for only in texts whose stretches have as many words as it takes.
 
 Defined results: null, empty and wordless texts have no spans. Repeated rows are scanned each, texts whole.
 If spans of several templates overlap, the one with more covered words stays, then the higher coverage, then the
@@ -19,8 +19,10 @@ earlier place, then the name that comes first. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ MAX_GAP = 12
 COVERAGE = 0.75
 #: What carries a version or an id on: '.1' but not '.0', and after an id a hyphen and more.
 MORE = re.compile(rb"[.](?!0+(?![0-9]))[0-9]")
+TITLE = re.compile(r"((?:GNU (?:LESSER |LIBRARY |FREE )?(?:GENERAL PUBLIC|DOCUMENTATION) LICENSE|Apache License|Mozilla Public License|Eclipse Public License|Boost Software License)\W+v?(?:ersion)?\W*\d(?:\.\d)?)", re.IGNORECASE)
 MORE_ID = re.compile(MORE.pattern + rb"|-[a-z0-9]")
 SCHEMA = "doc_id long, license string, begin int, end int, covered int, coverage double"
 
@@ -67,7 +70,29 @@ _NAMES = {"MIT": ["MIT License"], "Apache-2.0": ["Apache License, Version 2.0",
     ]
     for short, long in _GNU.items() for version in {"GPL": ["2", "3"], "LGPL": ["2", "2.1", "3"], "AGPL": ["3"]}[short]
 }
-_SPDX = ["MIT", "Apache-2.0", *(f"{x}{only}" for x in ("GPL-3.0", "GPL-2.0") for only in ("", "-only", "-or-later"))]
+_SPDX = "MIT MIT-0 Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause 0BSD ISC Zlib BSL-1.0 Unlicense WTFPL MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0".split()
+_SPDX += "EUPL-1.2 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 Artistic-2.0 OFL-1.1 PSF-2.0 NCSA Python-2.0".split()
+_SPDX += [x + only for x in "GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 GFDL-1.2 GFDL-1.3".split() for only in ("", "-only", "-or-later")]
+
+_HEADERS = [("GPL", "1"), ("GPL", "2"), ("GPL", "3"), ("LGPL", "2"), ("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3")]
+_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the {NAME}
+as published by the Free Software Foundation, either {version NUMBER of the License}, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the NAME for more details."""
+_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES
+OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+
+def _whole() -> list[tuple[str, str]]:
+    """The licence texts in licence_texts; title and version at the top must be there where the text has them."""
+    found = []
+    for file in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        text = file.read_text().replace("{", " ").replace("}", " ")
+        found.append((file.name.removesuffix(".txt"), TITLE.sub(r"{\1}", text, count=1)))
+    return found
+
 
 #: (licence, text); words in braces must be there
 TEMPLATES = [
@@ -78,16 +103,16 @@ TEMPLATES = [
 License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to
 in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
 express or implied. See the License for the specific language governing permissions and limitations under the License."""),
-    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the {GNU General Public License}
-as published by the Free Software Foundation, either {version 3 of the License}, or (at your option) any later version. This program is
-distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
-FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    *((f"{short}-{version}" if "." in version else f"{short}-{version}.0", _HEADER.replace("NAME", _GNU[short]).replace("NUMBER", version)) for short, version in _HEADERS),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the {Mozilla Public License, v. 2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-2-Clause", _BSD),
     ("BSD-3-Clause", _BSD + """ Neither the name of the copyright holder nor the names of its contributors may be used to {endorse or promote
 products derived} from this software without specific prior written permission."""),
     ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
 provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.
+""" + _ISC_END),
     ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
 non-commercial, and by any means."""),
@@ -98,6 +123,7 @@ non-commercial, and by any means."""),
     ("CC-BY-SA-4.0", "This work is licensed under a {Creative Commons Attribution-ShareAlike 4.0} International License"),
     ("CC-BY-NC-4.0", "This work is licensed under a {Creative Commons Attribution-NonCommercial 4.0} International License"),
     ("CC0-1.0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work"),
+    *_whole(),
 ]
 
 
@@ -175,6 +201,15 @@ class Scanner:
                 row = int(w.row[a])
                 self.required[row].append((a - int(w.first[row]), b - int(w.first[row]), templates[row][1].startswith("SPDX")))
         self.automaton = SuffixAutomaton(sequences)
+        self.runs = np.unique(np.array([self._code(s[k : k + MIN_RUN]) for s in sequences for k in range(len(s) - MIN_RUN + 1)], np.int64))
+        self.needs = [math.ceil(COVERAGE * n - 1e-9) for n in self.sizes]
+
+    def _code(self, tokens):
+        """One number for MIN_RUN words, or for as many arrays of words."""
+        code = tokens[0] * 0
+        for t in tokens:
+            code = code * len(self.keys) + t
+        return code
 
     def matches(self, tokens: list[int]) -> list[tuple[int, int, int, int]]:
         """(template, place in it, place in tokens, words) of all runs of MIN_RUN words or more that cannot be extended to the right."""
@@ -194,17 +229,27 @@ class Scanner:
             return []
         at = np.minimum(np.searchsorted(self.keys, w.hash), len(self.keys) - 1)
         known = self.keys[at] == w.hash
-        new = np.concatenate([[True], (known[1:] != known[:-1]) | (w.row[1:] != w.row[:-1])])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(known)))
-        runs = np.flatnonzero(known[first] & (size >= MIN_RUN))
+        count = len(known) - MIN_RUN + 1
+        if count < 1:
+            return []
+        parts = [at[k : k + count] for k in range(MIN_RUN)]
+        code = self._code(parts)
+        run = (w.row[:count] == w.row[MIN_RUN - 1 :]) & np.all([known[k : k + count] for k in range(MIN_RUN)], axis=0)
+        run &= self.runs[np.minimum(np.searchsorted(self.runs, code), len(self.runs) - 1)] == code
+        change = np.diff(np.concatenate([[0], run.astype(np.int8), [0]]))
+        first, size = np.flatnonzero(change == 1), np.flatnonzero(change == -1) - np.flatnonzero(change == 1) + MIN_RUN - 1
+        words = np.bincount(w.row[first], size, len(w))
         by: dict[tuple[int, int], list] = defaultdict(list)
-        for r in runs.tolist():
-            a, n = int(first[r]), int(size[r])
-            for template, there, here, words in self.matches(at[a : a + n].tolist()):
-                by[int(w.row[a]), template].append((a + here, there, words))
+        for a, n in zip(first.tolist(), size.tolist()):
+            row = int(w.row[a])
+            if words[row] >= min(self.needs):
+                for template, there, here, length in self.matches(at[a : a + n].tolist()):
+                    if self.needs[template] <= words[row]:
+                        by[row, template].append((a + here, there, length))
         best: dict[int, list] = defaultdict(list)
         for (row, template), found in by.items():
+            if sum(length for _, _, length in found) < self.needs[template]:
+                continue
             for begin, end, covered, path in self.chains(sorted(set(found))):
                 if covered >= COVERAGE * self.sizes[template] - 1e-9 and all(any(self.holds(w, match, group) for match in path) for group in self.required[template]):
                     best[row].append((-covered, -covered / self.sizes[template], begin, self.names[template], template, end))

@@ -226,9 +226,23 @@ def test_licences(spark):
     assert licenses.scan(many).count() == 300
 
 
+def test_whole_licences_and_headers(spark):
+    named = {"MIT": licenses._MIT + " THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND"} | {n: t for n, t in licenses._whole()}
+    headers = [("GPL-2.0" if n == "2" else "LGPL-2.1" if n == "2.1" else "AGPL-3.0", licenses._HEADER.replace("NAME", licenses._GNU[s]).replace("NUMBER", n)) for s, n in (("GPL", "2"), ("LGPL", "2.1"), ("AGPL", "3"))]
+    ids = [(x, f"SPDX-License-Identifier: {x}") for x in ("BSD-3-Clause", "MPL-2.0", "ISC", "Zlib", "BSL-1.0", "EPL-2.0")]
+    items = [(n, "Before it. " + t.replace("{", "").replace("}", "") + " After.") for n, t in [*named.items(), *headers, *ids]]
+    rows = {}
+    for r in licenses.scan(documents(spark, [t for _, t in items])).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    longest = {i: max(found, key=lambda r: r["covered"]) for i, found in rows.items()}
+    assert {i: r["license"] for i, r in longest.items()} == {i: n for i, (n, _) in enumerate(items)}
+    mit = [n for n, _ in items].index("MIT")
+    assert items[mit][1][: longest[mit]["end"]].endswith("DEALINGS IN THE\nSOFTWARE.") or items[mit][1][: longest[mit]["end"]].endswith("SOFTWARE")
+
+
 def test_near_misses_of_licences(spark):
     gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 300).replace("{", "").replace("}", "")
-    none = [f"SPDX-License-Identifier: {x}" for x in ("BSL-1.0", "EUPL-1.2", "Zlib", "MIT-Modern-Variant", "Apache-1.1", "GPL-1.0")]
+    none = [f"SPDX-License-Identifier: {x}" for x in ("CAL-1.0", "EUPL-1.1", "X11", "MIT-Modern-Variant", "Apache-1.0", "GPL-4.0")]
     none += ["Licensed under the Apache License, Version 1.1", "Licensed under the GNU General Public License", "Licensed under the GNU General Public License, version 4", "Licensed under CC BY-ND 4.0", "Licensed under CC BY-NC 3.0"]
     none += [gpl.replace("version 3", "version 4"), "Licensed under the GNU Lesser General Public License, version 4"]
     named = {"LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1", "GPL-2.0": "Licensed under the GNU General Public License v2.", "GPL-3.0": "Licensed under the GNU General Public License, version 3.0"}
