@@ -9,10 +9,11 @@ language, and equal labels in a row make a span.
 Most texts need no search: if no stretch of words favours another language over the best single one by
 SWITCH or more, one label for all is optimal. The others go through the recursion word by word.
 
-Defined results: a null or empty text, or one without words, has a null language and no spans. Digits fit
-all languages alike. Ties go to the language first in alphabetical order, and to fewer changes. Without
-labelled documents only scripts decide. Repeated rows are labelled each; texts are labelled whole.
-Extra columns are ignored.
+Defined results: a null or empty text, one without words, and one without a letter of a script in ``SCRIPTS`` (digits alone, or
+runes) have a null language and no spans. Other words without such a letter fit all languages alike. Ties go to the language
+first in alphabetical order, and to fewer changes. Without labelled documents only scripts decide. An empty table gives none. A
+label depends on the model and its text, not on its neighbours. Repeated rows are labelled each; texts are labelled whole, at any length.
+Extra columns are ignored, whatever their names; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -44,15 +45,33 @@ SCRIPTS = {
     "armenian": ([(0x530, 0x58F)], "hy"),
     "hebrew": ([(0x590, 0x5FF)], "he"),
     "arabic": ([(0x600, 0x6FF), (0x750, 0x77F)], "ar"),
+    "syriac": ([(0x700, 0x74F)], "syr"),
+    "thaana": ([(0x780, 0x7BF)], "dv"),
     "devanagari": ([(0x900, 0x97F)], "hi"),
     "bengali": ([(0x980, 0x9FF)], "bn"),
+    "gurmukhi": ([(0xA00, 0xA7F)], "pa"),
+    "gujarati": ([(0xA80, 0xAFF)], "gu"),
+    "oriya": ([(0xB00, 0xB7F)], "or"),
+    "tamil": ([(0xB80, 0xBFF)], "ta"),
+    "telugu": ([(0xC00, 0xC7F)], "te"),
+    "kannada": ([(0xC80, 0xCFF)], "kn"),
+    "malayalam": ([(0xD00, 0xD7F)], "ml"),
+    "sinhala": ([(0xD80, 0xDFF)], "si"),
     "thai": ([(0xE00, 0xE7F)], "th"),
+    "lao": ([(0xE80, 0xEFF)], "lo"),
+    "tibetan": ([(0xF00, 0xFFF)], "bo"),
+    "burmese": ([(0x1000, 0x107F)], "my"),
+    "ethiopic": ([(0x1200, 0x137F)], "am"),
+    "khmer": ([(0x1780, 0x17FF)], "km"),
+    "mongolian": ([(0x1800, 0x187F)], "mn"),
     "georgian": ([(0x10A0, 0x10FF)], "ka"),
     "hangul": ([(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)], "ko"),
     "kana": ([(0x3040, 0x30FF)], "ja"),
     "han": ([(0x3400, 0x4DBF), (0x4E00, 0x9FFF)], "zh"),
 }
 NAMES = list(SCRIPTS)
+#: Further languages of a script that no labelled document uses, and what a word loses in them: Japanese has Han among its kana.
+SHARED = {"han": ("ja", 1.0)}
 
 
 def _table() -> np.ndarray:
@@ -104,6 +123,7 @@ class Model:
     logp: np.ndarray  #: language by hashed trigram
     allowed: np.ndarray  #: script by language, for scripts in the order of NAMES
     trained: int  #: languages that logp covers, the first ones
+    lean: np.ndarray  #: script by language, what a word loses there
 
 
 def fit(texts: list[str], labels: list[str]) -> Model:
@@ -124,10 +144,15 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     languages = trained + rest
     allowed = np.zeros((len(NAMES), len(languages)), bool)
     allowed[:, : len(trained)] = share > 0.2
+    lean = np.zeros((len(NAMES), len(languages)))
     for k, (_, lang) in enumerate(SCRIPTS.values()):
         if not allowed[k].any():
             allowed[k, languages.index(lang)] = True
-    return Model(languages, logp, allowed, len(trained))
+            if NAMES[k] in SHARED:
+                other, loss = SHARED[NAMES[k]]
+                allowed[k, languages.index(other)] = True
+                lean[k, languages.index(other)] = loss
+    return Model(languages, logp, allowed, len(trained), lean)
 
 
 def train(documents: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
@@ -152,6 +177,7 @@ def word_scores(m: Model, w: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
     for k, lang in enumerate(models):
         total = np.concatenate([[0.0], np.cumsum(m.logp[lang][code])])
         raw[:, k] = total[last] - total[first]
+    raw -= np.where((s >= 0)[:, None], m.lean[np.maximum(s, 0)][:, used], 0.0)
     allowed = np.where((s >= 0)[:, None], m.allowed[np.maximum(s, 0)][:, used], True)
     lettered = (s >= 0) & (allowed.sum(axis=1) > 1)
     best = np.where(allowed, raw, -np.inf).max(axis=1, keepdims=True)
@@ -186,7 +212,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def label(m: Model, w: textvec.Words, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray]:
-    """A language index for every word, and whether each row needed the recursion."""
+    """A language index for every word, -1 in rows that no script speaks for, and whether each row needed the recursion."""
     scores, used = word_scores(m, w)
     n = len(w)
     if not len(w.hash):
@@ -209,23 +235,26 @@ def label(m: Model, w: textvec.Words, switch: float = SWITCH) -> tuple[np.ndarra
     for r in np.flatnonzero(hard):
         s = slice(w.first[r], w.first[r + 1])
         out[s] = viterbi(scores[s], switch)
-    return used[out], hard
+    told = np.bincount(w.row[scripts(w) >= 0], minlength=n) > 0
+    return np.where(told[w.row], used[out], -1), hard
 
 
 def identify_batch(m: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
     w = textvec.words(batch.column("text"))
     lang, _ = label(m, w)
     n = len(w)
-    if len(lang):
+    if (lang >= 0).any():
         new = np.concatenate([[True], (w.row[1:] != w.row[:-1]) | (lang[1:] != lang[:-1])])
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(lang)]]) - 1
+        first, last = first[lang[first] >= 0], last[lang[first] >= 0]
         names = np.array(m.languages, object)
         spans = pa.StructArray.from_arrays(
             [pa.array(w.char_at(w.start[first]).astype(np.int32)), pa.array((w.char_at(w.end[last] - 1) + _tail(w, last)).astype(np.int32)), pa.array(names[lang[first]].tolist(), pa.string())], ["begin", "end", "lang"])
         sizes = np.bincount(w.row[first], minlength=n)
         share = np.zeros((n, len(m.languages)), np.int64)
-        np.add.at(share, (w.row, lang), w.end - w.start)
+        known = lang >= 0
+        np.add.at(share, (w.row[known], lang[known]), (w.end - w.start)[known])
         main = [m.languages[k] if any_ else None for k, any_ in zip(share.argmax(axis=1), share.any(axis=1))]
     else:
         spans = pa.array([], pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))

@@ -21,8 +21,11 @@ def hard(spark):
     return documents(spark, [None, "", " ", "...", "a", "word " * 30_000, "tie", "tie"]).union(documents(spark, ["no id"]).selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "lang", "source", "n_chars", "score", "toxic", "words"))
 
 
+WORD = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", textvec.WORD_SQL))
+
+
 def words_of(text):
-    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+    return WORD.findall(text.lower())
 
 
 def test_words_and_hashes():
@@ -35,6 +38,20 @@ def test_words_and_hashes():
     assert np.diff(at).tolist() == [2, 0, 0, 1, 3, 1]
 
 
+def test_words_of_other_scripts():
+    cases = {
+        "今天天气。很好": list("今天天气很好"), "ab中c": ["ab", "中", "c"], "«été» – naïf…": ["été", "naïf"], "한국어 말": ["한국어", "말"], "ไทย": list("ไทย"),
+        "カタカナ、ひら": list("カタカナひら"), "a\u00a0b\u3000c": ["a", "b", "c"], "x😀y": ["x", "y"], "हिन्दी।": ["हिन्दी"],
+    }
+    for text, want in cases.items():
+        w = textvec.words(pa.array([text]))
+        assert [w.buf[a:b].tobytes().decode() for a, b in zip(w.start, w.end)] == want == words_of(text), text
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aZ9 é中ไ。—の😀д한\n") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    w = textvec.words(pa.array(texts))
+    assert [[w.buf[a:b].tobytes().decode() for a, b in zip(w.start[x:y], w.end[x:y])] for x, y in zip(w.first[:-1], w.first[1:])] == [words_of(t) for t in texts]
+
+
 # toxicity
 
 
@@ -137,6 +154,15 @@ def test_large_benchmarks_go_through_a_join(spark, monkeypatch):
     assert [r["doc_id"] for r in winnowing.clean(docs, bench).collect()] == [1]
 
 
+def test_passages_without_spaces(spark):
+    rng = random.Random(1)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = han(40)
+    docs = documents(spark, [han(30) + passage + "。" + han(20), han(90)])
+    bench = spark.createDataFrame([(1, han(5) + "，" + passage)], "item_id long, text string")
+    assert [(r["doc_id"], r["words"]) for r in winnowing.spans(docs, bench).collect()] == [(0, 40)]
+
+
 def test_winnowing_hard_rows(spark):
     bench = spark.createDataFrame([(1, "word " * 20), (None, "word " * 20)], "item_id long, text string")
     rows = winnowing.spans(hard(spark), bench).collect()
@@ -315,3 +341,15 @@ def test_language_hard_rows(spark, model):
     assert language.identify(hard(spark).limit(0), m).count() == 0
     blank = language.train(hard(spark).where("lang = 'none'"))
     assert language.identify(documents(spark, ["Привет"]), blank).first()["lang"] == "ru"
+
+
+def test_language_does_not_depend_on_neighbours(model):
+    m, seeds = model
+    texts = [sentence(seeds, "fr", 20, 3), "12 345 6", "Привет, мир", "தமிழ் மொழி", "ᚠᚢᚦ ᚨᚱᚲ", "ខ្មែរ", "2024 " + sentence(seeds, "de", 20, 4), "日本語のテキスト", ""]
+    ids = pa.array(range(len(texts)))
+    together = language.identify_batch(m, pa.RecordBatch.from_arrays([ids, pa.array(texts)], ["doc_id", "text"])).to_pylist()
+    alone = [language.identify_batch(m, pa.RecordBatch.from_arrays([ids[i : i + 1], pa.array([t])], ["doc_id", "text"])).to_pylist()[0] for i, t in enumerate(texts)]
+    assert together == alone
+    assert [r["lang"] for r in together] == ["fr", None, "ru", "ta", None, "km", "de", "ja", None]
+    assert [x["lang"] for x in together[7]["spans"]] == ["ja"]
+    assert not together[1]["spans"] and not together[4]["spans"]
