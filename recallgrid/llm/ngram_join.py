@@ -11,14 +11,14 @@ The order puts rare n-grams first. Document frequencies are counted over all doc
 leading bits of the hash (32 and those that number a bucket), and the most frequent keys (at most HOT_KEYS of them: the floor rises until they fit) are sent
 to every task. Any order gives the same result; a coarser one only makes more candidates.
 
-Documents with equal sets are one variant, so that a thousand copies cost one comparison. A row of the
-result is a pair of variants with its Jaccard similarity (docs_a and docs_b list the members, doc_id_a <
-doc_id_b are their least ids), or one variant of several documents, where docs_a = docs_b and the
-similarity is 1. All pairs at or above the threshold are found.
+Documents with equal sets are one variant, so that a thousand copies cost one comparison. Verified pairs of variants are
+expanded to their members: a row of the result is a pair of documents, doc_id_a < doc_id_b, with its Jaccard similarity,
+and copies are pairs of similarity 1. All pairs at or above the threshold are found.
 
 Defined results: null, empty or wordless texts have no n-gram and no partner. A text of fewer than N
 words has one n-gram, all its words. Rows without doc_id take no part (``keep_one`` keeps them). A
-repeated row counts once. Texts are read whole. Extra columns are ignored by ``pairs`` and kept by ``keep_one``.
+repeated row counts once; a doc_id with several texts is paired by each, and never with itself. An empty table has no pairs. Texts are read
+whole, at any length. A similarity equal to the threshold is a pair. Extra columns, whatever their names, are ignored by ``pairs`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ FLUSH = 1_500_000
 BLOCK = 512
 #: Rows of a lookup that may be broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Members of a variant that are expanded together.
+MEMBERS = 1024
 
 #: A posting carries the logarithm of the size in so many steps, and in the bit above whether it lies in the shorter prefix.
 SIZE_STEPS = 1000
@@ -419,13 +421,22 @@ def _joined(documents: DataFrame, n: int, threshold: float) -> tuple:
 
 
 def pairs(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id_a, doc_id_b, jaccard) of all pairs of documents at or above the threshold, doc_id_a < doc_id_b.
+
+    Variants are expanded to their members last, in blocks of ids that are spread over all tasks, so that the pairs of a large
+    group do not fall to one of them.
+    """
     _, known, found = _joined(documents, n, threshold)
-    a, b = (known.select(F.col("variant").alias(f"v{p}"), F.col("docs").alias(f"docs_{p}")) for p in "ab")
-    both = found.join(a, "va").join(b, "vb")
-    swap = F.col("docs_a")[0] > F.col("docs_b")[0]
-    both = both.select(F.when(swap, F.col("docs_b")).otherwise(F.col("docs_a")).alias("docs_a"), F.when(swap, F.col("docs_a")).otherwise(F.col("docs_b")).alias("docs_b"), F.round("jaccard", 6).alias("jaccard"))
-    copies = known.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    return both.union(copies).select(F.col("docs_a")[0].alias("doc_id_a"), F.col("docs_b")[0].alias("doc_id_b"), "docs_a", "docs_b", "jaccard")
+    steps = f"transform(sequence(0, (size(docs) - 1) div {MEMBERS}), i -> struct(i AS at, slice(docs, i * {MEMBERS} + 1, {MEMBERS}) AS docs))"
+    blocks = known.select("variant", F.explode(F.expr(steps)).alias("block")).select("variant", "block.at", "block.docs")
+    a, b = (blocks.select(F.col("variant").alias(f"v{p}"), F.col("at").alias(f"at_{p}"), F.col("docs").alias(f"docs_{p}")) for p in "ab")
+    across = found.join(a, "va").join(b, "vb").select("docs_a", "docs_b", "jaccard", F.lit(False).alias("copies"))
+    several = known.where(F.size("docs") > 1).select("variant")
+    copies = several.join(a, F.col("variant") == F.col("va")).join(b, (F.col("variant") == F.col("vb")) & (F.col("at_a") <= F.col("at_b")))
+    both = across.union(copies.select("docs_a", "docs_b", F.lit(1.0), F.lit(True))).repartition(F.xxhash64("docs_a", "docs_b"))
+    one = both.select(F.explode("docs_a").alias("a"), "docs_b", "jaccard", "copies").select("a", F.explode("docs_b").alias("b"), "jaccard", "copies")
+    one = one.where("a < b OR (a > b AND NOT copies)")
+    return one.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -490,14 +501,12 @@ def op(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{textvec.WORD_SQL}') AS w FROM documents),
-s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{textvec.WORD_SQL}') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
       ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i : i + {N - 1}], ' ')) END)) AS grams FROM w WHERE len(w) > 0),
-v AS (SELECT row_number() OVER (ORDER BY min(doc_id)) AS v, list_sort(list(DISTINCT doc_id)) AS docs, grams, len(grams) AS n FROM s GROUP BY grams),
-g AS (SELECT v, unnest(grams) AS g FROM v),
-c AS (SELECT a.v AS va, b.v AS vb, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.v < b.v GROUP BY a.v, b.v),
-p AS (SELECT x.docs AS docs_a, y.docs AS docs_b, common / (x.n + y.n - common) AS j
-      FROM c JOIN v x ON x.v = c.va JOIN v y ON y.v = c.vb)
-SELECT docs_a[1] AS doc_id_a, docs_b[1] AS doc_id_b, docs_a, docs_b, round(j, 6) AS jaccard FROM p WHERE j >= {THRESHOLD}
-UNION ALL SELECT docs[1], docs[1], docs, docs, 1.0 FROM v WHERE len(docs) > 1
+d AS (SELECT row_number() OVER (ORDER BY doc_id) AS d, doc_id, grams, len(grams) AS n FROM s),
+g AS (SELECT d, doc_id, unnest(grams) AS g FROM d),
+c AS (SELECT a.d AS da, b.d AS db, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.d, b.d)
+SELECT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b, round(common / (x.n + y.n - common), 6) AS jaccard
+FROM c JOIN d x ON x.d = c.da JOIN d y ON y.d = c.db WHERE common / (x.n + y.n - common) >= {THRESHOLD}
 """

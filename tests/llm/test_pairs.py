@@ -7,8 +7,9 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from recallgrid.llm import embedding_tiles, ngram_join
+from recallgrid.llm import embedding_tiles, ngram_join, textvec
 
+WORD = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", textvec.WORD_SQL))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, grp string, variant string, label string"
 
 
@@ -17,7 +18,7 @@ def documents(spark, texts):
 
 
 def grams(text, n):
-    w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+    w = WORD.findall((text or "").lower())
     if not w:
         return frozenset()
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
@@ -32,29 +33,42 @@ def copies(seed=3, size=60):
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = rng.choice(words)
         texts.append(" ".join(w))
-    return texts + ["W1 w2!", "w1 w2", "w2 w1", "solo", "Solo."]
+    return texts + ["W1 w2!", "w1 w2", "w2 w1", "solo", "Solo.", "今天天气很好我们去公园散步吧", "今天天气很好我们去公园散步吧！", "今天天气很好，我们去公园走走吧"]
 
 
-def brute(texts, n, threshold):
-    sets = [grams(t, n) for t in texts]
-    groups = {}
-    for i, s in enumerate(sets):
-        if s:
-            groups.setdefault(s, []).append(i)
-    out = {(tuple(d), tuple(d), 1.0) for d in groups.values() if len(d) > 1}
-    for (s, d), (t, e) in itertools.combinations(groups.items(), 2):
-        j = len(s & t) / len(s | t)
-        if j >= threshold:
-            a, b = sorted([d, e])
-            out.add((tuple(a), tuple(b), round(j, 6)))
-    return out
+def brute(rows, n, threshold):
+    """Pairs of documents, from (doc_id, text)."""
+    sets = {(i, grams(t, n)) for i, t in rows if i is not None}
+    out = []
+    for (i, s), (j, t) in itertools.combinations(sets, 2):
+        if i != j and s and t and len(s & t) / len(s | t) >= threshold:
+            out.append((min(i, j), max(i, j), round(len(s & t) / len(s | t), 6)))
+    return sorted(out)
+
+
+def pairs(docs, *args):
+    return sorted(tuple(r) for r in ngram_join.pairs(docs, *args).collect())
 
 
 def test_pairs_equal_brute_force(spark):
     texts = copies()
     for n, threshold in ((2, 0.7), (1, 0.5), (3, 0.9)):
-        got = {(tuple(r["docs_a"]), tuple(r["docs_b"]), r["jaccard"]) for r in ngram_join.pairs(documents(spark, texts), n, threshold).collect()}
-        assert got == brute(texts, n, threshold), (n, threshold)
+        assert pairs(documents(spark, texts), n, threshold) == brute(enumerate(texts), n, threshold), (n, threshold)
+
+
+def test_members_are_expanded_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MEMBERS", 2)
+    long = " ".join(f"w{i}" for i in range(50))
+    texts = [long] * 7 + [long + " more"] * 5 + ["alone"]
+    assert pairs(documents(spark, texts)) == brute(enumerate(texts), 2, 0.7)
+    assert len(brute(enumerate(texts), 2, 0.7)) == 12 * 11 // 2
+
+
+def test_an_id_of_several_texts(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, long), (1, long + " end"), (2, long), (2, long), (3, long + " end"), (None, long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x", "y", "z") for i, t in rows], DOCS)
+    assert pairs(docs) == brute(rows, 2, 0.7)
 
 
 def test_blocks_and_shuffled_lookups_change_nothing(spark, monkeypatch):
@@ -63,8 +77,7 @@ def test_blocks_and_shuffled_lookups_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(ngram_join, "HOT_KEYS", 5)
     monkeypatch.setattr(ngram_join, "FLUSH", 50)
-    got = {(tuple(r["docs_a"]), tuple(r["docs_b"]), r["jaccard"]) for r in ngram_join.pairs(documents(spark, texts)).collect()}
-    assert got == brute(texts, ngram_join.N, ngram_join.THRESHOLD)
+    assert pairs(documents(spark, texts)) == brute(enumerate(texts), ngram_join.N, ngram_join.THRESHOLD)
 
 
 def test_sketches_bound_from_below():
@@ -82,8 +95,7 @@ def test_sketches_bound_from_below():
 def test_join_hard_rows(spark):
     docs = documents(spark, [None, "", "...", "tie tie", "tie tie", "long " * 20_000, "long " * 20_001])
     none = docs.limit(1).selectExpr("CAST(NULL AS LONG) AS doc_id", "'tie tie' AS text", "lang", "source", "n_chars", "grp", "variant", "label")
-    rows = ngram_join.pairs(docs.union(none).union(docs)).collect()
-    assert {(tuple(r["docs_a"]), tuple(r["docs_b"]), r["jaccard"]) for r in rows} == {((3, 4), (3, 4), 1.0), ((5, 6), (5, 6), 1.0)}
+    assert pairs(docs.union(none).union(docs)) == [(3, 4, 1.0), (5, 6, 1.0)]
     assert ngram_join.pairs(docs.limit(0)).count() == 0
     kept = ngram_join.keep_one(docs.union(none).union(docs.where("doc_id = 3")))
     assert kept.columns == docs.columns
