@@ -7,9 +7,9 @@ with the same prefix and size collapse into one group; groups that share a prefi
 allow the threshold are candidates; their members are then expanded, compared by parity sketches that bound
 the overlap from above, and what is left is verified on the whole sets.
 
-The order puts rare n-grams first. Document frequencies are counted over all documents by the
-leading bits of the hash (32 and those that number a bucket), and the most frequent keys (at most HOT_KEYS of them: the floor rises until they fit) are sent
-to every task. Any order gives the same result; a coarser one only makes more candidates.
+The order puts rare n-grams first. Document frequencies are counted over all documents in 2^CELL_BITS cells, to which the leading
+bits of the hash assign the n-grams, and one byte a cell, the logarithm of its count, is sent to every task: as much for any input. A cell
+that rare n-grams share with a frequent one counts as frequent. Any order gives the same result; a coarser one only makes more candidates.
 
 Documents with equal sets are one variant, so that a thousand copies cost one comparison. Verified pairs of variants are
 expanded to their members: a row of the result is a pair of documents, doc_id_a < doc_id_b, with its Jaccard similarity,
@@ -37,9 +37,8 @@ from . import batches, textvec
 
 N = 2
 THRESHOLD = 0.7
-#: Keys that the broadcast order holds, and the least document frequency of interest.
-HOT_KEYS = 1 << 22
-HOT_FLOOR = 4
+#: Cells of the broadcast order, as a power of two.
+CELL_BITS = 24
 #: Keys that a task holds before it writes them out.
 FLUSH = 1_500_000
 #: Variants of one verifying task are split into blocks of about this many.
@@ -101,37 +100,31 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(sorted_)]]))
 
 
-def frequent(documents: DataFrame, n: int = N) -> Order:
-    """The most frequent keys over all documents, each with the binary logarithm of how many documents hold it."""
-    bits = _buckets(documents.sparkSession)
-    rest = 32
+def frequent(documents: DataFrame, n: int = N) -> np.ndarray:
+    """For every cell of n-grams the binary logarithm of how often documents hold one of them; all documents are counted."""
+    bits = min(CELL_BITS, _buckets(documents.sparkSession))
+    width = CELL_BITS - bits
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held))
-            first, many = _runs(keys)
-            keys = keys[first]
-            edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(rest))
-            low = (keys & np.uint64((1 << rest) - 1)).astype("<u4")
-            one = many == 1
-            bucket, ones, more, counts = [], [], [], []
-            for b in range(1 << bits):
-                part = slice(edges[b], edges[b + 1])
-                if edges[b] < edges[b + 1]:
-                    bucket.append(b)
-                    ones.append(_pack(low[part][one[part]], 16))
-                    more.append(_pack(low[part][~one[part]], 16))
-                    counts.append(many[part][~one[part]].astype("<u4").tobytes())
+            cells = np.sort(np.concatenate(held))
+            first, many = _runs(cells)
+            cells = cells[first]
+            edges = np.searchsorted(cells, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(width))
+            used = np.flatnonzero(np.diff(edges))
+            pack = zstandard.ZstdCompressor(level=1).compress
+            steps = [np.diff(cells[edges[b] : edges[b + 1]].astype(np.int64), prepend=b << width).astype("<u4") for b in used]
+            columns = [pa.array(used.astype(np.int32)), pa.array([pack(x.tobytes()) for x in steps], pa.binary()), pa.array([pack(many[edges[b] : edges[b + 1]].astype("<u4").tobytes()) for b in used], pa.binary())]
             held.clear()
             batches.trim()
-            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(ones, pa.binary()), pa.array(more, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "ones", "more", "counts"])
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "cells", "counts"])
 
         for batch in rows:
             for part in batches.text_slices(batch, "text"):
-                held.append(_sets(part.column("text"), n)[0] >> np.uint64(32 - bits))
+                held.append((_sets(part.column("text"), n)[0] >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield flush()
@@ -140,71 +133,25 @@ def frequent(documents: DataFrame, n: int = N) -> Order:
             yield flush()
 
     def merge(table: pa.Table) -> pa.Table:
-        ones = np.concatenate([_unpack(x, 16) for x in table["ones"].to_pylist()]).astype(np.uint32)
-        more = np.concatenate([_unpack(x, 16) for x in table["more"].to_pylist()]).astype(np.uint32)
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
-        ones = np.sort(ones)
-        first, many = _runs(ones)
-        often = many > 1
-        keys = np.concatenate([ones[first][often], more])
-        total = np.concatenate([many[often], counts.astype(np.int64)])
-        # single occurrences of keys that are repeated elsewhere are small change for a logarithm, but count them
-        at = np.searchsorted(ones[first], more) if len(first) else np.zeros(len(more), np.int64)
-        if len(first):
-            at = np.minimum(at, len(first) - 1)
-            single = (ones[first][at] == more) & (many[at] == 1)
-            order = np.argsort(more, kind="stable")
-            lead = np.zeros(len(more), bool)
-            lead[order[_runs(more[order])[0]]] = True
-            total[len(total) - len(more) :] += single & lead
-        order = np.argsort(keys, kind="stable")
-        first, _ = _runs(keys[order])
-        total = np.add.reduceat(total[order], first) if len(first) else total[:0]
-        keys = keys[order][first] if len(first) else keys[:0]
-        hot = total >= HOT_FLOOR
+        total = np.zeros(1 << width, np.int64)
+        read = lambda raw: np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u4")
+        for cells, counts in zip(table["cells"].to_pylist(), table["counts"].to_pylist()):
+            total[np.cumsum(read(cells), dtype=np.int64)] += read(counts)
         batches.trim()
-        bucket = np.int64(table["bucket"][0].as_py())
-        return pa.table({"key": (bucket << np.int64(rest)) | keys[hot].astype(np.int64), "df": np.log2(total[hot]).astype(np.int32)})
-
-    counted = _texts(documents).select("text").mapInArrow(count, "bucket int, ones binary, more binary, counts binary")
-    hot = batches.cut(counted.groupBy("bucket").applyInArrow(merge, "key long, df int"))
-    floor, held = 99, 0
-    for row in sorted(hot.groupBy("df").count().collect(), key=lambda r: -r["df"]):
-        held += row["count"]
-        if held > HOT_KEYS:
-            break
-        floor = row["df"]
-    table = hot.where(F.col("df") >= floor).toArrow()
-    keys, df = table["key"].to_numpy().astype(np.uint64), table["df"].to_numpy().astype(np.uint8)
-    order = np.argsort(keys)
-    return Order(keys[order], df[order], rest + bits)
-
-
-class Order:
-    """The frequent keys behind an index over their leading bits, so that a look-up touches two places and no more."""
-
-    def __init__(self, keys: np.ndarray, df: np.ndarray, bits: int):
-        self.keys, self.df, self.bits = keys, df, bits
-        self.lead = min(bits, max(1, len(keys).bit_length() + 1))
-        self.index = np.searchsorted(keys, np.arange((1 << self.lead) + 1, dtype=np.uint64) << np.uint64(bits - self.lead)).astype(np.uint32)
-
-    def ranks(self, key: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(key), np.uint64)
-        lead = (key >> np.uint64(self.bits - self.lead)).astype(np.int64)
-        at, end = self.index[lead], self.index[lead + 1]
-        live = np.flatnonzero(at < end)
-        while len(live):
-            here = at[live]
-            hit = self.keys[here] == key[live]
-            out[live[hit]] = self.df[here[hit]]
-            at[live] += 1
-            live = live[~hit & (here + 1 < end[live])]
-        return out
-
-
-def ordered(g: np.ndarray, hot: Order) -> np.ndarray:
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "ranks": pa.array([np.log2(np.maximum(total, 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+    counted = _texts(documents).select("text").mapInArrow(count, "bucket int, cells binary, counts binary")
+    ranks = np.zeros(1 << CELL_BITS, np.uint8)
+    # the driver gets one byte a cell, whatever the size of the input
+    for row in counted.groupBy("bucket").applyInArrow(merge, "bucket int, ranks binary").toLocalIterator():
+        ranks[row["bucket"] << width : (row["bucket"] + 1) << width] = np.frombuffer(row["ranks"], np.uint8)
+    return ranks
+
+
+def ordered(g: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """n-gram hashes as numbers whose order is the global order: frequency first, then 56 bits of the hash."""
-    return (hot.ranks(g >> np.uint64(64 - hot.bits)) << np.uint64(56)) | (g >> np.uint64(8))
+    cell = (g >> np.uint64(64 - (len(ranks).bit_length() - 1))).astype(np.int64)
+    return (ranks[cell].astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8))
 
 
 def prefix_size(size: np.ndarray, threshold: float) -> np.ndarray:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from recallgrid.llm import embedding_tiles, ngram_join, textvec
@@ -75,16 +76,23 @@ def test_blocks_and_shuffled_lookups_change_nothing(spark, monkeypatch):
     texts = copies(8, 40)
     monkeypatch.setattr(ngram_join, "BLOCK", 2)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(ngram_join, "HOT_KEYS", 5)
+    monkeypatch.setattr(ngram_join, "CELL_BITS", 3)
     monkeypatch.setattr(ngram_join, "FLUSH", 50)
     assert pairs(documents(spark, texts)) == brute(enumerate(texts), ngram_join.N, ngram_join.THRESHOLD)
 
 
-def test_sketches_bound_from_below():
-    import pyarrow as pa
+def test_order_counts_all_documents(spark):
+    texts = ["a b c"] * 9 + ["a b", None, "", "b c d"]
+    ranks = ngram_join.frequent(documents(spark, texts).repartition(3))
+    assert len(ranks) == 1 << ngram_join.CELL_BITS
+    g = lambda text: ngram_join._sets(pa.array([text]), 2)[0]
+    found = {text: int(ngram_join.ordered(g(text), ranks)[0] >> np.uint64(56)) for text in ("a b", "b c", "c d", "x y")}
+    assert found == {"a b": 3, "b c": 3, "c d": 0, "x y": 0}
+
 
+def test_sketches_bound_from_below():
     texts = copies(5, 30)
-    order = ngram_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.uint8), 36)
+    order = np.zeros(16, np.uint8)
     sets = ngram_join.Sets(pa.array(texts), 2, 0.7, order)
     exact = [set(sets.value[a:b].tolist()) for a, b in zip(sets.at[:-1], sets.at[1:])]
     for i in range(0, len(texts), 3):
