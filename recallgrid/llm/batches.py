@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one call of a batch function sees, unless a single row is longer.
 SLICE_BYTES = 1 << 21
@@ -39,7 +40,24 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES
 
 
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, column: str = "text", max_bytes: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow that hands fn slices bounded by bytes instead of rows."""
+    """mapInArrow that hands fn slices bounded by bytes instead of rows.
+
+    Columns whose names mapInArrow can't resolve (with dots or backticks, or alike but for case) go by other names on the way.
+    """
+    lower = [c.lower() for c in df.columns]
+    plain = [c if lower.count(c.lower()) == 1 and not set(c) & set(".`") else None for c in df.columns]
+    if None in plain:
+        spare = unused(df, *(f"column{i}" for i in range(len(plain))))
+        sent = [c or s for c, s in zip(plain, spare)]
+        names = [f.name for f in schema.fields] if isinstance(schema, StructType) else None
+        if names is not None:
+            back = dict(zip(sent, df.columns))
+            # what passes through keeps its place; what fn adds comes after
+            through = [s for s, c in zip(sent, df.columns) if c != column or column in names][: len(names)]
+            out = [through[i] if i < len(through) and back[through[i]] == name else name for i, name in enumerate(names)]
+            schema = StructType([StructField(o, f.dataType, f.nullable) for o, f in zip(out, schema.fields)])
+        found = map_text(df.toDF(*sent), fn, schema, column, max_bytes)
+        return found if names is None else found.toDF(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,11 +71,13 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the session's shared folder; sets a folder only where none is named, as in tests."""
+    """Uses the session's shared folder; sets one in the temporary folder only where none is named and one machine does everything, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "recallgrid-checkpoints"))
 
 
@@ -67,6 +87,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with as many underscores in front as keep them from any column of df, in any case."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any(lead + name in taken for name in names):
+        lead += "_"
+    return [lead + name for name in names]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

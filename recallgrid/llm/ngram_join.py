@@ -414,33 +414,34 @@ def keep_one(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     placed = known.join(labels, known["variant"] == labels["node"], "left").select(F.coalesce("label", "variant").alias("label"), "variant", "docs")
     least = placed.groupBy("label").agg(F.min(F.struct(F.col("docs")[0].alias("id"), "variant")).alias("kept"))
     least = placed.select("label", "variant", F.explode("docs").alias("id")).join(least, "label")
-    gone = batches.cut(least.where("id != kept.id OR variant != kept.variant").select(F.col("id").alias("__gone"), F.col("variant").alias("__of")))
+    id_, of, text = batches.unused(documents, "id", "of", "text")
+    gone = batches.cut(least.where("id != kept.id OR variant != kept.variant").select(F.col("id").alias(id_), F.col("variant").alias(of)))
     if batches.fits_broadcast(gone, 4 * BROADCAST_ROWS):
         gone = F.broadcast(gone)
-    key = documents["doc_id"].cast("long")
-    several = batches.cut(documents.where("doc_id IS NOT NULL").groupBy(key.alias("__id")).count().where("count > 1").select("__id"))
+    key = F.col("doc_id").cast("long")
+    several = batches.cut(documents.where("doc_id IS NOT NULL").groupBy(key.alias(id_)).count().where("count > 1").select(id_))
     if several.isEmpty():
-        return documents.join(gone, key == F.col("__gone"), "left_anti")
+        return documents.join(gone, key == F.col(id_), "left_anti")
     if batches.fits_broadcast(several, 4 * BROADCAST_ROWS):
         several = F.broadcast(several)
-    single = documents.join(several, key == F.col("__id"), "left_anti")
-    single = single.join(gone, single["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    own = _with_variant(documents.join(several, key == F.col("__id"), "left_semi"), shared, n, threshold)
-    left = own.join(gone, (own["doc_id"].cast("long") == F.col("__gone")) & (F.col("__variant") == F.col("__of")), "left_anti")
-    once = left.where("__variant IS NOT NULL").dropDuplicates(["doc_id", "__variant"])
-    return single.union(once.union(left.where("__variant IS NULL")).select(*documents.columns))
+    single = documents.join(several, key == F.col(id_), "left_anti").join(gone, key == F.col(id_), "left_anti")
+    own = _with_variant(documents.join(several, key == F.col(id_), "left_semi"), shared, n, threshold, of, text)
+    theirs = gone.withColumnRenamed(of, text)
+    left = own.join(theirs, (key == F.col(id_)) & (F.col(of) == F.col(text)), "left_anti")
+    once = left.where(F.col(of).isNotNull()).dropDuplicates(["doc_id", of])
+    return single.union(once.union(left.where(F.col(of).isNull())).select(*[F.col(f"`{c}`") for c in documents.columns]))
 
 
-def _with_variant(documents: DataFrame, shared, n: int, threshold: float) -> DataFrame:
-    """All columns and __variant, null for texts without words."""
+def _with_variant(documents: DataFrame, shared, n: int, threshold: float, variant: str, text: str) -> DataFrame:
+    """All columns and the variant, null for texts without words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = Sets(batch.column("__text"), n, threshold, shared.value)
+        sets = Sets(batch.column(text), n, threshold, shared.value)
         columns = [batch.column(c) for c in range(batch.num_columns - 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(sets.set, mask=sets.size == 0)], [*batch.schema.names[:-1], "__variant"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(sets.set, mask=sets.size == 0)], [*batch.schema.names[:-1], variant])
 
-    schema = StructType([*documents.schema.fields, StructField("__variant", LongType())])
-    return batches.map_text(documents.withColumn("__text", F.col("text").cast("string")), run, schema, "__text")
+    schema = StructType([*documents.schema.fields, StructField(variant, LongType())])
+    return batches.map_text(documents.withColumn(text, F.col("text").cast("string")), run, schema, text)
 
 
 def op(spark: SparkSession, sf_dir: str) -> DataFrame:
