@@ -15,10 +15,12 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_spans.op,
     "op9_embedding_near_dedup": embedding_tiles.op,
     "op10_language": language.op,
+    "embedding_pairs_loose": embedding_tiles.loose,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_join.ORACLE,
     "op5_benchmark_decontamination": winnowing.ORACLE,
     "op9_embedding_near_dedup": embedding_tiles.ORACLE,
+    "embedding_pairs_loose": embedding_tiles.LOOSE_ORACLE,
 }

@@ -127,6 +127,14 @@ def test_keep_one_keeps_every_text_of_an_id(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, near), (2, "a text that stands alone"), (2, "..."), (4, "four has this"), (4, "and that as well")])
 
 
+def test_keep_one_beside_clashing_names(spark):
+    rows = [(1, "one two three", 1, 2, 3, "a", "b"), (1, "one two three", 1, 2, 3, "a", "b"), (2, "one two three", 4, 5, 6, "c", "d"), (3, "alone", 7, 8, 9, "e", "f"), (None, "one two three", 0, 0, 0, "g", "h")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _id int, __ID int, _of int, _text string, `a.b` string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, None]
+    assert pairs(docs) == [(1, 2, 1.0)]
+
+
 # embeddings
 
 
@@ -159,6 +167,19 @@ def test_tiles_compare_every_width(spark):
         assert {(r["vec_id_a"], r["vec_id_b"]) for r in got} == want and len(got) == len(want)
 
 
+def test_far_tiles_never_meet(spark):
+    """Clusters apart on several axes: single and double precision, and pairs across the borders of tiles."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 12)) * 3
+    x = np.concatenate([c + 0.3 * rng.normal(size=(60, 12)) for c in centres])
+    for kind, v in (("double", x), ("float", x.astype(np.float32).astype(float))):
+        unit = v / np.linalg.norm(v, axis=1)[:, None]
+        cosine = unit @ unit.T
+        df = spark.createDataFrame(list(enumerate(v.tolist())), f"vec_id long, embedding array<{kind}>")
+        got = {tuple(r)[:2] for r in embedding_tiles.pairs(df, 0.97, 20).collect()}
+        assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(cosine >= 0.97, 1)))} and got
+
+
 # pipeline
 
 
