@@ -5,13 +5,14 @@ products of the pieces' unigram probabilities. Pieces never hold a space but in
 product over words; within a word a forward recursion in log space runs over the lattice of all pieces
 that match. A character that is no piece takes its byte pieces.
 
-The vocabulary's own scores order the pieces by rank (-rank, as its merges were found); a Zipf law
-over that rank is the prior. It is weighted by PRIOR pieces against how often each piece occurs in the best
-segmentation of all words of all documents, which is what a unigram model of the corpus needs. The
-vocabulary itself stays as it is.
+The vocabulary file's own scores weight the pieces, by one monotone map (``worth``): a unigram file's scores are log probabilities
+as they are; those of a file of merges are their ranks, negative, and a rank r is worth -log(r + SHIFT), as in Zipf's law. A piece's log probability is
+its worth times an exponent, normalised. The exponent is the one number that is taken from the corpus: the one under which the best
+segmentations of all words of all documents are likeliest. No piece is counted up or down, and the vocabulary itself stays as it is.
 
 Defined results: a null or empty text has log probability 0 and null bits per byte. Repeated rows
-are counted and scored each. Texts are scored whole. Ties do not arise. Extra columns are ignored.
+are counted and scored each. Texts are scored whole, at any length. Ties do not arise; a null doc_id stays null. An empty table gives none, and without a
+document the exponent is 1. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import batches, textvec
 from .sentencepiece_spans import MODEL
 
-PRIOR = 32_000.0
+SHIFT = 2.7
 SPACE = "▁".encode()
 #: Words that a task counts or remembers before it writes them out or starts afresh.
 MEMO = 400_000
@@ -44,15 +45,15 @@ def chunks(text: str) -> list[str]:
     return [" " + w for w in text.split(" ")]
 
 
-def pieces(path: str = MODEL) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Surface bytes of all pieces (empty for control pieces), their scores, and which stand for single bytes."""
+def pieces(path: str = MODEL) -> tuple[list[bytes], np.ndarray, np.ndarray, bool]:
+    """Surface bytes of all pieces (empty for control pieces), their scores, which stand for single bytes, and whether the scores are log probabilities."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     model = pb.ModelProto()
     with open(path, "rb") as file:
         model.ParseFromString(file.read())
     surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.encode() if p.type == 1 else b"" for p in model.pieces]
-    return surface, np.array([p.score for p in model.pieces]), np.array([p.type == 6 for p in model.pieces])
+    return surface, np.array([p.score for p in model.pieces]), np.array([p.type == 6 for p in model.pieces]), model.trainer_spec.model_type == 1
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -104,16 +105,37 @@ class Lattice:
     longest: int
 
 
-def lattice(counts: dict[int, int], path: str = MODEL, prior: float = PRIOR) -> Lattice:
-    surface, score, single = pieces(path)
-    n = np.zeros(len(surface))
+def worth(path: str = MODEL) -> np.ndarray:
+    """What the file's scores make of each piece; -inf for control pieces. Pieces for single bytes, which have no score of their own in a file of merges, come last."""
+    surface, score, single, logs = pieces(path)
+    value = score if logs else -np.log(np.where(single, len(surface), np.clip(-score, 0, len(surface))) + SHIFT)
+    return np.where([bool(s) for s in surface], value, -np.inf)
+
+
+def exponent(counts: dict[int, int], path: str = MODEL) -> float:
+    """The exponent under which the counted pieces are likeliest: there the mean worth of the pieces is that of the counts."""
+    value = worth(path)
+    usable = np.isfinite(value)
+    n = np.zeros(len(value))
     for piece, k in counts.items():
         n[piece] = k
-    usable = np.array([bool(s) for s in surface])
-    rank = np.where(single, len(surface), np.clip(-score, 0, len(surface)))
-    zipf = np.where(usable, 1 / (rank + 2.7), 0)
-    weight = np.where(usable, n + prior * zipf / zipf.sum(), 0)
-    logp = np.log(np.maximum(weight, 1e-300) / weight.sum())
+    n = n[usable]
+    value = value[usable]
+    if not n.sum():
+        return 1.0
+    target = float((n * value).sum() / n.sum())
+    low, high = 1e-3, 64.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        p = np.exp(middle * (value - value.max()))
+        low, high = (middle, high) if (p * value).sum() / p.sum() < target else (low, middle)
+    return (low + high) / 2
+
+
+def lattice(exponent: float = 1.0, path: str = MODEL) -> Lattice:
+    surface, _, single, _ = pieces(path)
+    logp = exponent * worth(path)
+    logp = logp - (top := logp.max()) - np.log(np.exp(logp - top).sum())
     bytes_logp = np.full(256, -50.0)
     best: dict[bytes, float] = {}
     for s, p, one in zip(surface, logp.tolist(), single.tolist()):
@@ -204,7 +226,7 @@ class Memo:
 def train(documents: DataFrame, path: str = MODEL) -> Lattice:
     """Counts pieces over all documents; what comes to the driver has at most one row a piece."""
     counts = piece_counts(word_counts(documents), path)
-    return lattice({r["piece"]: r["n"] for r in counts.collect()}, path)
+    return lattice(exponent({r["piece"]: r["n"] for r in counts.collect()}, path), path)
 
 
 def score(documents: DataFrame, model: Lattice) -> DataFrame:

@@ -122,12 +122,10 @@ def test_shard_files(spark, tmp_path):
 
 
 def test_lattice_sums_all_segmentations():
-    model = lattice_lm.lattice({500: 1000, 700: 10}, lattice_lm.MODEL)
-    surface, score, single = lattice_lm.pieces()
-    n = np.zeros(len(surface))
-    n[500], n[700] = 1000, 10
-    zipf = np.where([bool(s) for s in surface], 1 / (np.where(single, len(surface), np.clip(-score, 0, len(surface))) + 2.7), 0)
-    weight = n + lattice_lm.PRIOR * zipf / zipf.sum()
+    model = lattice_lm.lattice(1.25)
+    surface, score, single, logs = lattice_lm.pieces()
+    assert not logs
+    weight = np.where([bool(s) for s in surface], (np.where(single, len(surface), np.clip(-score, 0, len(surface))) + 2.7) ** -1.25, 0)
     p = weight / weight.sum()
     pieces = {s: x for s, x, one in zip(surface, p, single) if s and not one}
     byte = {s[0]: x for s, x, one in zip(surface, p, single) if one}
@@ -148,6 +146,30 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(lattice_lm.marginals(model, words), [brute(w) for w in words], atol=1e-8)
 
 
+def test_weights_follow_the_scores_of_the_file(tmp_path):
+    _, score, single, _ = lattice_lm.pieces()
+    value = lattice_lm.worth()
+    plain = np.flatnonzero(np.isfinite(value) & ~single)
+    assert (np.argsort(-score[plain], kind="stable") == np.argsort(-value[plain], kind="stable")).all()
+    # the exponent is the likeliest of a grid
+    counts = {int(plain[0]): 50, int(plain[9]): 20, int(plain[400]): 7, int(plain[9000]): 1}
+    best = lattice_lm.exponent(counts)
+    usable = value[np.isfinite(value)]
+    likely = lambda e: sum(n * (e * value[i] - np.log(np.exp(e * usable).sum())) for i, n in counts.items())
+    assert all(likely(best) >= likely(best + d) for d in (-0.3, -0.01, 0.01, 0.3)) and lattice_lm.exponent({}) == 1.0
+    # a unigram file's scores are its weights
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = 1
+    for piece, logp in (("\u2581", math.log(0.5)), ("a", math.log(0.3)), ("aa", math.log(0.2))):
+        model.pieces.add(piece=piece, score=logp, type=1)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    got = lattice_lm.marginals(lattice_lm.lattice(1.0, str(path)), [" aa", " a"])
+    assert np.allclose(np.exp(got), [0.5 * (0.3 * 0.3 + 0.2), 0.5 * 0.3])
+
+
 def test_scores(spark):
     docs = documents(spark, ODD)
     words = {r["word"]: r["n"] for r in lattice_lm.word_counts(docs).collect()}
