@@ -8,8 +8,9 @@ word, to the maximal shared span; spans below GUARANTEE words are dropped, so th
 all maximal shared spans of at least GUARANTEE words.
 
 Defined results: null or empty texts and texts with fewer words than the guarantee share nothing. Equal
-benchmark rows and equal documents are reported each. A null id stays null. Texts are read whole. Extra
-columns are ignored by ``spans`` and kept by ``clean``.
+benchmark rows and equal documents are reported each, and so are several places of a passage. A null id stays null. With an empty table on
+either side nothing is shared. Texts are read whole, at any length. Extra
+columns, whatever their names, are ignored by ``spans`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -116,8 +117,8 @@ class Benchmark:
         return sorted(found)
 
 
-def _emit(ids: pa.Array, bench: Benchmark, w: textvec.Words) -> pa.RecordBatch:
-    found = np.array(bench.spans(w), np.int64).reshape(-1, 5)
+def _emit(ids: pa.Array, bench: Benchmark, spans: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+    found = np.array(spans, np.int64).reshape(-1, 5)
     columns = [
         ids.take(pa.array(found[:, 0])),
         pa.array(bench.ids[found[:, 1]], mask=bench.null[found[:, 1]]),
@@ -153,7 +154,7 @@ def spans(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int =
     shared = documents.sparkSession.sparkContext.broadcast(loaded)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return _emit(batch.column("doc_id"), shared.value, textvec.words(batch.column("text")))
+        return _emit(batch.column("doc_id"), shared.value, shared.value.spans(textvec.words(batch.column("text"))))
 
     return batches.map_text(d, run, SCHEMA)
 
@@ -164,29 +165,48 @@ def _prints(df: DataFrame, k: int, window: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = textvec.words(batch.column("text"))
         g, at = fingerprints(w, k, window)
-        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column("key").take(pa.array(w.row[at]))], ["print", "key"])
+        # once for each text of the slice, which keeps a phrase that repeats from being sent as often
+        pair = np.unique(np.stack([g.view(np.int64), w.row[at]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), batch.column("key").take(pa.array(pair[1]))], ["print", "key"])
 
     return batches.map_text(df, run, "print long, key long").distinct()
 
 
+def _places(first: np.ndarray, second: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values of two columns as one number a row, and where each stands first."""
+    _, one, same = np.unique(np.stack([first, second]), axis=1, return_index=True, return_inverse=True)
+    return same.ravel(), one
+
+
 def spans_shuffled(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """The same spans for a benchmark of any size: fingerprints meet in a shuffled join, then the texts of each hit are compared."""
+    """The same spans for a benchmark of any size: fingerprints meet in a shuffled join, then the texts of each hit are compared.
+
+    Only keys of texts go through the first join. Hits lie sorted by benchmark text, so that a slice indexes each of its texts once.
+    """
     d, b = _sides(documents, benchmark)
     d, b = d.withColumn("key", F.xxhash64("text")), b.withColumn("key", F.xxhash64("text"))
     hits = _prints(d, k, window).withColumnRenamed("key", "d_key").join(_prints(b, k, window).withColumnRenamed("key", "b_key"), "print").select("d_key", "b_key").distinct()
     pairs = (
         hits.join(d.select(F.col("key").alias("d_key"), F.col("doc_id"), F.col("text")), "d_key")
         .join(b.select(F.col("key").alias("b_key"), F.col("item_id"), F.col("text").alias("item_text")), "b_key")
-        .select("doc_id", "text", "item_id", "item_text")
+        .select("d_key", "b_key", "doc_id", "text", "item_id", "item_text")
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = []
-        for i in range(batch.num_rows):
-            one = batch.slice(i, 1)
-            bench = Benchmark(one.column("item_id").to_pylist(), one.column("item_text"), k, window)
-            parts.append(_emit(one.column("doc_id"), bench, textvec.words(one.column("text"))))
-        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts and sum(p.num_rows for p in parts) else parts[0] if parts else None
+        read = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+        null = lambda name: batch.column(name).is_null().to_numpy(zero_copy_only=False)
+        number = lambda name: np.where(null(name), 0, batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)) * 2 + null(name)
+        doc, doc_at = _places(read("d_key"), number("doc_id"))
+        item, item_at = _places(read("b_key"), number("item_id"))
+        doc_rows, item_rows = pa.array(doc_at), pa.array(item_at)
+        bench = Benchmark(batch.column("item_id").take(item_rows).to_pylist(), batch.column("item_text").take(item_rows), k, window)
+        w = textvec.words(batch.column("text").take(doc_rows))
+        # pairs of the slice that are no rows of it come from elsewhere; rows that repeat give as many spans
+        times: dict[tuple[int, int], int] = {}
+        for x, y in zip(doc.tolist(), item.tolist()):
+            times[x, y] = times.get((x, y), 0) + 1
+        found = [s for s in bench.spans(w) for _ in range(times.get((s[0], s[1]), 0))]
+        return _emit(batch.column("doc_id").take(doc_rows), bench, found)
 
     return batches.map_text(pairs, run, SCHEMA)
 
@@ -196,8 +216,9 @@ def clean(documents: DataFrame, benchmark: DataFrame, k: int = K, window: int =
     _, b = _sides(documents, benchmark)
     loaded = _load(b, k, window)
     if loaded is None:
-        bad = spans_shuffled(documents.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, k, window).select(F.col("doc_id").alias("__key")).distinct()
-        return documents.join(bad, F.xxhash64(documents["text"]) == bad["__key"], "left_anti")
+        (key,) = batches.unused(documents, "key")
+        bad = spans_shuffled(documents.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark, k, window).select(F.col("doc_id").alias(key)).distinct()
+        return documents.join(bad, F.xxhash64("text") == F.col(key), "left_anti")
     shared = documents.sparkSession.sparkContext.broadcast(loaded)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
