@@ -48,9 +48,13 @@ BROADCAST_ROWS = 500_000
 #: Members of a variant that are expanded together.
 MEMBERS = 1024
 
-#: A posting carries the logarithm of the size in so many steps, and in the bit above whether it lies in the shorter prefix.
+#: A posting carries the logarithm of the size in so many steps, and in the highest bit whether it lies in the shorter prefix.
 SIZE_STEPS = 1000
 SHORT = 1 << 15
+#: In the bit below, whether it comes from the class of sizes beneath.
+VISITOR = 1 << 14
+#: n-grams of cells that are counted 2^HOT_RANK times have a posting list for each class of sizes.
+HOT_RANK = 16
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -228,10 +232,17 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
         starts = np.cumsum(length) - length
         before[starts] = 0
         group = np.repeat(sets.group[one], length)
-        size = np.repeat((np.log(sets.size[one]) * SIZE_STEPS).astype("<u2"), length)
+        size = np.repeat(np.minimum(np.log(sets.size[one]) * SIZE_STEPS, VISITOR - 1).astype("<u2"), length)
         short = sets.size[one] - np.ceil(2 * threshold / (1 + threshold) * sets.size[one] - 1e-9).astype(np.int64) + 1
         place = np.arange(len(token)) - np.repeat(starts, length)
+        kind = (size // (slack + 1)).astype(np.uint64)
         size[place < np.repeat(short, length)] |= SHORT
+        # a set near enough in size is of the same class or the next one: every hot posting lies in the lists of both
+        hot = np.flatnonzero(sets.value[where] >> np.uint64(56) >= HOT_RANK)
+        in_class = lambda k: textvec.mix(token[hot] + (kind[hot] + np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93))
+        home, next_ = in_class(1), in_class(2)
+        token[hot] = home
+        token, group, before, size = np.concatenate([token, next_]), np.concatenate([group, group[hot]]), np.concatenate([before, before[hot]]), np.concatenate([size, size[hot] | VISITOR])
         order = np.argsort(token)
         token, group = token[order], group[order]
         edges = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -246,17 +257,17 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
         token = np.concatenate([_unpack(x, 16) for x in table["token"].to_pylist()]).astype(np.uint32)
         group = (read("high", "<u2").astype(np.int64) << 32) | read("low", "<u4")
         size, before = read("size", "<u2").astype(np.int32), read("before", "<u4")
-        short, size = size >= SHORT, size & (SHORT - 1)
+        short, visitor, size = size >= SHORT, size & VISITOR > 0, size & (VISITOR - 1)
         # only n-grams that several postings hold can make a pair
         order = np.argsort(token, kind="stable")
         first, many = _runs(token[order])
         order = order[np.repeat(many > 1, many)]
-        token, group, size, before, short = token[order], group[order], size[order], before[order], short[order]
+        token, group, size, before, short, visitor = (x[order] for x in (token, group, size, before, short, visitor))
         order = np.lexsort((group, size, token))
-        token, group, size, before, short = token[order], group[order], size[order], before[order], short[order]
+        token, group, size, before, short, visitor = (x[order] for x in (token, group, size, before, short, visitor))
         if len(token):
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
-            token, group, size, before, short = token[new], group[new], size[new], before[new], short[new]
+            token, group, size, before, short, visitor = (x[new] for x in (token, group, size, before, short, visitor))
         active, step, found, held = np.arange(len(token)), 1, [], 0
         while len(active):
             active = active[active + step < len(token)]
@@ -267,6 +278,8 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
             fresh = (before[active] != before[other]) | (before[active] == 0)
             # the smaller set of a pair needs only its shorter prefix; sizes that round to the same may be either way round
             fresh &= short[active] | (short[other] & (size[active] == size[other]))
+            # two visitors meet in the class beneath
+            fresh &= ~(visitor[active] & visitor[other])
             a, b = group[active[fresh]], group[other[fresh]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             held += len(a)

@@ -77,6 +77,7 @@ def test_blocks_and_shuffled_lookups_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 2)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(ngram_join, "CELL_BITS", 3)
+    monkeypatch.setattr(ngram_join, "HOT_RANK", 1)
     monkeypatch.setattr(ngram_join, "FLUSH", 50)
     assert pairs(documents(spark, texts)) == brute(enumerate(texts), ngram_join.N, ngram_join.THRESHOLD)
 
@@ -209,3 +210,51 @@ def test_pipeline_against_stage_rules(spark, tmp_path):
     secret = current.where("doc_id = 123").first()
     assert "[SECRET]" in secret["text"] and secret["n_chars"] == len(secret["text"])
     assert len(corpus_pipeline.STAGES) == 5
+
+
+HARD = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, _id long, `a.b` string, _of long"
+
+
+def tables(spark, folder):
+    spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "passage " + " ".join(f"p{i}" for i in range(30))), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_stages_on_hard_rows(spark, tmp_path):
+    """Nulls in every column, empty, wordless and very long texts, repeated rows, ties, clashing names; and empty tables."""
+    tables(spark, tmp_path)
+    long = "long " * 40_000
+    leak = "so " + " ".join(f"p{i}" for i in range(30))
+    texts = [(0, None), (1, ""), (2, "..."), (3, "tie tie"), (4, "tie tie"), (5, long), (6, leak), (7, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" é'), (None, "no id here"), (8, "repeated row"), (8, "repeated row"), (9, "今天天气很好我们去公园散步吧")]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else "en", None, None if t is None else len(t), "x", "y", i, "z", i) for i, t in texts], HARD)
+    want = {
+        "toxicity": [0, 1, 2, 3, 4, 5, 6, 7, 8, 8, 9, None], "ngram_jaccard_join": [0, 1, 2, 3, 5, 6, 7, 8, 9, None], "benchmark_decontamination": [0, 1, 2, 3, 5, 7, 8, 9, None],
+        "secret_scan": [0, 1, 2, 3, 5, 7, 8, 9, None], "sentencepiece": [0, 1, 2, 3, 5, 7, 8, 9, None],
+    }
+    current = docs
+    for name, stage in corpus_pipeline.STAGES:
+        current = stage(spark, current, str(tmp_path))
+        rows = current.collect()
+        assert sorted((r[0] for r in rows), key=str) == sorted(want[name], key=str), name
+        if name != "sentencepiece":
+            assert current.columns == docs.columns and current.dtypes == docs.dtypes, name
+            kept = {r[0]: r for r in rows}
+            assert kept[5][1] == long and kept[0][1] is None and kept[3][2] is None
+    by = {r["doc_id"]: r for r in rows}
+    assert by[0]["ids"] is None and by[1]["ids"] == [] and all(r["restored"] in (True, None) for r in rows)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0, name
+
+
+def test_run_leaves_one_stage_behind(spark, tmp_path):
+    tables(spark, tmp_path)
+    spark.createDataFrame([(1, "one text", "en", "s", 8), (2, "another", "en", "s", 7)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = folder.removeprefix("file:")
+    import os
+
+    newest = max((os.path.join(path, x) for x in os.listdir(path) if x.startswith("pipeline-")), key=os.path.getmtime)
+    assert os.listdir(newest) == ["secret_scan"]

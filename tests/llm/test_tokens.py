@@ -64,6 +64,38 @@ def test_spans_of_changed_text():
     assert [text.encode()[a:b].decode() for a, b in zip(begins, ends)] == ["ﬁne", " ", "①"]
 
 
+def test_spans_equal_brute_force():
+    """Every character of the normalised text looked up by itself; a piece spans the sources of its characters."""
+    encoder = sentencepiece_spans.encoder(sentencepiece_spans.MODEL, "nfkc")
+    known = {k: encoder.map.longest(k, 0)[1] for k in encoder.map.keys()}
+    longest = max(map(len, known))
+    rng = random.Random(21)
+    changed = 0
+    for _ in range(200):
+        text = "".join(rng.choice("ab cé ①ﬁ ｶﾞ日ＡＢ½ ́ 한ᄒ㍿ 🙂the ing ") for _ in range(rng.randint(0, 25)))
+        raw, at, normal = text.encode(), 0, []
+        while at < len(raw):
+            size = next((n for n in range(longest, 0, -1) if raw[at : at + n] in known), 0)
+            to = known[raw[at : at + size]] if size else b""
+            if not size:
+                size = len(raw[at:].decode()[0].encode())
+                to = raw[at : at + size]
+            normal += [(c, at, at + size) for c in to]
+            at += size
+        plain = bytes(c for c, _, _ in normal)
+        changed += plain != raw
+        marked = [(c, 0, 0) for c in "▁".encode()] + [(x, a, b) for c, a, b in normal for x in ("▁".encode() if c == 32 else bytes([c]))]
+        ids, begins, ends, _, got = encoder.encode([text])
+        assert got[0] == plain
+        place, want = 0, []
+        for i in ids.tolist():
+            part = marked[place : place + int(encoder.size[i])]
+            place += int(encoder.size[i])
+            want.append((part[0][1], max(b for _, _, b in part)))
+        assert list(zip(begins.tolist(), ends.tolist())) == want and (not text or place == len(marked))
+    assert changed > 100
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     texts = [f"w{i} v{i % 7} u" for i in range(50)]
     encoder = sentencepiece_spans.Encoder(sentencepiece_spans.MODEL, None)
