@@ -314,7 +314,7 @@ def test_find_equals_brute_force():
             if gain >= secrets.MARGIN[context]:
                 hits.append((a - b, secrets.WIDTH[context], -gain, a, b, kind))
         kept = []
-        for _, gain, a, b, kind in sorted(hits):
+        for _, _, gain, a, b, kind in sorted(hits):
             if all(b <= p or a >= q for p, q, _, _ in kept):
                 kept.append((a, b, kind, round(-gain, 4)))
         want.append(sorted(kept))
