@@ -16,10 +16,25 @@ from pyspark.sql import functions as F
 
 from recallgrid import tables
 from recallgrid.functions import text
-from recallgrid.operators import consolidate, context, feedback, graph, resolve, review, snapshot, store, vectors
+from recallgrid.operators import consolidate, context, feedback, graph, maintain, resolve, review, snapshot, store, vectors
+from recallgrid.streaming import ingest
 
 Embedder = Callable[[str], list[float]]
 
+#: tool: what it is for, and its arguments (* must be given; s, i, b, l: string, integer, boolean, list of strings)
+ARGUMENTS = {
+    "recall": ("Memories by meaning.", "*query:s k:i include_operational:b"),
+    "graph_query": ("What an entity is linked to.", "*entity:s depth:i"),
+    "graph_path": ("How two entities are linked.", "*a:s *b:s max_hops:i"),
+    "graph_connections": ("Paths between several entities, and what all of them are linked to.", "*entities:l"),
+    "graph_reason": ("The part of the graph that a question is about, and an answer from it.", "*question:s entities:l"),
+    "chunk_expand": ("The facts that a chunk sums up.", "*chunk:i"),
+    "situation_store": ("Keeps situations that come again.", "*action:s=add|list|remove name:s description:s playbook:s"),
+    "decision_log": ("Records what was proposed and what became of it.", "*action:s=record|resolve|list kind:s proposal:s options:l id:i outcome:s=accepted|rejected|modified chosen:s reason:s"),
+    "ontology_review": ("Open proposals, and decisions on them.", "action:s=list|approve_alias|reject_alias|approve_category|reject_category a:s b:s"),
+    "analogize": ("Entities that play a similar part.", "entity:s body:s k:i"),
+}
+
 
 class Memory:
     def __init__(self, spark: SparkSession, root: str, embed: Embedder | None = None, reason: Callable[[str, str], str] | None = None, settings: tables.Settings | None = None, session: str = "s", clock: Callable[[], float] = time.time):
@@ -32,11 +47,31 @@ class Memory:
     def _table(self, name: str) -> DataFrame:
         return tables.load(self.spark, self.root, name)
 
+    def _merged(self) -> DataFrame:
+        """(name, now) of names that review merged; people approve these, so they are few."""
+        to = store.merged_names([(r["loser"], r["winner"], r["seq"]) for r in self._table("merges").collect()])
+        return self.spark.createDataFrame(list(to.items()), "name string, now string")
+
+    def all_edges(self) -> DataFrame:
+        """Current edges, hidden ones too: first assertions, what review said of them, and merged names in place of those they had."""
+        reviewed = store.retag(store.fold_edges(self._table("edges")), self._table("reviews"))
+        return store.apply_merges(reviewed, self._merged())
+
     def edges(self) -> DataFrame:
-        return store.visible_edges(store.fold_edges(self._table("edges")))
+        return store.visible_edges(self.all_edges())
 
     def nodes(self) -> DataFrame:
-        return store.fold_nodes(self._table("nodes"))
+        return store.apply_node_merges(store.fold_nodes(self._table("nodes")), self._merged())
+
+    def facts(self) -> DataFrame:
+        """Facts with the trust that feedback gave them last and every call that showed them counted."""
+        moved = self._table("trust_log").groupBy("fact_id").agg(F.max_by("new_trust", "ts").alias("moved"))
+        base = self._table("facts").join(moved, "fact_id", "left").withColumn("trust_score", F.coalesce("moved", "trust_score")).drop("moved")
+        shown = self._table("recall_log").select(F.concat_ws("|", "session_id", F.col("turn_number").cast("string"), F.col("ts").cast("string"), "query").alias("call"), "fact_id")
+        return store.bump_retrieval(base, shown)
+
+    def aliases(self) -> DataFrame:
+        return resolve.alias_map(self._table("keys"))
 
     def graph_nodes(self) -> DataFrame:
         return store.graph_nodes(self.nodes(), self.edges())
@@ -83,7 +118,7 @@ class Memory:
         """The context for the last messages: facts, vector hits, graph lines, an analogy and situations under the budget; what ships is logged."""
         query = "\n".join(window[-3:])
         s = self.settings
-        facts = self._table("facts").where(~F.coalesce("category", F.lit("")).isin(*s.operational))
+        facts = self.facts().where(~F.coalesce("category", F.lit("")).isin(*s.operational))
         found = context.search_facts(facts, query, s.least_trust).withColumn("rank", F.row_number().over(_by("score"))).where("rank <= 5")
         found = found.select("rank", F.concat(F.lit("["), text.fixed(F.col("trust_score"), 1), F.lit("] "), "content").alias("text"), F.concat(F.lit("holo_fact_"), F.col("fact_id").cast("string")).alias("entry_id"), "fact_id", F.col("score"))
         found = context.suppress_chunks(found, self._table("chunk_members"))
@@ -93,12 +128,14 @@ class Memory:
             hits = vectors.recall(self.vectors(), probe, 6, s.recall_floor, (*s.operational, "situation"))
             hits = context.drop_cross_block(hits, found.select("text")).withColumn("fact_id", text.fact_id_of(F.col("vid"))).where("rank <= 5")
             blocks.append(("Related", hits.select("rank", F.concat(F.lit("["), text.fixed(F.col("similarity"), 2), F.lit("] "), "text").alias("text"), F.col("vid").alias("entry_id"), "fact_id", F.col("similarity").alias("score"))))
-        aliases = resolve.alias_map(self._table("keys")).withColumn("seq", F.lit(0))
-        named = [r["name"] for r in context.mentioned_nodes(self.graph_nodes().withColumn("seq", F.lit(0)), aliases, query).collect()]
+        named = [r["name"] for r in context.mentioned_nodes(self._entered(), self.aliases(), query).collect()]
         if named:
             start = self.spark.createDataFrame([(n,) for n in named], "start string")
             lines = context.neighbour_lines(graph.neighbours(self.edges(), start)).withColumn("n", F.row_number().over(_by("start", "rank", up=True)))
             blocks.append(("Graph", lines.select(F.col("n").alias("rank"), F.substring("line", 3, 10_000).alias("text"), F.lit(None).cast("string").alias("entry_id"), F.lit(None).cast("long").alias("fact_id"), F.lit(None).cast("double").alias("score"))))
+        analogy = self._analogy(query, facts, probe, found.select("fact_id")) if s.analogies and len(query) >= s.analogy_chars else None
+        if analogy is not None:
+            blocks.append(("Analogy", analogy))
         if probe is not None:
             near = vectors.situations(self.vectors(), probe, s.situation_floor)
             blocks.append(("Situations", near.select("rank", F.substring("text", 1, 300).alias("text"), F.col("vid").alias("entry_id"), F.lit(None).cast("long").alias("fact_id"), F.col("similarity").alias("score"))))
@@ -112,16 +149,83 @@ class Memory:
             self.log_recall(logged, query)
         return "\n".join(r["text"] for r in shipped)
 
+    def _entered(self) -> DataFrame:
+        """(name, seq) of the graph's nodes with the first write that named them."""
+        said = self._table("nodes").select("name", "seq").union(self._table("edges").select(F.col("src"), "seq")).union(self._table("edges").select("dst", "seq"))
+        return self.graph_nodes().select("name").join(said.groupBy("name").agg(F.min("seq").alias("seq")), "name", "left")
+
+    def _analogy(self, query: str, facts: DataFrame, probe, shown: DataFrame) -> DataFrame:
+        """At most one line: a memory built like the query that does not look like it, was not shown yet and is none of the last twenty."""
+        s = self.settings
+        said = facts.where("content IS NOT NULL").select("fact_id", "content")
+        placed = said.withColumn("phases", vectors.probe_phases(F.col("content"), s.analogy_width))
+        asked = text.tokens(F.lit(query))
+        faced = vectors.surface(placed, self.vectors(), probe, asked).withColumnRenamed("surface", "near")
+        skip = shown.union(vectors.recent_analogies(self._table("recall_log"))).where("fact_id IS NOT NULL").distinct()
+        best = vectors.analogies(faced, vectors.probe_phases(F.lit(query), s.analogy_width), asked, skip, F.col("near"), s.analogy_floor, s.analogy_z, s.analogy_surface)
+        line = F.concat(F.lit("[~"), text.fixed(F.col("score"), 2), F.lit("] "), "content")
+        return best.select(F.lit(1).alias("rank"), line.alias("text"), text.vector_id("holo_fact_", F.col("fact_id")).alias("entry_id"), "fact_id", "score")
+
+    # upkeep
+
+    def feedback(self, as_of: str) -> int:
+        """The nightly pass: moves of trust go to the audit log, which the facts' trust is read from; decisions that took effect or grew old are marked."""
+        e = self._table("fact_entities").join(self._table("entities"), "entity_id").select("fact_id", "name")
+        current = feedback.fold_decisions(self._table("decisions"), self._table("resolutions"))
+        moves = graph.cut(feedback.feedback(self._table("recall_log"), self.facts(), e, as_of, current))
+        tables.append(moves.withColumn("ts", F.lit(as_of).cast("timestamp")), self.root, "trust_log")
+        stale = feedback.decision_signals(current, as_of)[2]
+        tables.append(stale.select(F.lit(self.session).alias("session_id"), F.col("id").alias("decision_id"), F.lit("ignored").alias("outcome"), F.lit(self._seq()).alias("seq")), self.root, "resolutions")
+        return moves.count()
+
+    def mine(self, edges_of: Callable[[str], list[tuple[str, str, str]]] | None = None, gist_of: Callable[[str], str] | None = None, size: int = 25) -> int:
+        """The next facts without a gist or edges: edges and gists are found on the executors, written, and only then are the facts marked as done."""
+        work = graph.cut(maintain.unprocessed(self.facts(), self._table("mined"), size))
+        many = work.count()
+        if not many:
+            return 0
+        seq = self._seq()
+        if edges_of is not None:
+            told = ingest.extract(work.select(F.col("fact_id").cast("string").alias("id"), F.col("content").alias("text"), F.lit("fact").alias("source")), lambda body, _: [{"kind": "edge", "src": a, "rel": r, "dst": b} for a, r, b in edges_of(body)])
+            nodes, links = ingest.graph_lines(graph.cut(told))
+            links = links.withColumn("source_ref", F.regexp_replace("source_ref", "^doc:", "fact:"))
+            node_rows, edge_rows, keys = maintain.write_graph(nodes, links, seq, index=self._table("keys"))
+            for name, rows in (("nodes", node_rows), ("edges", edge_rows), ("keys", keys)):
+                tables.append(rows, self.root, name)
+        found = work.select("fact_id", F.lit(None).cast("string").alias("gist"))
+        if gist_of is not None:
+            found = work.mapInPandas(lambda frames: (f[["fact_id"]].assign(gist=[gist_of(t) for t in f["content"]]) for f in frames), "fact_id long, gist string")
+        rows = graph.cut(maintain.gists(work, found))
+        tables.append(rows, self.root, "fact_gists")
+        if self.embed:
+            one = self.embed
+            tables.append(maintain.gist_vectors(rows, work, self.settings.operational, lambda texts: [one(t) for t in texts], seq), self.root, "vectors")
+        tables.append(work.select("fact_id", F.lit(seq).alias("seq")), self.root, "mined")
+        return many
+
+    def backfill(self, edges_of=None, gist_of=None, size: int = 1000) -> int:
+        """Mines until nothing is left."""
+        total = 0
+        while many := self.mine(edges_of, gist_of, size):
+            total += many
+        return total
+
+    def vectorize(self) -> None:
+        """Vectors for all facts that have none."""
+        one = self.embed
+        tables.append(maintain.vectorize(self.facts(), self.vectors(), lambda texts: [one(t) for t in texts], self._seq()), self.root, "vectors")
+
     # tools
 
-    def recall(self, query: str, k: int = 5) -> dict:
-        rows = vectors.recall(self.vectors(), vectors.literal(self.embed(query)), k, self.settings.tool_floor).orderBy("rank").collect()
+    def recall(self, query: str, k: int = 5, include_operational: bool = False) -> dict:
+        hidden = () if include_operational else self.settings.operational
+        rows = vectors.recall(self.vectors(), vectors.literal(self.embed(query)), k, self.settings.tool_floor, hidden).orderBy("rank").collect()
         if rows:
             self.log_recall(self.spark.createDataFrame([("recall", None, r["vid"], r["similarity"]) for r in rows], "block string, fact_id long, vid string, score double").withColumn("fact_id", text.fact_id_of(F.col("vid"))), query)
         return {"results": [{"text": r["text"], "type": r["type"], "similarity": r["similarity"]} for r in rows]}
 
     def _node(self, name: str) -> str | None:
-        row = graph.resolve_names(self.spark.createDataFrame([(name,)], "name string"), self.graph_nodes(), resolve.alias_map(self._table("keys"))).first()
+        row = graph.resolve_names(self.spark.createDataFrame([(name,)], "name string"), self.graph_nodes(), self.aliases()).first()
         return row["node"]
 
     def _unknown(self, name: str) -> dict:
@@ -161,15 +265,14 @@ class Memory:
     def graph_reason(self, question: str, entities: list[str] | None = None) -> dict:
         names = [n for n in map(self._node, entities or []) if n]
         if not names:
-            aliases = resolve.alias_map(self._table("keys")).withColumn("seq", F.lit(0))
-            names = [r["name"] for r in context.mentioned_nodes(self.graph_nodes().withColumn("seq", F.lit(0)), aliases, question, 4).collect()]
+            names = [r["name"] for r in context.mentioned_nodes(self._entered(), self.aliases(), question, 4).collect()]
         if not names:
             return {"error": "no known entity in the question"}
         lines = [f"{r['from_node']} {r['relation']} {r['to_node']}" for r in graph.reasoning_subgraph(self.edges(), names).collect()]
         return {"seeds": names, "lines": lines, "answer": self.reason(question, "\n".join(lines)) if self.reason else None}
 
     def chunk_expand(self, chunk: int) -> dict:
-        rows = consolidate.expand_chunk(self._table("chunk_members"), self._table("facts"), chunk).orderBy("fact_id").collect()
+        rows = consolidate.expand_chunk(self._table("chunk_members"), self.facts(), chunk).orderBy("fact_id").collect()
         return {"chunk": chunk, "members": [{"fact_id": r["fact_id"], "content": r["content"]} for r in rows]}
 
     def situation_store(self, action: str, name: str = "", description: str = "", playbook: str = "") -> dict:
@@ -180,7 +283,7 @@ class Memory:
             self.upsert_vector(vid, f"{name}: {description}", "situation", description)
         elif action == "remove":
             self.delete_vector(vid)
-        rows = self.vectors().where("type = 'situation'").orderBy("vid").limit(100).collect()
+        rows = self.vectors().where("type = 'situation'").select("vid", "text").orderBy("vid").collect()
         return {"situations": [r["text"] for r in rows]}
 
     def decision_log(self, action: str, **args) -> dict:
@@ -197,19 +300,22 @@ class Memory:
         return {"decisions": [{"id": r["id"], "proposal": r["proposal"], "outcome": r["outcome"]} for r in feedback.latest_decisions(current).collect()]}
 
     def ontology_review(self, action: str = "list", a: str = "", b: str = "") -> dict:
-        e = store.fold_edges(self._table("edges"))
-        steps = {"approve_alias": lambda: review.approve_alias(e, a, b), "reject_alias": lambda: review.reject_alias(e, a, b), "approve_category": lambda: review.approve_category(e, a), "reject_category": lambda: review.reject_category(e, a)}
-        if action in steps:
-            # the folded table replaces the log; it is written beside it first, so that nothing is lost on the way
-            steps[action]().write.mode("overwrite").parquet(f"{self.root}/edges.next")
-            self.spark.read.parquet(f"{self.root}/edges.next").write.mode("overwrite").parquet(f"{self.root}/edges")
-            e = store.fold_edges(self._table("edges"))
-        return {"pending": [r["line"] for r in review.summary(e).collect()]}
+        """Decisions are events of their own; no log is rewritten. approve_alias: a goes into b, and its name stands for b from now on."""
+        seq, e = self._seq(), self.all_edges()
+        if action == "approve_alias" and a and b and a != b:
+            kind = next((r["type"] for r in self.nodes().where(F.col("name") == b).collect() if r["type"] not in (None, "", "concept")), None)
+            key = F.concat(F.lit("norm:"), text.normalize_name(F.lit(a)))
+            tables.append(self.spark.range(1).select(key.alias("key"), F.lit(b).alias("canonical"), F.lit(kind).alias("type"), F.lit(seq).alias("seq")).where("key <> 'norm:'"), self.root, "keys")
+            self._append("merges", [(a, b, seq)], tables.SCHEMAS["merges"])
+        events = {"reject_alias": lambda: review.alias_events(e, a, b), "approve_category": lambda: review.category_events(e, a, "curated"), "reject_category": lambda: review.category_events(e, a, "rejected")}
+        if action in events:
+            tables.append(events[action]().withColumn("seq", F.lit(seq)), self.root, "reviews")
+        return {"pending": [r["line"] for r in review.summary(self.all_edges()).collect()]}
 
     def text_seeds(self, body: str, reach: int = 12, facts: int = 6, shown: int = 3) -> list[str]:
         near = vectors.recall(self.vectors(), vectors.literal(self.embed(body)), reach, 0.0).withColumn("fact_id", text.fact_id_of(F.col("vid"))).where("fact_id IS NOT NULL").orderBy("rank").limit(facts)
         names = near.join(self._table("fact_entities"), "fact_id").join(self._table("entities"), "entity_id").groupBy("name").agg(F.min("rank").alias("rank"))
-        placed = graph.resolve_names(names.select("name"), self.graph_nodes(), resolve.alias_map(self._table("keys"))).where("node IS NOT NULL")
+        placed = graph.resolve_names(names.select("name"), self.graph_nodes(), self.aliases()).where("node IS NOT NULL")
         return [r["node"] for r in placed.join(names, "name").groupBy("node").agg(F.min("rank").alias("rank")).orderBy("rank", "node").limit(shown).collect()]
 
     def analogize(self, entity: str = "", body: str = "", k: int = 5) -> dict:
@@ -240,6 +346,17 @@ class Memory:
 
     TOOLS = ("recall", "graph_query", "graph_path", "graph_connections", "graph_reason", "chunk_expand", "situation_store", "decision_log", "ontology_review", "analogize")
 
+    def schemas(self) -> list[dict]:
+        """What an assistant may pass to each tool, as JSON schemas."""
+        kinds = {"s": {"type": "string"}, "i": {"type": "integer"}, "b": {"type": "boolean"}, "l": {"type": "array", "items": {"type": "string"}}}
+        out = []
+        for tool in self.tools():
+            about, fields = ARGUMENTS[tool]
+            names = [f.partition(":") for f in fields.split()]
+            given = {n.strip("*"): dict(kinds[k.split("=")[0]], **({"enum": k.split("=")[1].split("|")} if "=" in k else {})) for n, _, k in names}
+            out.append({"name": tool, "description": about, "parameters": {"type": "object", "properties": given, "required": [n.strip("*") for n, _, _ in names if n.startswith("*")]}})
+        return out
+
     def tools(self) -> list[str]:
         return [t for t in self.TOOLS if t != "analogize" or self.settings.analogies]
 

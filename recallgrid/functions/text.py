@@ -13,15 +13,15 @@ STOP_WORDS = sorted(
         """about above again all am an any are as at be been being below both but by can could did do does doing down each
         few for from further had has have having he her here him his how i if in into is it its just me more most my no nor
         not of off on once only or other our out over own same she should so some such than that the their them then there
-        these they this those to too under up us very was we were what when where which while who whom whose why will with
+        these they this those to too under up us very was we were what when which while who whom whose why will with
         would you your else a and""".split()
     )
     - {"above", "below"}
 )
 LEGAL_FORMS = "bv co company corp corporation gmbh inc incorporated limited llc llp lp ltd nv pa plc pllc pty sa".split()
 JUNK_MARKERS = ("Direction: outboundPhone", "Direction: inboundPhoneCall", "Voice call just ended")
-#: What a displayed sample may not hold: mail addresses, long digit runs, money.
-PERSONAL = r"[-+.\w]+@[-\w]+[.]\w+|\d[\d\s().-]{7,}\d|\$\s?\d"
+#: What a displayed sample may not hold: mail addresses and long digit runs.
+PERSONAL = r"[-+.\w]+@[-\w]+[.]\w+|\d[\d\s().-]{7,}\d"
 DURABLE = (
     r"(?i)\b(?:anniversary|birthday|equity|owns?|shares?|vesting|always|default|favou?rite|never)\b|\bprefer|\d{1,3}%"
     r"|\b\d\d?/\d\d?(?:/\d{2,4})?\b|[-+.\w]+@[-\w]+[.][.\w]+|\+?\d[\d().\s-]{7,}\d"
@@ -185,5 +185,16 @@ def tidy_entities(names: Column, longest: int = 60) -> Column:
         return F.when(led & rest.rlike(r"^\p{Lu}"), rest).when(~led, n)
 
     kept = F.array_compact(F.transform(one, strip))
-    keys = F.transform(kept, lambda n: F.lower(n))
-    return F.filter(kept, lambda n, i: F.array_position(keys, F.lower(n)) == i + 1)
+    return first_of_each(kept)
+
+
+def first_of_each(names: Column) -> Column:
+    """Names in order without those that one before equals but for case."""
+    keys = F.transform(names, lambda n: F.lower(n))
+    return F.filter(names, lambda n, i: F.array_position(keys, F.lower(n)) == i + 1)
+
+
+def capitalised_words(text: Column, least: int = 4) -> Column:
+    """Words of some length that begin with a capital, without the signs around them."""
+    bare = F.transform(split_words(text), lambda w: F.btrim(w, F.lit(".,!?;:\"'()")))
+    return F.array_distinct(F.filter(bare, lambda w: (F.length(w) >= least) & w.rlike(r"^\p{Lu}")))

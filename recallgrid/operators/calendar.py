@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions import text
 
+from . import search
+
 
 def window(events: DataFrame, today: str, back: int = 1, ahead: int = 60) -> DataFrame:
     day = F.try_to_date(text.day_of(F.col("start")), "yyyy-MM-dd")
@@ -25,10 +27,7 @@ def known(nodes: DataFrame, types: tuple[str, ...], least: int = 4) -> DataFrame
 
 
 def edges(events: DataFrame, nodes: DataFrame, owner: str, people: tuple[str, ...] = ("person",), places: tuple[str, ...] = ("place", "city", "location")) -> DataFrame:
-    """ATTENDS from the owner, INVOLVES and LOCATED_IN to every known name in an event's words.
-
-    Names are looked for by words first: a name whose first word does not occur as part of the text cannot be in it.
-    """
+    """ATTENDS from the owner, INVOLVES and LOCATED_IN to every known name in an event's words."""
     e = live(events)
     source = F.when(F.length(F.coalesce("id", F.lit(""))) > 0, F.substring(F.concat(F.lit("gcal:"), "id"), 1, 200)).otherwise("")
     hay = F.lower(F.concat_ws(" ", "summary", "description", "location"))
@@ -37,10 +36,23 @@ def edges(events: DataFrame, nodes: DataFrame, owner: str, people: tuple[str, ..
     parts = []
     for rel, types in (("INVOLVES", people), ("LOCATED_IN", places)):
         names = known(nodes, types)
-        parts.append(e.join(names, F.col("hay").contains(F.col("low"))).select(F.col("name").alias("src"), F.lit(rel).alias("rel"), F.col("known").alias("dst"), "source_ref"))
+        parts.append(search.holding(e, names, "hay", "low").select(F.col("name").alias("src"), F.lit(rel).alias("rel"), F.col("known").alias("dst"), "source_ref"))
     return own.union(parts[0]).union(parts[1]).where("src <> dst").withColumn("src_tag", F.lit("calendar")).distinct()
 
 
+def node_rows(events: DataFrame, seq: int) -> DataFrame:
+    """Rows for the node log: an event node for every live event, with where, when and whose it is."""
+    e = live(events)
+    attrs = F.to_json(F.struct(F.lit("personal").alias("cal"), F.coalesce("id", F.lit("")).alias("event_id"), F.coalesce("start", F.lit("")).alias("start"), F.coalesce("end", F.lit("")).alias("end"), F.coalesce("location", F.lit("")).alias("location")))
+    return e.select("name", F.lit("event").alias("type"), attrs.alias("attrs"), F.lit(seq).cast("long").alias("seq")).dropDuplicates(["name"])
+
+
+def event_nodes(nodes: DataFrame) -> DataFrame:
+    """(name, cal, event_id, start) of event nodes, from the attributes that ``node_rows`` gives them."""
+    a = F.from_json("attrs", "cal string, event_id string, start string")
+    return nodes.where("type = 'event' AND attrs IS NOT NULL").select("name", a.alias("a")).select("name", "a.*")
+
+
 def stale(nodes: DataFrame, events: DataFrame, today: str, complete: bool = True) -> DataFrame:
     """Names of event nodes (name, cal, event_id, start) that the calendar made, that lie ahead, and whose event is gone or has another name.
 

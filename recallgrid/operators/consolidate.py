@@ -73,14 +73,16 @@ def cluster_entities(cluster: DataFrame, links: DataFrame, entities: DataFrame,
 
 
 def write_chunk_rows(cluster: DataFrame, first_id: int) -> dict[str, DataFrame]:
-    """The rows a new chunk adds: a fact, its members, an episode node and edges to its entities' names (column names)."""
+    """The rows that new chunks (signature, title, summary, members, names) add: a fact, its members, an episode node with the title and edges to its entities.
+
+    A run writes few chunks, so they are numbered in one place.
+    """
     numbered = cluster.withColumn("chunk_fact_id", F.lit(first_id) + F.row_number().over(Window.orderBy("signature")))
-    node = F.concat(F.lit("episode:"), F.col("signature"))
     return {
-        "facts": numbered.select(F.col("chunk_fact_id").alias("fact_id"), F.col("summary").alias("content"), F.lit("chunk").alias("category"), F.concat(F.lit("sig:"), F.col("signature")).alias("tags")),
+        "facts": numbered.select(F.col("chunk_fact_id").alias("fact_id"), F.col("summary").alias("content"), F.lit("chunk").alias("category"), F.concat(F.lit("chunk,sig:"), F.col("signature")).alias("tags")),
         "chunk_members": numbered.select("chunk_fact_id", F.explode("members").alias("member_fact_id")),
-        "nodes": numbered.select(node.alias("name"), F.lit("episode").alias("type")),
-        "edges": numbered.select(node.alias("src"), F.lit("INVOLVES").alias("rel"), F.explode("names").alias("dst"), F.lit("abstraction").alias("src_tag")),
+        "nodes": numbered.select(F.col("title").alias("name"), F.lit("episode").alias("type"), F.to_json(F.struct("chunk_fact_id")).alias("attrs")),
+        "edges": numbered.select(F.col("title").alias("src"), F.lit("INVOLVES").alias("rel"), F.explode("names").alias("dst"), F.lit("chunk").alias("src_tag")),
     }
 
 

@@ -38,7 +38,8 @@ def suppress_chunks(shown: DataFrame, members: DataFrame) -> DataFrame:
 
 def drop_cross_block(vector_hits: DataFrame, fact_lines: DataFrame) -> DataFrame:
     """Vector hits whose text neither holds nor is held by a line that is shown already, in normal form."""
-    said = F.broadcast(fact_lines.select(text.dedupe_key(F.col("text")).alias("said")))
+    # both sides are what one turn shows, a few lines
+    said = fact_lines.select(text.dedupe_key(F.col("text")).alias("said"))
     key = text.dedupe_key(F.col("text"))
     return vector_hits.join(said, key.contains(F.col("said")) | F.col("said").contains(key), "left_anti")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.functions import text
@@ -33,20 +33,27 @@ def engagement(log: DataFrame, facts: DataFrame, entities: DataFrame, as_of: str
 
     Engaged: a later query of the session holds one of the fact's entities (name of four letters or more), or shares OVERLAP of its tokens.
     Later means a greater id; strict_turns asks for a later turn too. A query is looked at once a fact and session, not once a surfacing:
-    the last query that engages a fact decides for all its surfacings before it.
+    the last query that engages a fact decides for all its surfacings before it. Facts and queries of a session meet where they share a token, or
+    where a query holds the last four letters of a name; no session is multiplied out.
     """
     window = retain(log, as_of, WINDOW_DAYS).withColumn("session", F.coalesce("session_id", F.lit("")))
     shown = window.where("fact_id IS NOT NULL").join(facts.select("fact_id"), "fact_id", "left_semi")
     if excluded is not None:
         shown = shown.join(excluded, ["session_id", "turn_number"], "left_anti")
-    queries = window.select("session", F.col("id").alias("query_id"), F.col("turn_number").alias("query_turn"), F.coalesce("query", F.lit("")).alias("query"))
-    pairs = shown.select("session", "fact_id").distinct().join(queries, "session")
-    words = facts.select("fact_id", text.tokens(F.col("content")).alias("words"))
-    names = entities.where(F.length("name") >= 4).groupBy("fact_id").agg(F.collect_set(F.lower("name")).alias("names"))
-    met = pairs.join(words, "fact_id").join(names, "fact_id", "left")
-    holds = F.coalesce(F.exists("names", lambda n: F.lower("query").contains(n)), F.lit(False))
-    met = met.where(holds | (text.jaccard(F.col("words"), text.tokens(F.col("query"))) >= OVERLAP))
-    last = met.groupBy("session", "fact_id").agg(F.max("query_id").alias("last_id"), F.max("query_turn").alias("last_turn"))
+    asked = window.where("query <> ''").groupBy("session", "query").agg(F.max("id").alias("query_id"), F.max("turn_number").alias("query_turn"))
+    asked = asked.withColumn("words", text.tokens(F.col("query"))).withColumn("low", F.lower("query"))
+    pairs = shown.select("session", "fact_id").distinct()
+    said = pairs.join(facts.select("fact_id", text.tokens(F.col("content")).alias("words")), "fact_id")
+    said = said.select("session", "fact_id", F.size("words").alias("m"), F.explode("words").alias("word"))
+    heard = asked.select("session", "query_id", "query_turn", F.size("words").alias("n"), F.explode("words").alias("word"))
+    common = said.join(heard, ["session", "word"]).groupBy("session", "fact_id", "query_id", "query_turn", "m", "n").agg(F.count("*").alias("both"))
+    alike = common.where(F.col("both") / (F.col("m") + F.col("n") - F.col("both")) >= OVERLAP).select("session", "fact_id", "query_id", "query_turn")
+    names = entities.where(F.length("name") >= 4).select("fact_id", F.lower("name").alias("name")).distinct()
+    named = pairs.join(names, "fact_id").withColumn("end", F.right("name", F.lit(4)))
+    ends = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 3), lambda i: F.substring("low", i, F.lit(4))))
+    parts = asked.where("length(low) >= 4").select("session", "query_id", "query_turn", "low", F.explode(ends).alias("end"))
+    held = named.join(parts, ["session", "end"]).where(F.col("low").contains(F.col("name"))).select("session", "fact_id", "query_id", "query_turn")
+    last = alike.union(held).groupBy("session", "fact_id").agg(F.max("query_id").alias("last_id"), F.max("query_turn").alias("last_turn"))
     out = shown.join(last, ["session", "fact_id"], "left")
     later = F.col("last_id") > F.col("id")
     if strict_turns:
@@ -111,7 +118,3 @@ def fold_decisions(records: DataFrame, resolutions: DataFrame) -> DataFrame:
     for c in ("outcome", "chosen", "reason"):
         out = out.withColumn(f"__{c}", F.when(hit, F.coalesce(f"r.r_{c}", c)).otherwise(F.col(c)))
     return out.drop("r", "outcome", "chosen", "reason").withColumnsRenamed({f"__{c}": c for c in ("outcome", "chosen", "reason")})
-
-
-def trust_after(old: Column, delta: Column) -> Column:
-    return text.clamp_trust(old, delta, CEILING, FLOOR)

@@ -17,6 +17,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "recallgrid-checkpoints"))
     return df.checkpoint(eager=True)
 
@@ -67,7 +69,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     All pairs advance a hop together, until no pair has a node left to go to; a node is visited once a pair, by the least path.
     A node next to the front is new, in the front or in the front before it, so only these two are looked up. Fronts are written out.
     """
-    both = undirected(edges).select(F.col("src").alias("at"), F.col("dst").alias("to"))
+    both = cut(undirected(edges).select(F.col("src").alias("at"), F.col("dst").alias("to")))
     front = cut(pairs.select("a", "b").distinct().select("a", "b", F.col("a").alias("at"), F.lit(0).alias("hops"), F.array("a").alias("path")))
     before = front
     done = front.where("at = b")
@@ -116,7 +118,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def fingerprints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, dir, rel, type, n): how often a node has a relation to a type of neighbour. nodes: name, type."""
-    single = store.single_edges(edges)
+    return _prints(store.single_edges(edges), nodes)
+
+
+def _prints(single: DataFrame, nodes: DataFrame) -> DataFrame:
     type_of = lambda c: nodes.select(F.col("name").alias(c), F.col("type"))
     out = single.join(type_of("dst"), "dst", "left").select(F.col("src").alias("name"), F.lit("out").alias("dir"), "rel", F.coalesce("type", F.lit("concept")).alias("type"))
     into = single.join(type_of("src"), "src", "left").select(F.col("dst").alias("name"), F.lit("in").alias("dir"), "rel", F.coalesce("type", F.lit("concept")).alias("type"))
@@ -168,14 +173,17 @@ def analogize(edges: DataFrame, nodes: DataFrame, source: str, k: int = 5, alike
     from recallgrid.functions import text
 
     k = max(1, min(int(k), 10))
-    seen = store.visible_edges(edges)
-    prints = fingerprints(seen, nodes)
-    norms = prints.groupBy("name").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    # the edges are folded once; fingerprints, which are many times smaller, are written too
+    single = cut(store.single_edges(store.visible_edges(edges)))
+    prints = cut(_prints(single, nodes))
+    # a node has at most two features for each relation and type
     mine = prints.where(F.col("name") == source).select("dir", "rel", "type", F.col("n").alias("m"))
-    own = norms.where(F.col("name") == source).select(F.col("norm").alias("own"))
-    dots = prints.where(F.col("name") != source).join(F.broadcast(mine), ["dir", "rel", "type"]).groupBy("name").agg(F.sum(F.col("n") * F.col("m")).alias("dot"), F.array_sort(F.collect_set("rel")).alias("shared"))
-    near = undirected(seen).where(F.col("src") == source).select(F.col("dst").alias("name"))
-    found = dots.join(near, "name", "left_anti").join(norms, "name").join(F.broadcast(own), how="cross")
+    own = mine.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("own"))
+    near = single.where(F.col("src") == source).select(F.col("dst").alias("name")).union(single.where(F.col("dst") == source).select("src"))
+    # dot product and norm of every other node in one pass
+    met = prints.where(F.col("name") != source).join(F.broadcast(mine), ["dir", "rel", "type"], "left").groupBy("name").agg(
+        F.sum(F.col("n") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.array_sort(F.collect_set(F.when(F.col("m").isNotNull(), F.col("rel")))).alias("shared"))
+    found = met.where("dot > 0").join(near, "name", "left_anti").join(F.broadcast(own), how="cross")
     found = found.withColumn("source_norm", text.normalize_name(F.lit(source))).withColumn("target_norm", text.normalize_name(F.col("name")))
     apart = (F.length("target_norm") > 0) & ~F.col("source_norm").contains(F.col("target_norm")) & ~F.col("target_norm").contains(F.col("source_norm"))
     if alike is not None:

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallgrid.functions import text
-from recallgrid.streaming import ingest
 
-from . import relations, resolve
+from . import graph, relations, resolve
 
 NODE_HINTS = ("company", "document", "event", "idea", "job", "location", "person", "project")
 JOB_RELATIONS = ("APPLIED_TO", "HIRING", "POSTED_ON")
-JOB_TITLE = r"(?i)\b(?:analyst|architect|developer|director|engineer|manager|recruiter|scientist|specialist)\b"
+JOB_TITLE = r"(?i)\b(?:" + "|".join(sorted("manager engineer consultant recruiter director scientist developer designer architect technician analyst intern lead".split())) + r")\b"
 
 
 def embedder(embed: Callable[[list[str]], list[list[float]]]):
@@ -30,9 +29,24 @@ def embedder(embed: Callable[[list[str]], list[list[float]]]):
     return run
 
 
+def missing_vectors(facts: DataFrame, vids: DataFrame) -> DataFrame:
+    """Facts that have no vector yet; changed texts keep the vector they have."""
+    return facts.withColumn("vid", text.vector_id("holo_fact_", F.col("fact_id"))).join(vids.select("vid"), "vid", "left_anti")
+
+
+def unprocessed(facts: DataFrame, done: DataFrame, size: int = 25) -> DataFrame:
+    """The next facts to mine, in order. Empty facts are left out before the cut, so that they never block the queue."""
+    return facts.where("content IS NOT NULL AND trim(content) <> ''").join(done.select("fact_id"), "fact_id", "left_anti").orderBy("fact_id").limit(size)
+
+
+def gists(facts: DataFrame, found: DataFrame, shown: int = 120) -> DataFrame:
+    """(fact_id, gist): what a summarizer found, else the beginning of the fact."""
+    return facts.join(found, "fact_id", "left").select("fact_id", F.coalesce("gist", F.substring("content", 1, shown)).alias("gist"))
+
+
 def vectorize(facts: DataFrame, vids: DataFrame, embed: Callable[[list[str]], list[list[float]]], seq: int) -> DataFrame:
     """Vector rows of facts that have none yet; the facts are embedded in batches, changed texts keep what they have."""
-    new = ingest.missing_vectors(facts.where("content IS NOT NULL AND trim(content) <> ''"), vids)
+    new = missing_vectors(facts.where("content IS NOT NULL AND trim(content) <> ''"), vids)
     return new.select("vid", F.col("content").alias("text"), F.lit("facts").alias("source"), F.coalesce("category", F.lit("general")).alias("type"), embedder(embed)(F.col("content")).alias("embedding"), F.lit(seq).cast("long").alias("seq"), F.lit(False).alias("gone"))
 
 
@@ -42,32 +56,36 @@ def gist_vectors(gists: DataFrame, facts: DataFrame, operational: tuple[str, ...
     return rows.select(text.vector_id("gist_", F.col("fact_id")).alias("vid"), F.col("content").alias("text"), F.lit("gists").alias("source"), F.coalesce("category", F.lit("general")).alias("type"), embedder(embed)(F.col("gist")).alias("embedding"), F.lit(seq).cast("long").alias("seq"), F.lit(False).alias("gone"))
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, seq: int, at_scale: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows for the node and edge logs from extracted nodes (name, type, attrs) and edges (src, rel, dst, source_ref).
+#: Names that one task may resolve in order; more go through the order-free rule.
+IN_ORDER_NAMES = 20_000
 
-    Names go to their canonical spelling, relations to the vocabulary; near misses become edges for review.
+
+def write_graph(nodes: DataFrame, edges: DataFrame, seq: int, at_scale: bool | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows for the node and edge logs and the entity index, from extracted nodes (name, type, attrs) and edges (src, rel, dst, source_ref).
+
+    Names go to their canonical spelling, relations to the vocabulary; near misses become edges for review. The ordered rule is for
+    as many names as fit in a task, unless at_scale says otherwise. seq is the first number of the batch: rows get it and up to a second's worth more.
     """
     hint = F.when(F.col("type").isin(*NODE_HINTS), F.col("type"))
     said = nodes.select("name", hint.alias("type"), F.lit(0).alias("o")).union(edges.select("src", F.lit(None).cast("string"), F.lit(1))).union(edges.select("dst", F.lit(None).cast("string"), F.lit(1)))
     names = said.where("trim(name) <> ''").groupBy(F.trim("name").alias("name")).agg(F.max("type").alias("type"), F.min("o").alias("o"))
     # listed nodes come before the ends of edges, then by name, so that a batch resolves the same way each time
-    numbered = names.select(F.xxhash64("name").alias("h"), "*").withColumn("seq", F.row_number().over(_order()).cast("long"))
-    records = numbered.select("seq", "name", *[F.lit(None).cast("string").alias(c) for c in ("domain", "email", "phone")], "type")
-    found = resolve.resolve_at_scale(records).withColumn("candidate", F.lit(None).cast("string")).withColumn("score", F.lit(None).cast("double")) if at_scale else resolve.resolve_in_order(records)
+    numbered = names.orderBy("o", "name").withColumn("seq", F.monotonically_increasing_id() + 1)
+    records = graph.cut(numbered.select("seq", "name", *[F.lit(None).cast("string").alias(c) for c in ("domain", "email", "phone")], "type"))
+    if at_scale is None:
+        known = 0 if index is None else index.limit(IN_ORDER_NAMES + 1).count()
+        at_scale = records.limit(IN_ORDER_NAMES + 1).count() + known > IN_ORDER_NAMES
+    found = graph.cut(resolve.resolve_at_scale(records, index=index) if at_scale else resolve.resolve_in_order(records, index))
     to = found.select("name", "canonical")
     stamp = F.lit(seq).cast("long")
+    # rows of a batch keep an order of their own, the same each time
+    placed = lambda *c: stamp + F.pmod(F.xxhash64(*c), F.lit(1_000_000))
     node_rows = nodes.join(to.withColumnRenamed("name", "said"), F.trim("name") == F.col("said")).select(F.col("canonical").alias("name"), F.coalesce("type", F.lit("concept")).alias("type"), "attrs", stamp.alias("seq"))
     ends = edges.join(to.select(F.col("name").alias("s"), F.col("canonical").alias("sc")), F.trim("src") == F.col("s")).join(to.select(F.col("name").alias("d"), F.col("canonical").alias("dc")), F.trim("dst") == F.col("d"))
     mapped = relations.canonical_edges(ends.select(F.col("sc").alias("src"), F.trim("rel").alias("rel"), F.col("dc").alias("dst"), "source_ref"))
-    edge_rows = mapped.select("src", "rel", "dst", F.lit("ingest").alias("src_tag"), "source_ref", F.substring("rel_orig", 1, 60).alias("rel_orig"), stamp.alias("seq"))
-    near = resolve.candidate_edges(found).where("src <> dst").select("src", "rel", "dst", "src_tag", F.lit("").alias("source_ref"), F.lit("").alias("rel_orig"), stamp.alias("seq"))
-    return node_rows, edge_rows.union(near)
-
-
-def _order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("o", "name")
+    edge_rows = mapped.select("src", "rel", "dst", F.lit("ingest").alias("src_tag"), "source_ref", F.substring("rel_orig", 1, 60).alias("rel_orig"), placed("src", "rel", "dst", "source_ref").alias("seq"))
+    near = resolve.candidate_edges(found).where("src <> dst").select("src", "rel", "dst", "src_tag", F.lit("").alias("source_ref"), F.lit("").alias("rel_orig"), placed("src", "rel", "dst").alias("seq"))
+    return node_rows, edge_rows.union(near), resolve.new_keys(records, found, seq)
 
 
 def job_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -119,9 +119,14 @@ def canonical_edges(edges: DataFrame) -> DataFrame:
     return out.where("src <> dst")
 
 
-def remap(edges: DataFrame, system: tuple[str, ...] = ("calendar", "abstraction", "proposed", "rejected", "alias-candidate")) -> DataFrame:
+#: Edges that upkeep wrote, and relations that review reads, keep their names.
+SYSTEM_TAGS = ("alias-candidate", "calendar", "chunk", "proposed", "rejected")
+SYSTEM_RELATIONS = ("INSTANCE_OF", "POSSIBLE_ALIAS")
+
+
+def remap(edges: DataFrame, system: tuple[str, ...] = SYSTEM_TAGS) -> DataFrame:
     """A store brought to the vocabulary: on collision a row that was canonical already stays, then the earlier one. Applying it twice changes nothing."""
-    own = F.col("src_tag").isNull() | ~F.col("src_tag").isin(*system)
+    own = (F.col("src_tag").isNull() | ~F.col("src_tag").isin(*system)) & ~F.col("rel").isin(*SYSTEM_RELATIONS)
     kept = edges.where(~own)
     kept = kept if "rel_orig" in kept.columns else kept.withColumn("rel_orig", F.lit(""))
     old = edges.where(own).withColumn("__same", ~changed(F.col("rel"), canonical(F.col("rel"))))

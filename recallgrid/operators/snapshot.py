@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions import text
 
-from . import graph
+from . import graph, search
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -26,8 +26,8 @@ def samples(facts: DataFrame, shown: int = 8) -> DataFrame:
 
 
 def facts_of_nodes(nodes: DataFrame, facts: DataFrame, shown: int = 6) -> DataFrame:
-    """(name, fact_id, content): the most trusted facts that hold a node's name. The nodes are few, the facts stream past them."""
-    hits = facts.join(F.broadcast(nodes.where(F.length("name") >= 4).select("name")), F.lower("content").contains(F.lower("name")))
+    """(name, fact_id, content): the most trusted facts that hold a node's name of four letters or more."""
+    hits = search.holding(facts.withColumn("hay", F.lower("content")), nodes.where(F.length("name") >= 4).select("name", F.lower("name").alias("low")).distinct(), "hay", "low")
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("trust_score"), "fact_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= shown).select("name", "fact_id", "content")
 

@@ -66,6 +66,40 @@ def retag(edges: DataFrame, events: DataFrame) -> DataFrame:
     return edges.join(last, ["src", "rel", "dst"], "left").withColumn("src_tag", tag).drop("tag")
 
 
+def merged_names(merges: list[tuple[str, str, int]]) -> dict[str, str]:
+    """Where each merged name ended up, from approvals (loser, winner, seq) in their order. People make them, so they are few."""
+    to: dict[str, str] = {}
+    for loser, winner, _ in sorted(merges, key=lambda m: m[2]):
+        winner = to.get(winner, winner)
+        if loser != winner:
+            to.pop(winner, None)
+            to = {k: winner if v == loser else v for k, v in to.items()} | {loser: winner}
+    return to
+
+
+def apply_merges(edges: DataFrame, merges: DataFrame) -> DataFrame:
+    """Edges after names (name, now) were merged: ends are re-pointed, alias edges of a pair and other self-edges drop, on collision the row that was there before stays."""
+    out = edges.withColumn("moved", F.lit(False))
+    for end in ("src", "dst"):
+        hit = merges.select(F.col("name").alias(end), "now")
+        out = out.join(F.broadcast(hit), end, "left").withColumn("moved", F.col("moved") | F.col("now").isNotNull()).withColumn(end, F.coalesce("now", end)).drop("now")
+    rest = [c for c in edges.columns if c not in ("src", "rel", "dst")]
+    first = out.where("src <> dst").groupBy("src", "rel", "dst").agg(F.min_by(F.struct(*rest), F.struct("moved", "seq")).alias("row"))
+    return first.select("src", "rel", "dst", *[F.col(f"row.{c}").alias(c) for c in rest]).select(*edges.columns)
+
+
+def apply_node_merges(nodes: DataFrame, merges: DataFrame) -> DataFrame:
+    """Nodes after names were merged: attributes together, the winner's win; its type, unless that is unknown or concept and a loser has another; losers go."""
+    named = nodes.join(F.broadcast(merges), "name", "left").select(F.coalesce("now", "name").alias("name"), F.col("now").isNotNull().alias("lost"), "type", "attrs", F.col("name").alias("was"))
+    own = named.groupBy("name").agg(
+        F.max(F.when(~F.col("lost"), F.nullif("type", F.lit("concept")))).alias("own"), F.min_by("type", F.when(F.col("lost") & F.col("type").isNotNull() & (F.col("type") != "concept"), F.col("was"))).alias("lent"),
+        F.array_sort(F.collect_list(F.when(F.col("attrs").isNotNull(), F.struct((~F.col("lost")).alias("last"), "was", "attrs")))).alias("maps"),
+        F.max(F.when(~F.col("lost"), F.col("attrs"))).alias("kept"), F.bool_or("lost").alias("merged"), F.max(F.when(~F.col("lost"), F.col("type"))).alias("said"))
+    joined = F.aggregate("maps", F.create_map().cast("map<string,string>"), lambda m, x: merge_attrs(F.coalesce(F.from_json(x.attrs, "map<string,string>"), F.create_map().cast("map<string,string>")), m))
+    attrs = F.when(F.col("merged") & (F.size(joined) > 0), F.to_json(joined)).otherwise(F.col("kept"))
+    return own.select("name", F.coalesce("own", "lent", "said").alias("type"), attrs.alias("attrs"))
+
+
 def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Adds the columns that an older table lacks; columns that exist stay."""
     return df.withColumns({name: value for name, value in defaults.items() if name not in df.columns})

@@ -73,6 +73,26 @@ def encode(words: Column, width: int) -> Column:
     return F.transform(summed, lambda p: F.atan2(p.y, p.x))
 
 
+def probe_phases(query: Column, width: int) -> Column:
+    """The phases of a query: of its content words, or of all words where nothing is left."""
+    bare = text.content_words(query)
+    return encode(F.filter(F.split(F.when(bare != "", bare).otherwise(F.lower(query)), " "), lambda w: w != ""), width)
+
+
+def surface(store: DataFrame, stored: DataFrame, probe: Column | None, query_tokens: Column) -> DataFrame:
+    """store (fact_id, content, ...) with surface: the cosine of the fact's vector and the probe, or where there is none the overlap of tokens."""
+    words = text.jaccard(text.tokens(F.col("content")), query_tokens)
+    if probe is None:
+        return store.withColumn("surface", words)
+    near = stored.where(F.col("vid").startswith("holo_fact_")).select(text.fact_id_of(F.col("vid")).alias("fact_id"), cosine(F.col("embedding"), probe).alias("near"))
+    return store.join(near, "fact_id", "left").withColumn("surface", F.coalesce("near", words)).drop("near")
+
+
+def recent_analogies(log: DataFrame, shown: int = 20) -> DataFrame:
+    """The facts of the last analogies that were shown."""
+    return log.where("block = 'analogy' AND fact_id IS NOT NULL").orderBy(F.desc("id")).limit(shown).select("fact_id").distinct()
+
+
 def dominant_width(store: DataFrame, column: str) -> DataFrame:
     """Rows of the most frequent vector width; on ties the narrower one."""
     width = store.groupBy(F.size(column).alias("w")).count().orderBy(F.desc("count"), "w").limit(1).select("w")

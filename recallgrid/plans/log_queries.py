@@ -150,19 +150,19 @@ def document_gate(spark, sf):
 @query(f"WITH {s.FACTS} SELECT fact_id FROM facts WHERE trim(content) <> '' AND fact_id % 3 <> 0 ORDER BY fact_id LIMIT 25")
 def mining_batch(spark, sf):
     f = s.facts(spark, sf)
-    return ingest.unprocessed(f, f.where("fact_id % 3 = 0")).select("fact_id")
+    return maintain.unprocessed(f, f.where("fact_id % 3 = 0")).select("fact_id")
 
 
 @query(f"WITH {s.FACTS} SELECT fact_id, CASE WHEN fact_id % 4 = 0 THEN 'gist ' || fact_id ELSE substring(content, 1, 120) END AS gist FROM facts")
 def gist_fallback(spark, sf):
     f = s.facts(spark, sf)
     found = f.where("fact_id % 4 = 0").select("fact_id", F.concat(F.lit("gist "), F.col("fact_id").cast("string")).alias("gist"))
-    return ingest.gists(f, found)
+    return maintain.gists(f, found)
 
 
 @query(f"WITH {s.FACTS} SELECT fact_id FROM facts WHERE fact_id NOT IN (SELECT vec_id FROM embeddings)")
 def missing_vectors(spark, sf):
-    return ingest.missing_vectors(s.facts(spark, sf), s.vectors(spark, sf)).select("fact_id")
+    return maintain.missing_vectors(s.facts(spark, sf), s.vectors(spark, sf)).select("fact_id")
 
 
 @query(f"""WITH {s.FACTS}, {s.VECTORS} SELECT vid, coalesce(category, v.type) AS type FROM vectors v LEFT JOIN facts ON 'holo_fact_' || fact_id = vid""")

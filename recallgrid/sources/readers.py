@@ -41,11 +41,48 @@ def calendar(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table, or an empty one where there is none."""
+def table(spark: SparkSession, path: str, schema: str, without: str | None = None) -> DataFrame:
+    """A Parquet table in parts (part=...), or an empty one where there is none; without leaves one part out."""
     from pyspark.errors import AnalysisException
+    from pyspark.sql.types import StringType, StructType
 
+    wanted = StructType.fromDDL(schema)
     try:
-        return spark.read.schema(schema).parquet(path)
+        found = spark.read.schema(StructType(wanted.fields).add("part", StringType())).parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], wanted)
+    if without is not None:
+        found = found.where(F.col("part").isNull() | (F.col("part") != without))
+    return found.select(*wanted.names)
+
+
+def settings(path: str) -> dict:
+    """Settings from a JSON file or one of plain ``name: value`` lines; lists are comma-separated in brackets. A missing file has none.
+
+    Values of either kind may be left to the environment: ``${NAME}`` stands for the variable, or for nothing where it is unset.
+    """
+    import json
+    import os
+    import re
+
+    try:
+        with open(path, encoding="utf-8") as file:
+            body = re.sub(r"\$\{(\w+)\}", lambda m: os.environ.get(m[1], ""), file.read())
+    except FileNotFoundError:
+        return {}
+    if body.lstrip().startswith("{"):
+        return json.loads(body)
+
+    def value(word: str):
+        word = word.strip()
+        if word.startswith("[") and word.endswith("]"):
+            return [value(x) for x in word[1:-1].split(",") if x.strip()]
+        if word.lower() in ("true", "false"):
+            return word.lower() == "true"
+        try:
+            return int(word) if re.fullmatch(r"[-+]?\d+", word) else float(word)
+        except ValueError:
+            return word.strip("'\"")
+
+    lines = (line.split("#")[0].rstrip() for line in body.splitlines())
+    return {k.strip(): value(v) for k, sign, v in (line.partition(":") for line in lines) if sign and not line.startswith((" ", "-")) and v.strip()}

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallgrid.functions import text
-from recallgrid.operators import relations
+from recallgrid import tables
+from recallgrid.operators import graph, maintain
 from recallgrid.sources import readers
 
 Extractor = Callable[[str, str], list[dict]]
@@ -42,54 +43,61 @@ def parse_lines(answer: DataFrame, column: str = "line") -> DataFrame:
     return answer.withColumn("object", F.when(clean.startswith("{"), F.try_parse_json(clean))).where("object IS NOT NULL")
 
 
-def new_facts(lines: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts by content that the store does not have, with the first document that says them."""
-    said = lines.where("kind = 'fact'").groupBy("content").agg(F.min_by(F.struct("category", F.concat(F.lit("doc:"), "doc").alias("source_ref")), "doc").alias("x")).select("content", "x.*")
-    return said.join(facts.select("content"), "content", "left_anti")
-
-
-def new_edges(lines: DataFrame) -> DataFrame:
-    rows = lines.where("kind = 'edge' AND src IS NOT NULL AND dst IS NOT NULL").select("src", "rel", "dst", F.lit("extracted").alias("src_tag"), F.concat(F.lit("doc:"), "doc").alias("source_ref"))
-    return relations.canonical_edges(rows)
-
-
-def start(spark: SparkSession, spool: str, store: str, checkpoint: str, extractor: Extractor, files_per_batch: int = 25):
+def new_facts(lines: DataFrame, facts: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Rows of facts by content that the store does not have, as the first document that says them says them.
+
+    The id is a hash of the content, so a batch that is repeated gives the same rows. documents (id, source, meta) add category, tags and provenance.
+    """
+    said = lines.where("kind = 'fact'").groupBy("content").agg(F.min_by(F.struct("category", "doc"), "doc").alias("x")).select("content", "x.*")
+    new = said.join(facts.select("content"), "content", "left_anti")
+    number = F.xxhash64("content").bitwiseAND(F.lit(2**63 - 1)).alias("fact_id")
+    if documents is None:
+        return new.select(number, "content", "category", F.concat(F.lit("doc:"), "doc").alias("source_ref"))
+    told = F.filter(F.map_entries(F.coalesce("meta", F.create_map().cast("map<string,string>"))), lambda e: e.key.isin("from", "sender", "number", "direction") & (F.coalesce(e.value, F.lit("")) != ""))
+    bits = F.concat(F.array(F.coalesce("source", F.lit("note"))), F.transform(told, lambda e: F.concat(e.key, F.lit(":"), e.value)))
+    by = documents.select(F.col("id").alias("doc"), F.coalesce("source", F.lit("note")).alias("source"), F.substring(F.array_join(bits, ","), 1, 120).alias("tags"))
+    now = F.current_timestamp()
+    return new.join(by, "doc").select(
+        number, "content", F.col("source").alias("category"), "tags", F.lit(0.5).alias("trust_score"), F.lit(0).alias("retrieval_count"), F.lit(0).alias("helpful_count"),
+        now.alias("created_at"), now.alias("updated_at"), F.substring(F.concat("source", F.lit(":"), "doc"), 1, 200).alias("source_ref"))
+
+
+def graph_lines(lines: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (name, type, attrs) and edges (src, rel, dst, source_ref) that lines tell of."""
+    nodes = lines.where("kind = 'node' AND trim(name) <> ''").select("name", "type", F.lit(None).cast("string").alias("attrs")).distinct()
+    edges = lines.where("kind = 'edge' AND trim(src) <> '' AND trim(dst) <> '' AND trim(rel) <> ''")
+    if documents is None:
+        return nodes, edges.select("src", "rel", "dst", F.concat(F.lit("doc:"), "doc").alias("source_ref"))
+    by = documents.select(F.col("id").alias("doc"), F.coalesce("source", F.lit("note")).alias("source"))
+    return nodes, edges.join(by, "doc").select("src", "rel", "dst", F.substring(F.concat("source", F.lit(":"), "doc"), 1, 200).alias("source_ref"))
+
+
+def take(spark: SparkSession, documents: DataFrame, root: str, part: str, extractor: Extractor, seq: int) -> None:
+    """One batch into the store that ``tables`` describes: facts, nodes, edges, entity keys, and the ledger last.
+
+    All rows go to the batch's own part, so a batch that is repeated after a crash replaces what it had written, and knows what the others wrote.
+    """
+    ledger = tables.load(spark, root, "ledger", without=part)
+    work, ids = gate(documents.where("text IS NOT NULL OR id IS NOT NULL"), ledger)
+    work = graph.cut(work)
+    # the extractor may be a model that is asked over a network: each document is read once
+    lines = graph.cut(extract(work, extractor))
+    tables.append(new_facts(lines, tables.load(spark, root, "facts", without=part), work), root, "facts", part)
+    node_rows, edge_rows, keys = maintain.write_graph(*graph_lines(lines, work), seq, index=tables.load(spark, root, "keys", without=part))
+    for name, rows in (("nodes", node_rows), ("edges", edge_rows), ("keys", keys), ("ledger", ids)):
+        tables.append(rows, root, name, part)
+
+
+def start(spark: SparkSession, spool: str, root: str, checkpoint: str, extractor: Extractor, files_per_batch: int = 25, clock: Callable[[], float] = time.time):
     """Runs everything that waits in the spool and ends. Checkpoint and ledger together give each document once, also when a batch is repeated."""
     source = spark.readStream.schema(readers.DOCUMENT).option("maxFilesPerTrigger", files_per_batch).json(spool)
 
     def batch(rows: DataFrame, number: int) -> None:
-        ledger = readers.table(spark, f"{store}/ledger", "id string, batch long").where(F.col("batch") != number)
-        work, ids = gate(rows.where("text IS NOT NULL OR id IS NOT NULL"), ledger)
-        lines = extract(work, extractor).persist()
-        # a repeated batch overwrites its own part
-        for name, out in (("facts", lines.where("kind = 'fact'").select("content", "category", F.concat(F.lit("doc:"), "doc").alias("source_ref"))), ("edges", new_edges(lines)), ("ledger", ids)):
-            kept = out if name != "ledger" else out.select("id")
-            kept.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
-        lines.unpersist()
+        take(spark, rows, root, f"batch-{number}", extractor, int(clock() * 1e6))
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def unprocessed(facts: DataFrame, done: DataFrame, size: int = 25) -> DataFrame:
-    """The next facts to mine, in order. Empty facts are left out before the cut, so that they never block the queue."""
-    return facts.where("content IS NOT NULL AND trim(content) <> ''").join(done.select("fact_id"), "fact_id", "left_anti").orderBy("fact_id").limit(size)
-
-
-def gists(facts: DataFrame, found: DataFrame, shown: int = 120) -> DataFrame:
-    """(fact_id, gist): what a summarizer found, else the beginning of the fact."""
-    return facts.join(found, "fact_id", "left").select("fact_id", F.coalesce("gist", F.substring("content", 1, shown)).alias("gist"))
-
-
-def missing_vectors(facts: DataFrame, vids: DataFrame) -> DataFrame:
-    """Facts that have no vector yet; changed texts keep the vector they have."""
-    return facts.withColumn("vid", text.vector_id("holo_fact_", F.col("fact_id"))).join(vids.select("vid"), "vid", "left_anti")
-
-
-def count_windows(messages: DataFrame, size: int = 3) -> DataFrame:
-    by = Window.partitionBy("session").orderBy("seq").rowsBetween(-(size - 1), 0)
-    return messages.withColumn("window", F.collect_list("message").over(by))
-
-
 def event_windows(events: DataFrame, width: str = "1 day", delay: str = "2 hours") -> DataFrame:
     """Counts and sums by event-time window and type; works on batch and stream alike, late rows beyond delay are dropped by streams."""
     rows = events.withWatermark("ts", delay) if events.isStreaming else events

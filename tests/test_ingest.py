@@ -1,5 +1,8 @@
 import json
 
+from recallgrid import tables
+from recallgrid.api import Memory
+from recallgrid.operators import maintain
 from recallgrid.sources import readers
 from recallgrid.streaming import ingest
 
@@ -42,12 +45,24 @@ def test_stream_takes_each_document_once(spark, tmp_path):
         ingest.start(spark, str(spool), str(store), str(check), make_extractor()).awaitTermination()
         if not step:
             put("b.json", {"id": "1", "source": "mail", "text": "a first document that is long enough"}, {"id": "3", "source": "web", "text": "a third document that is long enough"})
-    ledger = sorted(r["id"] for r in spark.read.parquet(str(store / "ledger")).collect())
-    assert ledger == ["1", "2", "3"]
-    facts = spark.read.parquet(str(store / "facts")).collect()
-    assert sorted(r["source_ref"] for r in facts) == ["doc:1", "doc:3"]
-    edges = {(r["src"], r["rel"], r["dst"], r["rel_orig"]) for r in spark.read.parquet(str(store / "edges")).collect()}
-    assert edges == {("Ann", "WORKS_FOR", "Acme", "works at")}
+    load = lambda name: tables.load(spark, str(store), name)
+    assert sorted(r["id"] for r in load("ledger").collect()) == ["1", "2", "3"]
+    facts = {r["source_ref"]: r for r in load("facts").collect()}
+    assert set(facts) == {"mail:1", "web:3"} and facts["mail:1"]["category"] == "mail" and facts["mail:1"]["fact_id"] > 0
+    edges = {(r["src"], r["rel"], r["dst"], r["rel_orig"]) for r in load("edges").collect()}
+    assert edges == {("Ann", "WORKS_FOR", "Acme", "works at")} and load("edges").where("seq IS NULL").count() == 0
+    # a batch that is repeated replaces what it wrote
+    before = {n: load(n).drop("seq", "created_at", "updated_at").collect() for n in ("facts", "edges", "nodes", "keys", "ledger")}
+    again = spark.read.schema(readers.DOCUMENT).json(str(spool / "b.json"))
+    ingest.take(spark, again, str(store), "batch-1", make_extractor(), 7)
+    assert all(sorted(map(str, load(n).drop("seq", "created_at", "updated_at").collect())) == sorted(map(str, rows)) for n, rows in before.items())
+    # and the store answers
+    memory = Memory(spark, str(store))
+    assert memory.graph_query("ann")["connections"] == [{"from": "Ann", "relation": "WORKS_FOR", "to": "Acme"}]
+    memory.add_edge("Bob", "WORKS_FOR", "Acme")
+    assert memory.graph_path("Ann", "Bob")["hops"] == 2
+    tables.compact(spark, str(store), "edges")
+    assert memory.graph_path("Ann", "Bob")["hops"] == 2
 
 
 def test_parse_lines(spark):
@@ -58,4 +73,4 @@ def test_parse_lines(spark):
 def test_mining_skips_empty_facts(spark):
     facts = spark.createDataFrame([(1, " "), (2, None), (3, "x"), (4, "y")], "fact_id long, content string")
     done = spark.createDataFrame([(3,)], "fact_id long")
-    assert [r["fact_id"] for r in ingest.unprocessed(facts, done, 1).collect()] == [4]
+    assert [r["fact_id"] for r in maintain.unprocessed(facts, done, 1).collect()] == [4]

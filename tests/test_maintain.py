@@ -4,7 +4,13 @@ from recallgrid.operators import consolidate, maintain
 def test_graph_writer(spark):
     nodes = spark.createDataFrame([("Acme Construction Group", "company", '{"a":1}'), ("Acmee Construction Group", "company", None), ("Nimbus Platform", "project", None), ("Nimbo Platform", "project", None)], "name string, type string, attrs string")
     edges = spark.createDataFrame([("Acmee Construction Group", "owned by", "Ann", "doc:1"), ("Ann", "works at", "ann", "doc:1")], "src string, rel string, dst string, source_ref string")
-    node_rows, edge_rows = maintain.write_graph(nodes, edges, 5)
+    node_rows, edge_rows, keys = maintain.write_graph(nodes, edges, 5)
+    # what a batch resolved is known to the next one, by either rule
+    more = spark.createDataFrame([("Acmee Construction Group", "company", None), ("Nimda Platform", "project", None)], "name string, type string, attrs string")
+    for at_scale in (False, True):
+        rows, near, _ = maintain.write_graph(more, edges.limit(0), 2_000_000, at_scale, keys)
+        assert {r["name"] for r in rows.collect()} == {"Acme Construction Group", "Nimda Platform"}, at_scale
+        assert near.where("src_tag = 'alias-candidate'").count() >= 1
     assert {r["name"] for r in node_rows.collect()} == {"Acme Construction Group", "Nimbus Platform", "Nimbo Platform"}
     got = {(r["src"], r["rel"], r["dst"], r["src_tag"], r["rel_orig"]) for r in edge_rows.collect()}
     assert ("Ann", "OWNS", "Acme Construction Group", "ingest", "owned by") in got
@@ -26,5 +32,7 @@ def test_vectors_and_names(spark):
     clusters = spark.createDataFrame([("sig", [1, 3])], "signature string, members array<long>")
     named = maintain.name_clusters(clusters, facts, lambda texts: "+".join(texts))
     assert named.first()["summary"] == "one+three"
-    chunk = consolidate.write_chunk_rows(named.selectExpr("*", "array('Ann') AS names"), 100)
+    chunk = consolidate.write_chunk_rows(named.selectExpr("*", "'One and three' AS title", "array('Ann') AS names"), 100)
+    edge, node = chunk["edges"].first(), chunk["nodes"].first()
+    assert (edge["src"], edge["src_tag"]) == ("One and three", "chunk") and (node["name"], node["attrs"]) == ("One and three", '{"chunk_fact_id":101}')
     assert chunk["facts"].first()["content"] == "one+three" and chunk["chunk_members"].count() == 2 and chunk["edges"].first()["dst"] == "Ann"
