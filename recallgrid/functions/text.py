@@ -163,7 +163,8 @@ def day_of(stamp: Column) -> Column:
 
 
 def safe_label(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, '"', "'"), r"[\[\]{}|<>\n]", " ")
+    """Text that may stand between double quotes."""
+    return F.replace(text, F.lit('"'), F.lit("'"))
 
 
 def fixed(value: Column, digits: int) -> Column:

@@ -64,6 +64,11 @@ def clusters(links: DataFrame, used: DataFrame | None = None, cap: int = PAIR_CA
     return out.join(used, "signature", "left_anti") if used is not None else out
 
 
+def entity_names(links: DataFrame, entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """(fact_id, name) of the entities of some facts."""
+    return links.join(facts.select("fact_id"), "fact_id", "left_semi").join(entities, "entity_id").select("fact_id", "name")
+
+
 def cluster_entities(cluster: DataFrame, links: DataFrame, entities: DataFrame, shown: int = 6) -> DataFrame:
     """(signature, name, n): the entities that most members of a cluster share."""
     members = cluster.select("signature", F.explode("members").alias("fact_id"))

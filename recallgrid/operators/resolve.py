@@ -168,6 +168,16 @@ def add_alias(keys: DataFrame, variant: str, canonical: str) -> DataFrame:
     return keys.join(new.select("key"), "key", "left_anti").select("key", "canonical").union(new)
 
 
+def known_entities(facts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """facts (fact_id, content, names) with names tidied, and after them what capitalised words of the content stand for in the alias map, each once."""
+    words = facts.select("fact_id", F.posexplode(text.capitalised_words(F.col("content"))).alias("at", "word"))
+    met = words.withColumn("alias", text.normalize_name(F.col("word"))).join(aliases.select("alias", "canonical"), "alias")
+    found = met.groupBy("fact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "canonical"))), lambda x: x.canonical).alias("more"))
+    none = F.array().cast("array<string>")
+    out = facts.join(found, "fact_id", "left").withColumn("names", text.tidy_entities(F.col("names")))
+    return out.withColumn("names", text.first_of_each(F.concat("names", F.coalesce("more", none)))).drop("more")
+
+
 def candidate_edges(resolved: DataFrame) -> DataFrame:
     return resolved.where("candidate IS NOT NULL").select(F.col("canonical").alias("src"), F.lit("POSSIBLE_ALIAS").alias("rel"), F.col("candidate").alias("dst"), F.lit("alias-candidate").alias("src_tag"), "score")
 

@@ -47,14 +47,18 @@ def node_link(nodes: DataFrame, edges: DataFrame) -> str:
     return json.dumps({"nodes": [{"id": r["name"], "type": r["type"], "degree": r["degree"]} for r in core.collect()], "links": [{"source": r["src"], "relation": r["rel"], "target": r["dst"]} for r in links.orderBy("src", "rel", "dst").collect()]}, ensure_ascii=False)
 
 
+def top_relations(edges: DataFrame, shown: int = 18) -> DataFrame:
+    return edges.groupBy("rel").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rel").limit(shown)
+
+
 def page(nodes: DataFrame, edges: DataFrame, facts: DataFrame, shown: int = 18) -> str:
-    relations = edges.groupBy("rel").count().orderBy(F.desc("count"), "rel").limit(shown).collect()
+    relations = top_relations(edges, shown).collect()
     types = nodes.groupBy(F.coalesce("type", F.lit("concept")).alias("type")).count().orderBy(F.desc("count"), "type").collect()
     view = json.loads(node_link(nodes, edges))
     number = {n["id"]: i for i, n in enumerate(view["nodes"])}
     safe = lambda s: s.replace('"', "'").replace("[", "(").replace("]", ")")
     chart = ["graph LR", *[f'  n{i}["{safe(name)}"]' for name, i in number.items()], *[f"  n{number[e['source']]} -- {e['relation']} --> n{number[e['target']]}" for e in view["links"]]]
-    lines = ["# Memory snapshot", "", "## Node types", *[f"- {r['type']}: {r['count']}" for r in types], "", "## Relations", *[f"- {r['rel']}: {r['count']}" for r in relations], "", "## Samples", *[f"- [{r['trust']}] {r['content']}" for r in samples(facts).collect()], "", "```mermaid", *chart, "```", ""]
+    lines = ["# Memory snapshot", "", "## Node types", *[f"- {r['type']}: {r['count']}" for r in types], "", "## Relations", *[f"- {r['rel']}: {r['n']}" for r in relations], "", "## Samples", *[f"- [{r['trust']}] {r['content']}" for r in samples(facts).collect()], "", "```mermaid", *chart, "```", ""]
     return "\n".join(lines)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recallgrid.operators import consolidate, graph, relations, resolve, review, store
+from recallgrid.operators import consolidate, graph, relations, resolve, review, snapshot, store
 
 from . import standins as s
 from .registry import query
@@ -104,16 +104,23 @@ _PAIRS = "pairs AS (SELECT 'customer:' || c_custkey AS a, 'supplier:' || (c_cust
 walk AS (SELECT DISTINCT a AS start, a AS at, 0 AS hops FROM pairs UNION SELECT w.start, e.b, w.hops + 1 FROM walk w JOIN both_ e ON e.a = w.at WHERE w.hops < 6)
 SELECT p.a, p.b, CAST(min(w.hops) AS INTEGER) AS hops FROM pairs p LEFT JOIN walk w ON w.start = p.a AND w.at = p.b GROUP BY p.a, p.b""")
 def shortest_paths(spark, sf):
+    return graph.shortest_paths(_small(spark, sf), _pairs(spark, sf)).select("a", "b", "hops")
+
+
+def _pairs(spark, sf):
     c = s.table(spark, sf, "customer").where("c_custkey <= 20")
-    pairs = c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("supplier:"), (F.col("c_custkey") % 8 + 1).cast("string")).alias("b"))
-    return graph.shortest_paths(_small(spark, sf), pairs).select("a", "b", "hops")
+    return c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("a"), F.concat(F.lit("supplier:"), (F.col("c_custkey") % 8 + 1).cast("string")).alias("b"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_SMALL}, {_PAIRS}, w AS (SELECT DISTINCT a AS start, a AS here, [a] AS path FROM pairs UNION ALL SELECT w.start, e.b, list_append(w.path, e.b) FROM w JOIN both_ e ON e.a = w.here WHERE NOT list_contains(w.path, e.b)),
+p AS (SELECT a, b, path FROM pairs JOIN w ON w.start = a AND w.here = b QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) = 1),
+h AS (SELECT a, b, i AS step, path[i] AS x, path[i + 1] AS y FROM (SELECT a, b, path, unnest(range(1, len(path))) AS i FROM p))
+SELECT a, b, CAST(step AS INTEGER) AS step, coalesce(f.src, g.src) AS from_node, coalesce(f.rel, g.rel) AS relation, coalesce(f.dst, g.dst) AS to_node
+FROM h LEFT JOIN vis f ON f.src = x AND f.dst = y LEFT JOIN vis g ON g.src = y AND g.dst = x""")
 def path_relations(spark, sf):
-    """The hops of one path with their relations; which of several shortest paths it is goes by name."""
+    """The hops of paths with their relations; which of several shortest paths it is goes by name."""
     e = _small(spark, sf)
-    pairs = spark.range(1).select(F.lit("customer:1").alias("a"), F.lit("supplier:3").alias("b"))
+    pairs = _pairs(spark, sf)
     return graph.path_relations(e, graph.shortest_paths(e, pairs))
 
 
@@ -147,11 +154,18 @@ def analogize(spark, sf):
     return graph.analogize(e, _typed(e), "supplier:1", 10).select("target", "similarity")
 
 
-@query(None)
+_WORKS = "SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'Harbor Works ' || s_suppkey ELSE substring(md5(CAST(s_suppkey AS VARCHAR)), 1, 12) END AS name FROM supplier"
+
+
+@query(f"WITH w AS ({_WORKS}) SELECT 'Harbor Works 3' AS source, name AS target, CAST(1.0 AS DOUBLE) AS similarity, 'LOCATED_IN' AS shared FROM w WHERE k % 3 <> 0 ORDER BY name LIMIT 5")
 def analogize_by_ratio(spark, sf):
-    """The same, where names that agree to 0.7 are left out as well."""
-    e = _visible(spark, sf)
-    return graph.analogize(e, _typed(e), "nation:1", 5, resolve.ratio("source_norm", "target_norm") >= 0.7)
+    """The same, where names that agree to 0.7 are left out as well: all other works in the harbour."""
+    key = F.col("s_suppkey")
+    name = F.when(key % 3 == 0, F.concat(F.lit("Harbor Works "), key.cast("string"))).otherwise(F.substring(F.md5(key.cast("string")), 1, 12))
+    e = s.table(spark, sf, "supplier").select(name.alias("src"), F.lit("LOCATED_IN").alias("rel"), F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("dst"), F.lit("etl").alias("src_tag"), key.alias("seq"))
+    nodes = e.select(F.col("src").alias("name"), F.lit("org").alias("type")).union(e.select("dst", F.lit("nation")).distinct())
+    found = graph.analogize(e, nodes, "Harbor Works 3", 5, resolve.ratio("source_norm", "target_norm") >= 0.7)
+    return found.select("source", "target", "similarity", F.col("shared_relations")[0].alias("shared"))
 
 
 @query(f"""WITH {s.SMALL_EDGES}, x AS (SELECT src AS name, split_part(src, ':', 1) AS own, rel || dst AS f, count(*) AS n FROM small WHERE src NOT LIKE 'region%' GROUP BY ALL),
@@ -165,11 +179,18 @@ def fingerprint_pairs(spark, sf):
     return graph.fingerprint_pairs(prints, nodes).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query(None)
+@query("""WITH m AS (SELECT 'org:' || s_suppkey AS name, s_suppkey % 3 AS c FROM supplier WHERE s_suppkey % 10 <> 9),
+g AS (SELECT c, min(name) AS label, list(name ORDER BY name) AS members, count(*) AS n FROM m GROUP BY c HAVING count(*) >= 2)
+SELECT 'org' AS type, label, array_to_string(members, ',') AS members, CASE c WHEN 0 THEN 'LOCATED_IN,OFFERS' WHEN 1 THEN 'LOCATED_IN,OWNS' ELSE 'LEADS,LOCATED_IN' END AS relations FROM g ORDER BY n DESC, label LIMIT 5""")
 def categories(spark, sf):
-    """Groups of alike suppliers; ends in a loop of components."""
-    e = _visible(spark, sf)
-    return graph.categories(e, _typed(e), largest=1_000_000)
+    """Groups of alike suppliers; those that belong to a category already, if only as a rejected proposal, are left out."""
+    base = s.table(spark, sf, "supplier").select(F.concat(F.lit("org:"), F.col("s_suppkey").cast("string")).alias("src"), F.col("s_suppkey").alias("seq"))
+    rel = F.when(F.col("seq") % 3 == 0, "OFFERS").when(F.col("seq") % 3 == 1, "OWNS").otherwise("LEADS")
+    row = lambda r, to, tag: base.select("src", r.alias("rel"), F.concat(F.lit(to), (F.col("seq") % 7).cast("string")).alias("dst"), F.lit(tag).alias("src_tag"), "seq")
+    e = row(F.lit("LOCATED_IN"), "city:", "etl").union(row(rel, "thing:", "etl")).union(row(F.lit("INSTANCE_OF"), "kind:", "rejected").where("seq % 10 = 9"))
+    nodes = base.select(F.col("src").alias("name"), F.lit("org").alias("type")).union(e.where("rel <> 'INSTANCE_OF'").select("dst", F.lit("event")).distinct())
+    found = graph.categories(e, nodes, largest=1_000_000)
+    return found.select("type", "label", F.array_join("members", ",").alias("members"), F.array_join("relations", ",").alias("relations"))
 
 
 _SHARED = f"""WITH {s.FACT_ENTITIES}, n AS (SELECT entity_id, count(*) AS n FROM fact_entities GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50),
@@ -244,20 +265,46 @@ def resolved_nodes(spark, sf):
     return graph.resolve_names(asked, n, aliases)
 
 
-@query(None)
+#: Names of four to six letters: with the last one doubled they agree to 8/9, 10/11 or 12/13.
+_OLD_NAMES = ["Opal", "Ivory", "Quartz", "Meadow", "Falcon", "Ginger", "Violet", "Copper", "Tundra", "Jungle"]
+_RESOLVED = f"""WITH n AS (SELECT s_suppkey AS k, {_OLD_NAMES}[s_suppkey + 1] AS w FROM supplier WHERE s_suppkey < 10)
+SELECT k AS seq, w || ' Inc.' AS name, w || ' Inc' AS canonical, CAST(NULL AS VARCHAR) AS candidate, CAST(NULL AS DOUBLE) AS score FROM n
+UNION ALL SELECT k + 1000, 'The  ' || w, w || ' Inc', NULL, NULL FROM n
+UNION ALL SELECT k + 2000, w || right(w, 1), CASE WHEN length(w) < 6 THEN w || right(w, 1) ELSE w || ' Inc' END, CASE WHEN length(w) < 6 THEN w || ' Inc' END, CASE WHEN length(w) < 6 THEN round(2 * length(w) / (2 * length(w) + 1), 3) END FROM n"""
+
+
+def _spellings(spark, sf):
+    key = F.col("s_suppkey")
+    base = s.table(spark, sf, "supplier").where("s_suppkey < 10").select(key.alias("k"), F.element_at(F.array(*map(F.lit, _OLD_NAMES)), (key + 1).cast("int")).alias("w"))
+    rows = base.select(F.col("k").alias("seq"), F.concat("w", F.lit(" Inc.")).alias("name")).union(base.select(F.col("k") + 1000, F.concat(F.lit("The  "), "w"))).union(base.select(F.col("k") + 2000, F.concat("w", F.right("w", F.lit(1)))))
+    return rows.select("seq", "name", *[F.lit(None).cast("string").alias(c) for c in ("domain", "email", "phone")], F.lit("org").alias("type"))
+
+
+@query(_RESOLVED)
 def resolved_entities(spark, sf):
-    """Suppliers and spellings of them, by the ordered rule."""
-    base = s.table(spark, sf, "supplier").where("s_suppkey <= 60")
-    one = base.select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("Acme Unit "), F.col("s_suppkey").cast("string"), F.lit(" Inc.")).alias("name"))
-    two = base.select((F.col("s_suppkey") + 1000).alias("seq"), F.concat(F.lit("The Acme  Unit "), F.col("s_suppkey").cast("string")).alias("name"))
-    rows = one.union(two).select("seq", "name", *[F.lit(None).cast("string").alias(c) for c in ("domain", "email", "phone")], F.lit("org").alias("type"))
-    return resolve.resolve_in_order(rows)
+    """Names and spellings of them, by the ordered rule: equal keys and near names merge, less near ones are for review."""
+    return resolve.resolve_in_order(_spellings(spark, sf))
+
+
+@query(_RESOLVED)
+def resolved_at_scale(spark, sf):
+    """The same by the order-free rule."""
+    return resolve.resolve_at_scale(_spellings(spark, sf))
+
+
+@query(_RESOLVED)
+def resolved_with_index(spark, sf):
+    """The same in two batches, of which the second knows the first by its keys."""
+    rows = _spellings(spark, sf)
+    first, second = rows.where("seq < 1000"), rows.where("seq >= 1000")
+    one = resolve.resolve_in_order(first)
+    return one.union(resolve.resolve_in_order(second, resolve.new_keys(first, one, 1)))
 
 
 @query("""WITH f AS (SELECT s_suppkey AS seq, lower('unit ' || (s_suppkey % 30)) AS norm FROM supplier) SELECT seq, 'Unit ' || (seq % 30) AS name, 'Unit ' || (seq % 30) AS canonical FROM f""")
 def resolved_by_key(spark, sf):
     rows = s.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("Unit "), (F.col("s_suppkey") % 30).cast("string")).alias("name"), *[F.lit(None).cast("string").alias(c) for c in ("domain", "email", "phone")], F.lit("org").alias("type"))
-    return resolve.resolve_at_scale(rows, merge=1.0)
+    return resolve.resolve_at_scale(rows, merge=1.0, candidate=1.0).select("seq", "name", "canonical")
 
 
 @query(f"""WITH {_SMALL}, {_HOPS}, k AS (SELECT 'region:1' AS name UNION SELECT node FROM (SELECT node FROM one ORDER BY node LIMIT 20))
@@ -269,7 +316,12 @@ def subgraph_core(spark, sf):
     return e.join(first.withColumnRenamed("name", "src"), "src", "left_semi").join(first.withColumnRenamed("name", "dst"), "dst", "left_semi").agg(F.count("*").alias("lines"))
 
 
-@query(None)
+@query(f"""WITH {_SMALL}, seeds AS (SELECT unnest(['region:1', 'nation:3']) AS name),
+one AS (SELECT b AS name FROM (SELECT DISTINCT s.name AS start, b FROM seeds s JOIN both_ ON a = s.name) QUALIFY row_number() OVER (PARTITION BY start ORDER BY b) <= 20),
+f AS (SELECT name FROM seeds UNION SELECT name FROM one),
+two AS (SELECT b AS name FROM (SELECT DISTINCT f.name AS start, b FROM f JOIN both_ ON a = f.name) QUALIFY row_number() OVER (PARTITION BY start ORDER BY b) <= 20),
+k AS (SELECT name FROM (SELECT name, min(o) AS o FROM (SELECT name, 0 AS o FROM f UNION ALL SELECT name, 1 FROM two) GROUP BY name) ORDER BY o, name LIMIT 140)
+SELECT src AS from_node, rel AS relation, dst AS to_node FROM vis WHERE src IN (SELECT name FROM k) AND dst IN (SELECT name FROM k) ORDER BY src, rel, dst LIMIT 220""")
 def reasoning_subgraph(spark, sf):
     return graph.reasoning_subgraph(_small(spark, sf), ["region:1", "nation:3"])
 
@@ -290,6 +342,6 @@ def names_in_text(spark, sf):
     return found.select(F.col("src").cast("bigint").alias("event_id"), F.col("dst").alias("name"))
 
 
-@query(f"SELECT CAST(l_partkey % 50 AS BIGINT) AS type, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 18")
+@query(f"WITH {_TAGGED} SELECT rel, count(*) AS n FROM vis GROUP BY rel ORDER BY n DESC, rel LIMIT 18")
 def relation_top(spark, sf):
-    return s.table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 50).alias("type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(18)
+    return snapshot.top_relations(_visible(spark, sf))

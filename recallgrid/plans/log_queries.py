@@ -184,14 +184,14 @@ def sessions(spark, sf):
 
 @query("""WITH e AS (SELECT 'e' || event_id AS id, event_type || ' (' || strftime(ts, '%Y-%m-%d') || ')' AS name, ts FROM events WHERE event_id < 300),
 n AS (SELECT CASE WHEN event_id % 4 = 0 THEN 'old name ' || event_id ELSE event_type || ' (' || strftime(ts, '%Y-%m-%d') || ')' END AS name, 'e' || event_id AS id, strftime(ts, '%Y-%m-%d') AS start FROM events WHERE event_id < 330)
-SELECT n.name FROM n LEFT JOIN e ON e.id = n.id WHERE n.start >= '2024-01-10' AND (e.name IS NULL OR e.name <> n.name)""")
+SELECT n.name FROM n LEFT JOIN e ON e.id = n.id WHERE n.start >= '2024-01-01' AND (e.name IS NULL OR e.name <> n.name)""")
 def stale_events(spark, sf):
     e = s.table(spark, sf, "events")
     day = F.date_format("ts", "yyyy-MM-dd")
     one = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.lit("confirmed").alias("status"), F.col("event_type").alias("summary"), day.alias("start"), "event_id")
     name = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("old name "), F.col("event_id").cast("string"))).otherwise(text.event_name(F.col("summary"), F.col("start")))
     nodes = one.where("event_id < 330").select(name.alias("name"), F.lit("personal").alias("cal"), F.col("id").alias("event_id"), "start")
-    return calendar.stale(nodes, one.where("event_id < 300").drop("event_id"), "2024-01-10")
+    return calendar.stale(nodes, one.where("event_id < 300").drop("event_id"), "2024-01-01")
 
 
 @query("SELECT id, event_id FROM (SELECT event_id AS id, event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-14 00:00:00' AND TIMESTAMP '2024-01-17 23:59:59')")
@@ -221,13 +221,16 @@ def change_key(spark, sf):
     return maintain.change_key(s.table(spark, sf, "orders").select(F.col("o_orderkey").alias("fact_id"), F.col("o_orderdate").alias("updated_at")))
 
 
-@query("""WITH n AS (SELECT 'n' || c_custkey || CASE c_custkey % 9 WHEN 0 THEN ' Engineer' ELSE '' END AS name, CASE c_custkey % 2 WHEN 0 THEN 'idea' ELSE 'person' END AS type, c_custkey FROM customer),
-e AS (SELECT 'n' || c_custkey || CASE c_custkey % 9 WHEN 0 THEN ' Engineer' ELSE '' END AS src FROM customer WHERE c_custkey % 6 = 0)
-SELECT name FROM n WHERE type = 'idea' AND (name IN (SELECT src FROM e) OR name LIKE '%Engineer')""")
+#: Thirteen titles, and three words that are none.
+_TITLES = ["Analyst", "architect", "Consultant", "Designer", "DEVELOPER", "Director", "engineer", "Intern", "Lead", "Manager", "Recruiter", "Scientist", "Technician", "Specialist", "Leader", "Internal"]
+
+
+@query(f"""WITH t AS (SELECT {_TITLES} AS titles), n AS (SELECT 'n' || c_custkey || ' ' || titles[c_custkey % 16 + 1] || ' x' AS name, CASE c_custkey % 3 WHEN 0 THEN 'person' ELSE 'idea' END AS type, c_custkey FROM customer, t)
+SELECT name FROM n WHERE type = 'idea' AND (c_custkey % 6 = 1 OR c_custkey % 16 < 13)""")
 def job_nodes(spark, sf):
-    name = F.concat(F.lit("n"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 9 == 0, " Engineer").otherwise(""))
-    c = s.table(spark, sf, "customer").select(name.alias("name"), F.when(F.col("c_custkey") % 2 == 0, "idea").otherwise("person").alias("type"), "c_custkey")
-    edges = c.where("c_custkey % 6 = 0").select(F.col("name").alias("src"), F.lit("APPLIED_TO").alias("rel"), F.lit("Acme").alias("dst"))
+    name = F.concat(F.lit("n"), F.col("c_custkey").cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("c_custkey") % 16 + 1).cast("int")), F.lit(" x"))
+    c = s.table(spark, sf, "customer").select(name.alias("name"), F.when(F.col("c_custkey") % 3 == 0, "person").otherwise("idea").alias("type"), "c_custkey")
+    edges = c.where("c_custkey % 6 = 1").select(F.col("name").alias("src"), F.lit("APPLIED_TO").alias("rel"), F.lit("Acme").alias("dst"))
     return maintain.job_nodes(c, edges)
 
 

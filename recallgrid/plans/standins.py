@@ -1,6 +1,6 @@
 """The benchmark tables read as a memory store, in Spark and as common table expressions for the SQL side.
 
-facts: documents with a trust from labels. Graph: customers and suppliers in nations, nations in regions,
+facts: documents with a trust from labels, every thirtieth of them a call transcript. Graph: customers and suppliers in nations, nations in regions,
 suppliers offering parts. Recall log: events. Decisions: orders. Entities of facts: parts of orders.
 """
 
@@ -20,10 +20,10 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     q = table(spark, sf, "labels").select("doc_id", "quality")
     trust = F.when(F.col("quality") == 1, 0.7).when(F.col("quality") == 0, 0.3).otherwise(0.5)
-    return d.join(q, "doc_id", "left").select(F.col("doc_id").alias("fact_id"), F.col("text").alias("content"), F.col("source").alias("category"), trust.alias("trust_score"), (F.col("doc_id") % 3).alias("helpful_count"), (F.col("doc_id") % 5).alias("retrieval_count"))
+    return d.join(q, "doc_id", "left").select(F.col("doc_id").alias("fact_id"), F.when(F.col("doc_id") % 30 == 0, F.concat(F.lit("Voice call just ended. "), "text")).otherwise(F.col("text")).alias("content"), F.col("source").alias("category"), trust.alias("trust_score"), (F.col("doc_id") % 3).alias("helpful_count"), (F.col("doc_id") % 5).alias("retrieval_count"))
 
 
-FACTS = """facts AS (SELECT doc_id AS fact_id, text AS content, source AS category,
+FACTS = """facts AS (SELECT doc_id AS fact_id, CASE doc_id % 30 WHEN 0 THEN 'Voice call just ended. ' || text ELSE text END AS content, source AS category,
   CAST(CASE quality WHEN 1 THEN 0.7 WHEN 0 THEN 0.3 ELSE 0.5 END AS DOUBLE) AS trust_score, doc_id % 3 AS helpful_count, doc_id % 5 AS retrieval_count
   FROM documents LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id))"""
 

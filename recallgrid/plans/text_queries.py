@@ -39,13 +39,23 @@ def token_jaccard(spark, sf):
     return k.join(b, "doc_id").select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.round(text.jaccard(F.col("tokens"), F.col("other")), 6).alias("jaccard"))
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
+#: Spelled out here, apart from the list that the function uses.
+_STOP = """['a', 'about', 'again', 'all', 'am', 'an', 'and', 'any', 'are', 'as', 'at', 'be', 'been', 'being', 'both', 'but', 'by', 'can', 'could', 'did', 'do', 'does', 'doing', 'down',
+ 'each', 'else', 'few', 'for', 'from', 'further', 'had', 'has', 'have', 'having', 'he', 'her', 'here', 'him', 'his', 'how', 'i', 'if', 'in', 'into', 'is', 'it', 'its', 'just',
+ 'me', 'more', 'most', 'my', 'no', 'nor', 'not', 'of', 'off', 'on', 'once', 'only', 'or', 'other', 'our', 'out', 'over', 'own', 'same', 'she', 'should', 'so', 'some', 'such',
+ 'than', 'that', 'the', 'their', 'them', 'then', 'there', 'these', 'they', 'this', 'those', 'to', 'too', 'under', 'up', 'us', 'very', 'was', 'we', 'were', 'what', 'when',
+ 'which', 'while', 'who', 'whom', 'whose', 'why', 'will', 'with', 'would', 'you', 'your']"""
+#: Mail addresses and runs of digits, likewise.
+_PERSONAL = r"[0-9][-0-9().\s]{7,}[0-9]|[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.][A-Za-z0-9_]"
 
 
 @query(f"""WITH t AS (SELECT doc_id, lower(substring(text, 1, 400)) AS x FROM documents)
-SELECT doc_id, array_to_string(list_filter(list_transform({_WORDS.format('x')}, lambda w: trim(w, '{_SIGNS}')), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)), ' ') AS words FROM t""")
+SELECT doc_id, array_to_string(list_filter(list_transform({_WORDS.format('x')}, lambda w: trim(w, '{_SIGNS}')), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)), ' ') AS words FROM t
+UNION ALL SELECT -1, 'where above below'""")
 def content_words(spark, sf):
-    return s.table(spark, sf, "documents").select("doc_id", text.content_words(F.substring("text", 1, 400)).alias("words"))
+    d = s.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("x"))
+    d = d.union(spark.range(1).select(F.lit(-1).cast("long"), F.lit("Where, above (and) below; the is; " + " ".join(text.STOP_WORDS))))
+    return d.select("doc_id", text.content_words(F.col("x")).alias("words"))
 
 
 @query("SELECT doc_id, substring(sha256(text), 1, 12) AS h12, substring(sha256(text), 1, 16) AS id, 'holo_fact_' || doc_id AS vid FROM documents")
@@ -97,19 +107,19 @@ def fact_id_of_vid(spark, sf):
     return v.select("vec_id", text.fact_id_of(F.concat(prefix, F.col("vec_id").cast("string"))).alias("fact_id"))
 
 
-@query(f"""WITH {s.FACTS} SELECT fact_id, regexp_matches(content, '{text.PERSONAL.replace("'", "''")}') AS personal, regexp_matches(content, '{text.DURABLE.replace("'", "''")}') AS durable,
- (retrieval_count > 0 OR helpful_count > 0 OR trust_score > 0.5) AS protected, false AS junk FROM facts""")
+@query(f"""WITH {s.FACTS} SELECT fact_id, regexp_matches(content, '{_PERSONAL}') AS personal, regexp_matches(content, '{text.DURABLE.replace("'", "''")}') AS durable,
+ (retrieval_count > 0 OR helpful_count > 0 OR trust_score > 0.5) AS protected, contains(content, 'Voice call just ended') AS junk FROM facts""")
 def fact_flags(spark, sf):
     c = F.col("content")
     return s.facts(spark, sf).select("fact_id", text.shows_personal(c).alias("personal"), text.is_durable(c).alias("durable"), text.is_protected(F.col("retrieval_count"), F.col("helpful_count"), F.col("trust_score")).alias("protected"), text.is_junk(c).alias("junk"))
 
 
 @query(f"""WITH {s.FACTS} SELECT fact_id, length(content) AS size, CASE WHEN length(content) > 220 THEN substring(content, 1, 217) || '...' ELSE content END AS short,
- regexp_replace(substring(content, 1, 80), '["]', '''', 'g') AS label FROM facts WHERE NOT regexp_matches(content, '{text.PERSONAL.replace("'", "''")}') AND length(content) BETWEEN 20 AND 160""")
+ regexp_replace(substring(content, 1, 80), '["]', '''', 'g') AS label FROM facts WHERE NOT regexp_matches(content, '{_PERSONAL}') AND length(content) BETWEEN 20 AND 160""")
 def sample_texts(spark, sf):
     c = F.col("content")
     rows = s.facts(spark, sf).where(~text.shows_personal(c) & F.length(c).between(20, 160))
-    return rows.select("fact_id", F.length(c).cast("bigint").alias("size"), text.ellipsis(c).alias("short"), F.replace(F.substring(c, 1, 80), F.lit('"'), F.lit("'")).alias("label"))
+    return rows.select("fact_id", F.length(c).cast("bigint").alias("size"), text.ellipsis(c).alias("short"), text.safe_label(F.substring(c, 1, 80)).alias("label"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS missing, props AS object FROM events""")
@@ -145,7 +155,8 @@ def duplicate_facts(spark, sf):
     return consolidate.duplicates(s.facts(spark, sf))
 
 
-@query(f"{_RANKED} SELECT 'duplicate' AS reason, count(*) AS n FROM r WHERE fact_id <> keeper HAVING count(*) > 0")
+@query(f"""{_RANKED}, d AS (SELECT fact_id FROM r WHERE fact_id <> keeper) SELECT 'duplicate' AS reason, count(*) AS n FROM d
+UNION ALL SELECT 'junk:call-transcript', count(*) FROM facts WHERE contains(content, 'Voice call just ended') AND helpful_count = 0 AND retrieval_count = 0 AND trust_score <= 0.5 AND fact_id NOT IN (SELECT fact_id FROM d)""")
 def archive_counts(spark, sf):
     return consolidate.archive(s.facts(spark, sf)).groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -55,15 +55,18 @@ def phase_similarity(spark, sf):
     return v.select("vid", F.round(vectors.phase_similarity(F.col("a"), vectors.literal(row["a"])), 6).alias("similarity"))
 
 
-@query(None)
+@query("""WITH v AS (SELECT vec_id AS fact_id, vec_id % 400 AS k, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS a FROM embeddings), q AS (SELECT a AS b FROM v WHERE fact_id = 7),
+n AS (SELECT fact_id, k, (list_sum(list_transform(list_zip(a, b), lambda z: cos(z[1] - z[2]))) / len(a) + 1) / 2 AS sim FROM v CROSS JOIN q),
+g AS (SELECT greatest(0.5, avg(sim) + 0.5 * stddev_pop(sim)) AS gate FROM n),
+l AS (SELECT * FROM n, g WHERE sim >= gate AND fact_id <> 7 AND fact_id % 11 <> 0 ORDER BY sim DESC, fact_id LIMIT 8),
+f AS (SELECT fact_id, sim, k, CASE WHEN k >= 100 THEN 1 / 3 ELSE 0.5 END AS surface FROM l)
+SELECT fact_id, round(sim, 3) AS score, round(surface, 3) AS surface, 'Item ' || k AS content FROM f WHERE surface <= 0.4 ORDER BY sim - surface DESC, fact_id LIMIT 1""")
 def analogy(spark, sf):
-    """Phase codes of the words of facts against the words of one of them; no SQL, as the codes are hash-made."""
-    facts = s.facts(spark, sf).select("fact_id", "content")
-    words = F.slice(F.split(F.regexp_replace(F.lower("content"), "[^\\p{L} ]", ""), " "), 1, 24)
-    coded = facts.withColumn("phases", vectors.encode(words, 64))
-    probe = coded.where("fact_id = 0").select("phases").first()["phases"]
-    tokens = F.array(F.lit("structure"), F.lit("memory"))
-    return vectors.analogies(coded, vectors.literal(probe), tokens, spark.createDataFrame([(0,)], "fact_id long"))
+    """Of the memories that stand out by structure the one that looks least like the question."""
+    v = s.vectors(spark, sf).select(F.col("seq").alias("fact_id"), F.col("text").alias("content"), F.transform("embedding", lambda x: x.cast("double") * 3).alias("phases"))
+    probe = v.where("fact_id = 7").first()["phases"]
+    skip = v.where("fact_id = 7 OR fact_id % 11 = 0").select("fact_id")
+    return vectors.analogies(v, vectors.literal(probe), F.array(F.lit("item"), F.lit("alpha")), skip, z=0.5, surface_max=0.4)
 
 
 @query(f"WITH {s.VECTORS}, w AS (SELECT len(embedding) AS w, count(*) AS n FROM vectors GROUP BY 1 ORDER BY n DESC, w LIMIT 1) SELECT vid FROM vectors, w WHERE len(embedding) = w.w")
