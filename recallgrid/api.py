@@ -122,18 +122,19 @@ class Memory:
         found = context.search_facts(facts, query, s.least_trust).withColumn("rank", F.row_number().over(_by("score"))).where("rank <= 5")
         found = found.select("rank", F.concat(F.lit("["), text.fixed(F.col("trust_score"), 1), F.lit("] "), "content").alias("text"), F.concat(F.lit("holo_fact_"), F.col("fact_id").cast("string")).alias("entry_id"), "fact_id", F.col("score"))
         found = context.suppress_chunks(found, self._table("chunk_members"))
-        blocks = [("Facts", found)]
+        blocks, told = [("Facts", found)], found.select("fact_id")
         probe = vectors.literal(self.embed(query)) if self.embed and query.strip() else None
         if probe is not None:
             hits = vectors.recall(self.vectors(), probe, 6, s.recall_floor, (*s.operational, "situation"))
             hits = context.drop_cross_block(hits, found.select("text")).withColumn("fact_id", text.fact_id_of(F.col("vid"))).where("rank <= 5")
+            told = told.union(hits.select("fact_id"))
             blocks.append(("Related", hits.select("rank", F.concat(F.lit("["), text.fixed(F.col("similarity"), 2), F.lit("] "), "text").alias("text"), F.col("vid").alias("entry_id"), "fact_id", F.col("similarity").alias("score"))))
         named = [r["name"] for r in context.mentioned_nodes(self._entered(), self.aliases(), query).collect()]
         if named:
             start = self.spark.createDataFrame([(n,) for n in named], "start string")
             lines = context.neighbour_lines(graph.neighbours(self.edges(), start)).withColumn("n", F.row_number().over(_by("start", "rank", up=True)))
             blocks.append(("Graph", lines.select(F.col("n").alias("rank"), F.substring("line", 3, 10_000).alias("text"), F.lit(None).cast("string").alias("entry_id"), F.lit(None).cast("long").alias("fact_id"), F.lit(None).cast("double").alias("score"))))
-        analogy = self._analogy(query, facts, probe, found.select("fact_id")) if s.analogies and len(query) >= s.analogy_chars else None
+        analogy = self._analogy(query, facts, probe, told) if s.analogies and len(query) >= s.analogy_chars else None
         if analogy is not None:
             blocks.append(("Analogy", analogy))
         if probe is not None:

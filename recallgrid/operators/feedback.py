@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions import text
 
+from . import search
 from .store import retain
 
 STEP = 0.02
@@ -49,9 +50,8 @@ def engagement(log: DataFrame, facts: DataFrame, entities: DataFrame, as_of: str
     common = said.join(heard, ["session", "word"]).groupBy("session", "fact_id", "query_id", "query_turn", "m", "n").agg(F.count("*").alias("both"))
     alike = common.where(F.col("both") / (F.col("m") + F.col("n") - F.col("both")) >= OVERLAP).select("session", "fact_id", "query_id", "query_turn")
     names = entities.where(F.length("name") >= 4).select("fact_id", F.lower("name").alias("name")).distinct()
-    named = pairs.join(names, "fact_id").withColumn("end", F.right("name", F.lit(4)))
-    ends = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 3), lambda i: F.substring("low", i, F.lit(4))))
-    parts = asked.where("length(low) >= 4").select("session", "query_id", "query_turn", "low", F.explode(ends).alias("end"))
+    named = pairs.join(names, "fact_id").withColumn("end", search.ending(F.col("name")))
+    parts = asked.select("session", "query_id", "query_turn", "low", F.explode(search.grams(F.col("low"))).alias("end"))
     held = named.join(parts, ["session", "end"]).where(F.col("low").contains(F.col("name"))).select("session", "fact_id", "query_id", "query_turn")
     last = alike.union(held).groupBy("session", "fact_id").agg(F.max("query_id").alias("last_id"), F.max("query_turn").alias("last_turn"))
     out = shown.join(last, ["session", "fact_id"], "left")

@@ -275,7 +275,7 @@ UNION ALL SELECT k + 2000, w || right(w, 1), CASE WHEN length(w) < 6 THEN w || r
 
 def _spellings(spark, sf):
     key = F.col("s_suppkey")
-    base = s.table(spark, sf, "supplier").where("s_suppkey < 10").select(key.alias("k"), F.element_at(F.array(*map(F.lit, _OLD_NAMES)), (key + 1).cast("int")).alias("w"))
+    base = s.table(spark, sf, "supplier").where("s_suppkey < 10").select(key.alias("k"), F.try_element_at(F.array(*map(F.lit, _OLD_NAMES)), (key + 1).cast("int")).alias("w"))
     rows = base.select(F.col("k").alias("seq"), F.concat("w", F.lit(" Inc.")).alias("name")).union(base.select(F.col("k") + 1000, F.concat(F.lit("The  "), "w"))).union(base.select(F.col("k") + 2000, F.concat("w", F.right("w", F.lit(1)))))
     return rows.select("seq", "name", *[F.lit(None).cast("string").alias(c) for c in ("domain", "email", "phone")], F.lit("org").alias("type"))
 

@@ -84,5 +84,9 @@ def settings(path: str) -> dict:
         except ValueError:
             return word.strip("'\"")
 
-    lines = (line.split("#")[0].rstrip() for line in body.splitlines())
-    return {k.strip(): value(v) for k, sign, v in (line.partition(":") for line in lines) if sign and not line.startswith((" ", "-")) and v.strip()}
+    found = {}
+    for line in body.splitlines():
+        name, sign, rest = line.split("#")[0].partition(":")
+        if sign and rest.strip() and not line.startswith((" ", "-")):
+            found[name.strip()] = value(rest)
+    return found

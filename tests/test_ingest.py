@@ -74,3 +74,9 @@ def test_mining_skips_empty_facts(spark):
     facts = spark.createDataFrame([(1, " "), (2, None), (3, "x"), (4, "y")], "fact_id long, content string")
     done = spark.createDataFrame([(3,)], "fact_id long")
     assert [r["fact_id"] for r in maintain.unprocessed(facts, done, 1).collect()] == [4]
+
+
+def test_json_list(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"jobs": [{"id": 1, "name": "a"}, {"id": 2}], "other": 1}')
+    rows = readers.json_list(spark, str(tmp_path / "m.json"), "jobs", "id long, name string").orderBy("id").collect()
+    assert [(r["id"], r["name"]) for r in rows] == [(1, "a"), (2, None)]
