@@ -12,7 +12,8 @@ must stand whole within one match, and its version must not go on ('version 2.1'
 Every match consists of runs of MIN_RUN words that some template has, so only stretches of such runs are streamed, and
 a template is looked for only in texts whose stretches have as many words as it takes.
 
-Defined results: null, empty and wordless texts have no spans. Repeated rows are scanned each, texts whole.
+Defined results: null, empty and wordless texts have no spans, an empty table no rows. Repeated rows are scanned each, texts whole, at any
+length; a null doc_id stays null.
 If spans of several templates overlap, the one with more covered words stays, then the higher coverage, then the
 earlier place, then the name that comes first. Extra columns are ignored.
 """

@@ -11,7 +11,8 @@ carries, NFKC; rule=None takes the model's own. No vocabulary is trained.
 
 Pieces never cross from a character to a following space, so equal words are encoded once and their pieces
 are gathered; texts where that does not hold (runs of spaces, a literal U+2581) and texts that the map
-changes are encoded whole. Defined results: a null text gives null lists, an empty text empty ones.
+changes are encoded whole. Defined results: a null text gives null lists, an empty text empty ones, an empty table no rows; a null doc_id stays null.
+Between segmentations of equal score the library's choice holds, which is the same for equal words.
 Repeated rows are encoded each; texts are encoded whole. A literal U+2581 decodes as a space, as in the library, and restored
 tells so. Extra columns are ignored.
 """

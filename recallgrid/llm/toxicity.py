@@ -8,8 +8,8 @@ the document labels through that noisy-or, so that blame falls on the sentences
 
 Defined results: a null or empty text has no sentence, score 0 and is not toxic. A null label row is
 left out of training. Repeated rows are scored each by itself. Without a label of each class the model
-is empty and every score is 0. Texts are scored whole, at any length. Extra columns are ignored by
-``score`` and kept by ``reject``.
+is empty and every score is 0. A score equal to the threshold is toxic; an empty table gives no rows. Texts are scored whole, at
+any length. A null doc_id stays null. Extra columns, whatever their names, are ignored by ``score`` and kept by ``reject``.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ itself with the number of ones before it, so a query opens one block a plane. Fr
 the upper planes are mostly zero and compress well.
 
 Defined results: a null or empty text is a document without tokens; a null doc_id stays null in the list. Repeated
-rows are stored each; texts are encoded whole. A partition without rows makes no shard. Extra columns are ignored.
+rows are stored each; texts are encoded whole, at any length. A partition without rows makes no shard, an empty table none. Of tokens of equal
+frequency the smaller id gets the smaller code. Extra columns are ignored, whatever their names.
 
 Layout: magic, length of the JSON head, head, then the parts that the head lists by name, offset and size.
 """
@@ -26,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -277,17 +279,19 @@ def shards(documents: DataFrame, path: str = RANKS, size: int = SHARD_TOKENS) ->
 
 
 def write_files(shard_rows: DataFrame, folder: str) -> DataFrame:
-    """Writes every shard's file to a shared folder; one row a file with its path. A rerun of a task writes the same bytes again."""
+    """Writes every shard's file to a shared folder or object store (a path or a URI); one row a file with its path. A rerun of a task writes the same bytes again."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+        store.create_dir(base, recursive=True)
         for batch in rows:
             paths = []
             for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist()):
-                path = os.path.join(folder, f"{shard:016x}.wvm")
-                with open(f"{path}.{os.getpid()}", "wb") as file:
+                path = f"{base}/{shard:016x}.wvm"
+                part = f"{path}.{TaskContext.get().taskAttemptId()}"
+                with store.open_output_stream(part) as file:
                     file.write(payload)
-                os.replace(f"{path}.{os.getpid()}", path)
+                store.move(part, path)
                 paths.append(path)
             yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(paths, pa.string())], ["shard", "path"])
 
