@@ -168,13 +168,13 @@ def analogize_by_ratio(spark, sf):
     return found.select("source", "target", "similarity", F.col("shared_relations")[0].alias("shared"))
 
 
-@query(f"""WITH {s.SMALL_EDGES}, x AS (SELECT src AS name, split_part(src, ':', 1) AS own, rel || dst AS f, count(*) AS n FROM small WHERE src NOT LIKE 'region%' GROUP BY ALL),
+@query(f"""WITH {s.SMALL_EDGES}, x AS (SELECT src AS name, split_part(src, ':', 1) AS own, rel || (seq % 3) AS f, count(*) AS n FROM small WHERE src NOT LIKE 'region%' GROUP BY ALL),
 norm AS (SELECT name, sqrt(sum(n * n)) AS norm FROM x GROUP BY name),
 d AS (SELECT a.name AS a, b.name AS b, sum(a.n * b.n) AS dot FROM x a JOIN x b ON a.f = b.f AND a.own = b.own AND a.name < b.name WHERE a.own = 'supplier' GROUP BY a.name, b.name)
 SELECT a, b, round(dot / (p.norm * q.norm), 6) AS cosine FROM d JOIN norm p ON p.name = a JOIN norm q ON q.name = b WHERE dot / (p.norm * q.norm) >= 0.8""")
 def fingerprint_pairs(spark, sf):
     e = s.small_edges(spark, sf).where("src LIKE 'supplier%'")
-    prints = e.groupBy(F.col("src").alias("name"), F.lit("out").alias("dir"), "rel", F.col("dst").alias("type")).agg(F.count("*").alias("n"))
+    prints = e.groupBy(F.col("src").alias("name"), F.lit("out").alias("dir"), "rel", (F.col("seq") % 3).cast("string").alias("type")).agg(F.count("*").alias("n"))
     nodes = e.select(F.col("src").alias("name"), F.lit("supplier").alias("type")).distinct()
     return graph.fingerprint_pairs(prints, nodes).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
@@ -211,6 +211,19 @@ def fact_clusters(spark, sf):
     return consolidate.clusters(s.fact_entities(spark, sf)).select("signature", F.size("members").alias("size"))
 
 
+_LINKS = "SELECT event_id AS fact_id, event_id // 5 AS entity_id FROM events WHERE event_id < 300 UNION SELECT event_id, 100000 + event_id // 20 FROM events WHERE event_id < 300 AND event_id % 5 = 0 AND event_id % 20 < 10"
+
+
+@query(f"""WITH l AS ({_LINKS}), c AS (SELECT fact_id, CASE WHEN fact_id % 20 < 10 THEN fact_id // 20 * 20 ELSE fact_id // 5 * 5 END AS label FROM l GROUP BY ALL)
+SELECT substring(sha256(array_to_string(list(fact_id ORDER BY fact_id), ',')), 1, 12) AS signature, CAST(count(*) AS INTEGER) AS size FROM c GROUP BY label""")
+def small_clusters(spark, sf):
+    """Facts in fives, every other pair of fives tied by one more entity."""
+    e = s.table(spark, sf, "events").where("event_id < 300").select(F.col("event_id").alias("fact_id"))
+    five = e.select("fact_id", F.floor(F.col("fact_id") / 5).alias("entity_id"))
+    tie = e.where("fact_id % 5 = 0 AND fact_id % 20 < 10").select("fact_id", F.floor(F.col("fact_id") / 20) + 100000)
+    return consolidate.clusters(five.union(tie)).select("signature", F.size("members").alias("size"))
+
+
 _RELS = ["works_at", "OFFERS_HYBRID_IN", "currently managed by", "BLESSED_BY", "Owned By", "sells", "child_of", "has_ceo", "visited", "xyz", "applied via", "Position At"]
 _MAPPED = [("WORKS_FOR", False), ("LOCATED_IN", False), ("LEADS", True), ("RELATED_TO", False), ("OWNS", True), ("OFFERS", False), ("PARENT_OF", True), ("LEADS", True), ("TRAVELS_TO", False), ("RELATED_TO", False), ("USES", False), ("HIRING", False)]
 

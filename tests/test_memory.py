@@ -135,7 +135,7 @@ def test_review(spark):
     assert [r["line"] for r in review.summary(e).collect()] == ["alias: a = b", "category: cat <- x, y"]
     done = review.reject_category(review.reject_alias(e, "b", "a"), "cat")
     assert {r["src_tag"] for r in done.collect()} == {"rejected"} and review.summary(done).count() == 0
-    assert {r["src_tag"] for r in review.approve_category(e, "cat").where("rel = 'INSTANCE_OF'").collect()} == {"approved"}
+    assert {r["src_tag"] for r in review.approve_category(e, "cat").where("rel = 'INSTANCE_OF'").collect()} == {"curated"}
 
 
 def test_calendar(spark):
