@@ -116,22 +116,23 @@ def pairs(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE)
 
 def _cut(turned: DataFrame, count: int, tile: int) -> DataFrame:
     """turned with a tile number, from quantiles of one leading axis within each part that those before it made."""
-    tiles = max(1, math.ceil(count / tile))
-    parts = math.ceil(tiles ** (1 / AXES) - 1e-9)
+    tiles, made = max(1, math.ceil(count / tile)), 1
     tiled = turned.withColumn("tile", F.lit(0))
-    if parts < 2:
-        return tiled
     for axis in range(AXES):
+        # as many parts as share what is left out evenly among the axes to come
+        parts = math.ceil((tiles / made) ** (1 / (AXES - axis)) - 1e-9)
+        if parts < 2:
+            break
         steps = [k / parts for k in range(1, parts)]
         # a border may be off by a little, a tile is then larger
         rows = tiled.where(F.size("lead") > axis).groupBy("tile").agg(F.percentile_approx(F.col("lead")[axis], F.array(*map(F.lit, steps)), F.lit(1000 * parts)).alias("borders")).collect()
-        borders = np.full((parts**axis, parts - 1), np.inf)
+        borders = np.full((made, parts - 1), np.inf)
         for r in rows:
             borders[r["tile"]] = r["borders"]
-        place = F.pandas_udf(lambda t, x, borders=borders: t * parts + (x.to_numpy()[:, None] > borders[t.to_numpy()]).sum(axis=1), "int")
+        place = F.pandas_udf(lambda t, x, borders=borders, parts=parts: t * parts + (x.to_numpy()[:, None] > borders[t.to_numpy()]).sum(axis=1), "int")
         tiled = tiled.withColumn("tile", place("tile", F.coalesce(F.col("lead")[axis], F.lit(0.0))))
         # every axis has one pass over the leading coordinates to find its borders, and the numbers are kept for the next one
-        tiled = batches.cut(tiled)
+        tiled, made = batches.cut(tiled), made * parts
     return tiled
 
 
