@@ -95,10 +95,38 @@ def _noisy_or(z: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return -np.expm1(-np.bincount(doc, np.logaddexp(0, z), n)), p
 
 
+class _Rows:
+    """Which features each sentence has, gone through a block at a time, so that what is gathered for it stays small."""
+
+    BLOCK = 1 << 18
+
+    def __init__(self, column: np.ndarray, counts: np.ndarray, width: int):
+        self.column, self.counts, self.width = column, counts, width
+        self.at = np.concatenate([[0], np.cumsum(counts)])
+        edges = np.searchsorted(self.at, np.arange(0, len(column) + self.BLOCK, self.BLOCK), side="right") - 1
+        self.blocks = list(zip(edges[:-1].tolist(), np.append(edges[1:-1], len(counts)).tolist())) if len(counts) else []
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of the weights of each sentence's features."""
+        out = np.zeros(len(self.counts))
+        for a, b in self.blocks:
+            full = np.flatnonzero(self.counts[a:b])
+            if len(full):
+                out[a + full] = np.add.reduceat(weights[self.column[self.at[a] : self.at[b]]], self.at[a + full] - self.at[a])
+        return out
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """For every feature the sum of the values of the sentences that have it."""
+        out = np.zeros(self.width)
+        for a, b in self.blocks:
+            out += np.bincount(self.column[self.at[a] : self.at[b]], np.repeat(values[a:b], self.counts[a:b]), self.width)
+        return out
+
+
 def fit(labels: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 200, rate: float = 0.3, l1: float = 0.02) -> Model:
     """Proximal Adagrad on the log-likelihood of the document labels; the threshold maximises F1 on every fifth document, held out.
 
-    bags: for every document the feature hashes, the sentence of each, and the number of sentences.
+    bags: for every document the feature hashes, the sentence of each, and the number of sentences; the list is emptied, to spare the driver's memory.
     """
     empty = Model(np.zeros(0, np.uint32), np.zeros(0), -30.0, 1.0)
     if not len(labels) or len(np.unique(labels)) < 2:
@@ -107,36 +135,37 @@ def fit(labels: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]], roun
     vocabulary = known[documents >= MIN_DOCS]
     if not len(vocabulary):
         return empty
-    first = np.concatenate([[0], np.cumsum([b[2] for b in bags])])
-    size = np.ones(first[-1])
-    doc_of_sentence = np.repeat(np.arange(len(bags)), np.diff(first))
-    cells = []
-    for i, (keys, local, _) in enumerate(bags):
+    doc_of_sentence = np.repeat(np.arange(len(bags)), [b[2] for b in bags])
+    columns, counts = [], []
+    while bags:
+        keys, local, many = bags.pop(0)
         at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
         hit = vocabulary[at] == keys
-        cells.append(np.unique((first[i] + local[hit].astype(np.int64)) * len(vocabulary) + at[hit]))
-    cells = np.concatenate(cells)
-    row, col = cells // len(vocabulary), cells % len(vocabulary)
+        cells = np.unique(local[hit].astype(np.int64) * len(vocabulary) + at[hit])
+        columns.append((cells % len(vocabulary)).astype(np.int32))
+        counts.append(np.bincount(cells // len(vocabulary), minlength=many))
+    matrix = _Rows(np.concatenate(columns), np.concatenate(counts), len(vocabulary))
+    del columns, counts
     held = np.arange(len(labels)) % 5 == 4
     if len(np.unique(labels[held])) < 2:
         held[:] = False
     train_s = ~held[doc_of_sentence]
     weights, bias = np.zeros(len(vocabulary)), -5.0
     g2, b2, y = np.full(len(vocabulary), 1e-2), 1e-2, labels.astype(float)
-    n_s, used = len(size), max(1, int((~held).sum()))
+    used = max(1, int((~held).sum()))
     for _ in range(rounds):
-        z = bias + np.bincount(row, weights[col], n_s)
+        z = bias + matrix.sums(weights)
         doc_p, p = _noisy_or(z, doc_of_sentence, len(labels))
         doc_p = np.clip(doc_p, 1e-9, 1)
         # d log L / dz = p (y / P - 1) for the noisy-or
         dz = np.where(train_s, p * (y[doc_of_sentence] / doc_p[doc_of_sentence] - 1), 0) / used
-        grad, db = np.bincount(col, dz[row], len(vocabulary)), dz.sum()
+        grad, db = matrix.spread(dz), dz.sum()
         g2, b2 = g2 + (grad * 100) ** 2, b2 + (db * 100) ** 2
         step = rate / np.sqrt(g2)
         weights = weights + step * grad * 100
         weights = np.maximum(weights - step * l1, 0)
         bias += rate / np.sqrt(b2) * db * 100
-    doc_p, _ = _noisy_or(bias + np.bincount(row, weights[col], n_s), doc_of_sentence, len(labels))
+    doc_p, _ = _noisy_or(bias + matrix.sums(weights), doc_of_sentence, len(labels))
     at = held if held.any() else np.ones(len(labels), bool)
     order = np.argsort(-doc_p[at], kind="stable")
     hits = np.cumsum(y[at][order])
@@ -158,7 +187,10 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     rows = batches.map_text(sample.select("toxic", "text"), _bag, "toxic int, keys binary, sentence binary, sentences int").toPandas()
     rows = rows.sort_values(["keys", "sentence", "toxic"], kind="stable")
-    return fit(rows["toxic"].to_numpy(), [(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), n) for a, b, n in zip(rows["keys"], rows["sentence"], rows["sentences"])])
+    known, bags = rows["toxic"].to_numpy().copy(), [(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), n) for a, b, n in zip(rows["keys"], rows["sentence"], rows["sentences"])]
+    del rows
+    batches.trim()
+    return fit(known, bags)
 
 
 def score_arrays(model: Model, column: pa.Array) -> tuple[np.ndarray, textvec.Words, np.ndarray, np.ndarray, np.ndarray]:

@@ -97,6 +97,19 @@ def test_noisy_or_matches_its_definition(spark):
         assert abs(1 - keep - value) < 1e-9
 
 
+def test_blocks_of_sentences_equal_whole_sums(monkeypatch):
+    rng = np.random.default_rng(0)
+    for block in (1, 3, 1000):
+        monkeypatch.setattr(toxicity._Rows, "BLOCK", block)
+        for n in (0, 1, 5, 50):
+            counts = rng.integers(0, 4, n)
+            column = rng.integers(0, 7, counts.sum()).astype(np.int32)
+            rows, weights, values = toxicity._Rows(column, counts, 7), rng.normal(size=7), rng.normal(size=n)
+            owner = np.repeat(np.arange(n), counts)
+            assert np.allclose(rows.sums(weights), [weights[column[owner == i]].sum() for i in range(n)])
+            assert np.allclose(rows.spread(values), [values[owner[column == k]].sum() for k in range(7)])
+
+
 def test_toxicity_hard_rows(spark):
     docs, labels = labelled(spark)
     model = toxicity.train(docs, labels.union(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")))
