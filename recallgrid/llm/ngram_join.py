@@ -3,22 +3,26 @@
 A document is the set of its word n-grams. Under one order of all n-grams, two sets with Jaccard
 similarity t or more share an n-gram among their first |x| - ceil(t |x|) + 1, their prefixes; of the smaller set the first
 |y| - ceil(2t / (1 + t) |y|) + 1 will do. Documents
-with the same prefix and size collapse into one group; groups that share a prefix n-gram and whose sizes
-allow the threshold are candidates; their members are then expanded, compared by parity sketches that bound
-the overlap from above, and what is left is verified on the whole sets.
+with the same prefix and size are one cell, and so are those that share the rarest n-gram of many documents in their prefixes and are near in size:
+texts with many near copies. Cells that hold a common prefix n-gram and whose sizes
+allow the threshold are candidates. Members of small cells are paired, compared by parity sketches that bound
+the overlap from above, and what is left is verified on the whole sets; large cells are cut into blocks, and all members of two blocks
+are compared by one product of matrices, so that nothing is sent for a pair. Any cells give the same result.
 
 The order puts rare n-grams first. Document frequencies are counted over all documents in 2^CELL_BITS cells, to which the leading
 bits of the hash assign the n-grams, and one byte a cell, the logarithm of its count, is sent to every task: as much for any input. A cell
 that rare n-grams share with a frequent one counts as frequent. Any order gives the same result; a coarser one only makes more candidates.
 
-Documents with equal sets are one variant, so that a thousand copies cost one comparison. Verified pairs of variants are
-expanded to their members: a row of the result is a pair of documents, doc_id_a < doc_id_b, with its Jaccard similarity,
+Documents with equal sets are one variant, so that a thousand copies cost one comparison. ``classes`` has a row for every document: its class, which is the
+least doc_id that links lead to, and its number of links, which are the documents at or above the threshold, copies among them. Each task adds up
+the links of its blocks and names one member of each connected part, so the rows grow as the documents do. ``pairs`` expands
+verified pairs of variants to their members: a row is a pair of documents, doc_id_a < doc_id_b, with its Jaccard similarity,
 and copies are pairs of similarity 1. All pairs at or above the threshold are found.
 
-Defined results: null, empty or wordless texts have no n-gram and no partner. A text of fewer than N
+Defined results: null, empty or wordless texts have no n-gram and no partner: a class of their own, without links. A text of fewer than N
 words has one n-gram, all its words. Rows without doc_id take no part (``keep_one`` keeps them). A
-repeated row counts once; a doc_id with several texts is paired by each, and never with itself. An empty table has no pairs. Texts are read
-whole, at any length. A similarity equal to the threshold is a pair. Extra columns, whatever their names, are ignored by ``pairs`` and kept by ``keep_one``.
+repeated row counts once; a doc_id with several texts is paired by each, and never with itself; its links are the pairs of its texts with those of others, and its class holds what any of its texts is linked to. An empty table has no rows. Texts are read
+whole, at any length. A similarity equal to the threshold is a pair. Extra columns, whatever their names, are ignored by ``classes`` and ``pairs`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -45,6 +49,15 @@ FLUSH = 1_500_000
 BLOCK = 512
 #: Rows of a lookup that may be broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 500_000
+#: An n-gram makes a cell if it is counted 2^CELL_RANK times at least, and 2^ABOVE_MEDIAN times as often as a cell of the order usually is.
+CELL_RANK = 5
+ABOVE_MEDIAN = 4
+#: Cells of so many variants are compared as blocks, of about so many sets and n-grams.
+DENSE = 32
+BLOCK_SETS = 1024
+BLOCK_GRAMS = 1 << 19
+#: Pairs that one n-gram may add to the counts of two blocks at a time.
+ADDED = 1 << 20
 #: Members of a variant that are expanded together.
 MEMBERS = 1024
 
@@ -158,10 +171,20 @@ def ordered(g: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return (ranks[cell].astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8))
 
 
+def slack(threshold: float) -> int:
+    """How many steps the sizes of two sets may be apart."""
+    return int(-math.log(threshold) * SIZE_STEPS) + 2
+
+
 def prefix_size(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
+def cell_rank(ranks: np.ndarray) -> int:
+    """The rank from which an n-gram makes a cell: where cells of the order are full, a rare n-gram has the rank of what it shares one with."""
+    return max(CELL_RANK, int(np.median(ranks)) + ABOVE_MEDIAN)
+
+
 def _fold(values: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
     """A hash of the values of each row, whose order is fixed by the values."""
     total = np.concatenate([[np.uint64(0)], np.cumsum(textvec.mix(values + np.uint64(seed)), dtype=np.uint64)])
@@ -169,9 +192,9 @@ def _fold(values: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
 
 
 class Sets:
-    """The ordered sets of a slice of documents with their group and variant keys."""
+    """The ordered sets of a slice of documents with their cell and variant keys."""
 
-    def __init__(self, column: pa.Array, n: int, threshold: float, hot):
+    def __init__(self, column: pa.Array, n: int, threshold: float, hot, floor: int = CELL_RANK):
         g, at = textvec.grams(textvec.words(column), n)
         self.value, self.at = _distinct(ordered(g, hot), at)
         self.size = np.diff(self.at)
@@ -180,9 +203,15 @@ class Sets:
         self.set = _fold(value, self.at, 11).view(np.int64)
         self.where = batches.ragged(self.at[:-1], self.prefix)
         ends = np.concatenate([[0], np.cumsum(self.prefix)])
-        # 48 bits: two groups that happen to share a number are candidates of one another's partners, which verification settles
-        self.group = (textvec.mix(_fold(value[self.where], ends, 13) + self.size.astype(np.uint64)) >> np.uint64(16)).view(np.int64)
-
+        # 48 bits: two cells that happen to share a number are one, which changes no result
+        self.cell = (textvec.mix(_fold(value[self.where], ends, 13) + self.size.astype(np.uint64)) >> np.uint64(16)).view(np.int64)
+        self.steps = np.minimum(np.log(np.maximum(self.size, 1)) * SIZE_STEPS, VISITOR - 1).astype("<u2")
+        # two sets near enough in size are of one class or of neighbours
+        self.kind = (self.steps // (slack(threshold) + 1)).astype(np.uint64)
+        rare = np.concatenate([[0], np.cumsum(value >> np.uint64(56) < floor)])
+        rare = rare[self.at[1:]] - rare[self.at[:-1]]
+        many = np.flatnonzero(rare < self.prefix)
+        self.cell[many] = (textvec.mix(value[self.at[:-1][many] + rare[many]] + (self.kind[many] + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(16)).view(np.int64)
 
     def sketch(self, i: int) -> bytes:
         """Parity of how many members fall on each of about as many bits as there are members, 64 at least."""
@@ -202,27 +231,33 @@ def apart(a: bytes, b: bytes) -> int:
 
 def _members(batch: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
     keep = sets.size > 0
-    return pa.RecordBatch.from_arrays([pa.array(sets.group[keep]), pa.array(sets.set[keep]), pa.array(sets.size[keep].astype(np.int32)), batch.column("doc_id").filter(pa.array(keep)), pa.array([sets.sketch(i) for i in np.flatnonzero(keep)], pa.binary())], ["grp", "variant", "size", "doc_id", "sketch"])
+    return pa.RecordBatch.from_arrays([pa.array(sets.cell[keep]), pa.array(sets.set[keep]), pa.array(sets.size[keep].astype(np.int32)), batch.column("doc_id").filter(pa.array(keep)), pa.array([sets.sketch(i) for i in np.flatnonzero(keep)], pa.binary())], ["cell", "variant", "size", "doc_id", "sketch"])
 
 
-def variants(documents: DataFrame, shared, n: int, threshold: float) -> DataFrame:
-    """(grp, variant, size, sketch, docs, rows): all documents, collapsed; written to the shared folder."""
+def variants(documents: DataFrame, shared, floor: int, n: int, threshold: float) -> DataFrame:
+    """(cell, variant, size, sketch, docs, rows): all documents, collapsed; written to the shared folder."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return _members(batch, Sets(batch.column("text"), n, threshold, shared.value))
+        return _members(batch, Sets(batch.column("text"), n, threshold, shared.value, floor))
+
+    members = batches.map_text(_texts(documents), run, "cell long, variant long, size int, doc_id long, sketch binary")
+    return batches.cut(members.groupBy("cell", "variant").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.count("*").alias("rows")))
 
-    members = batches.map_text(_texts(documents), run, "grp long, variant long, size int, doc_id long, sketch binary")
-    return batches.cut(members.groupBy("grp", "variant").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.sort_array(F.collect_set("doc_id")).alias("docs"), F.count("*").alias("rows")))
 
+def _distinct_pairs(pairs: np.ndarray) -> np.ndarray:
+    """The distinct columns of two rows of numbers, in order."""
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    return pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])] if pairs.shape[1] else pairs
 
-def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of groups that share a prefix n-gram and pass the size filter."""
+
+def candidates(documents: DataFrame, shared, floor: int, n: int, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of cells, a < b, with members that share a prefix n-gram and pass the size filter."""
     bits = _buckets(documents.sparkSession)
-    slack = int(-math.log(threshold) * SIZE_STEPS) + 2
+    far = slack(threshold)
 
     def post(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = Sets(batch.column("text"), n, threshold, shared.value)
-        _, one = np.unique(sets.group, return_index=True)
+        sets = Sets(batch.column("text"), n, threshold, shared.value, floor)
+        _, one = np.unique(sets.set, return_index=True)
         one = one[sets.size[one] > 0]
         length = sets.prefix[one]
         where = batches.ragged(sets.at[:-1][one], length)
@@ -231,11 +266,11 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
         before = np.maximum(before, np.uint64(1))
         starts = np.cumsum(length) - length
         before[starts] = 0
-        group = np.repeat(sets.group[one], length)
-        size = np.repeat(np.minimum(np.log(sets.size[one]) * SIZE_STEPS, VISITOR - 1).astype("<u2"), length)
+        group = np.repeat(sets.cell[one], length)
+        size = np.repeat(sets.steps[one], length)
         short = sets.size[one] - np.ceil(2 * threshold / (1 + threshold) * sets.size[one] - 1e-9).astype(np.int64) + 1
         place = np.arange(len(token)) - np.repeat(starts, length)
-        kind = (size // (slack + 1)).astype(np.uint64)
+        kind = np.repeat(sets.kind[one], length)
         size[place < np.repeat(short, length)] |= SHORT
         # a set near enough in size is of the same class or the next one: every hot posting lies in the lists of both
         hot = np.flatnonzero(sets.value[where] >> np.uint64(56) >= HOT_RANK)
@@ -263,35 +298,36 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
         first, many = _runs(token[order])
         order = order[np.repeat(many > 1, many)]
         token, group, size, before, short, visitor = (x[order] for x in (token, group, size, before, short, visitor))
-        order = np.lexsort((group, size, token))
+        # the members of a cell that hold an n-gram are one posting, with the range of their sizes
+        order = np.lexsort((group, token))
         token, group, size, before, short, visitor = (x[order] for x in (token, group, size, before, short, visitor))
         if len(token):
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
-            token, group, size, before, short, visitor = (x[new] for x in (token, group, size, before, short, visitor))
+            first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])]))
+            low, high, short = np.minimum.reduceat(size, first), np.maximum.reduceat(size, first), np.logical_or.reduceat(short, first)
+            before = np.where(np.minimum.reduceat(before, first) == np.maximum.reduceat(before, first), before[first], 0)
+            token, group, visitor = token[first], group[first], np.logical_and.reduceat(visitor, first)
+            order = np.lexsort((group, low, token))
+            token, group, low, high, before, short, visitor = (x[order] for x in (token, group, low, high, before, short, visitor))
         active, step, found, held = np.arange(len(token)), 1, [], 0
         while len(active):
             active = active[active + step < len(token)]
             other = active + step
-            near = (token[active] == token[other]) & (size[other] - size[active] <= slack)
+            near = (token[active] == token[other]) & (low[other] - high[active] <= far)
             active, other = active[near], other[near]
             # the pair was met at the n-gram before, if that is the same in both prefixes
             fresh = (before[active] != before[other]) | (before[active] == 0)
             # the smaller set of a pair needs only its shorter prefix; sizes that round to the same may be either way round
-            fresh &= short[active] | (short[other] & (size[active] == size[other]))
+            fresh &= short[active] | (short[other] & (low[other] <= high[active]))
             # two visitors meet in the class beneath
             fresh &= ~(visitor[active] & visitor[other])
             a, b = group[active[fresh]], group[other[fresh]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             held += len(a)
             if held > 4_000_000:
-                found, held = [np.unique(np.concatenate(found, axis=1), axis=1)], 0
+                found, held = [_distinct_pairs(np.concatenate(found, axis=1))], 0
             step += 1
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        order = np.lexsort((pairs[1], pairs[0]))
-        pairs = pairs[:, order]
-        if pairs.shape[1]:
-            pairs = pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])]
-            pairs = pairs[:, pairs[0] != pairs[1]]
+        pairs = _distinct_pairs(np.concatenate(found, axis=1)) if found else np.zeros((2, 0), np.int64)
+        pairs = pairs[:, pairs[0] != pairs[1]]
         batches.trim()
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
@@ -299,35 +335,136 @@ def candidates(documents: DataFrame, shared, n: int, threshold: float) -> DataFr
     return posted.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct()
 
 
-def _verify(threshold: float):
+def common(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the sets p shares with each of the sets q.
+
+    Members that many of both hold are columns of a product of matrices; what few hold is counted pair by pair.
+    """
+    total = np.zeros((len(p), len(q)), np.float32)
+    flat = [np.concatenate(x) for x in (p, q)]
+    shared = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    sides = []
+    for x, values in zip((p, q), flat):
+        row = np.repeat(np.arange(len(x)), [len(v) for v in x])
+        at = np.minimum(np.searchsorted(shared, values), max(0, len(shared) - 1))
+        keep = np.flatnonzero(shared[at] == values) if len(shared) else np.zeros(0, np.int64)
+        order = keep[np.argsort(at[keep], kind="stable")]
+        sides.append((at[order], row[order], np.bincount(at[order], minlength=len(shared))))
+    (at_p, row_p, many_p), (at_q, row_q, many_q) = sides
+    heavy = many_p * many_q > max(64, total.size // 32)
+    columns = np.flatnonzero(heavy)
+    for low in range(0, len(columns), 2048):
+        part = columns[low : low + 2048]
+        place = np.full(len(shared), -1)
+        place[part] = np.arange(len(part))
+        dense = []
+        for at, row, n in ((at_p, row_p, len(p)), (at_q, row_q, len(q))):
+            m = np.zeros((n, len(part)), np.float32)
+            own = place[at] >= 0
+            m[row[own], place[at[own]]] = 1
+            dense.append(m)
+        total += dense[0] @ dense[1].T
+    # every occurrence in p meets those in q of the same member
+    starts, light = np.cumsum(many_q) - many_q, np.flatnonzero(~heavy[at_p])
+    made = np.cumsum(many_q[at_p[light]])
+    while len(light):
+        stop = max(1, int(np.searchsorted(made, ADDED, side="right")))
+        some, light, made = light[:stop], light[stop:], made[stop:] - made[stop - 1]
+        length = many_q[at_p[some]]
+        cell = np.repeat(row_p[some], length) * len(q) + row_q[batches.ragged(starts[at_p[some]], length)]
+        total += np.bincount(cell, minlength=total.size).reshape(total.shape)
+    return total
+
+
+def _parts(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a matrix of links the least row of their connected part; what has no link has the number of rows."""
+    none = linked.shape[0]
+    row = np.where(linked.any(axis=1), np.arange(none), none)
+    while True:
+        column = np.where(linked, row[:, None], none).min(axis=0, initial=none)
+        nearer = np.minimum(row, np.where(linked, column[None, :], none).min(axis=1, initial=none))
+        if (nearer == row).all():
+            return row, column
+        row = nearer
+
+
+FOUND = {True: "va long, vb long, jaccard double", False: "v long, o long, docs long, id long"}
+
+
+def _verify(threshold: float, expand: bool):
+    """Compares the pairs that are asked for, or else each set of side 0 with each of side 1, or all of side 2 with one another.
+
+    With expand a row is a pair at or above the threshold. Else a row says that variant v has so many documents as partners here and is in one class with o,
+    or that a doc_id of several texts has to leave out its pairs with itself.
+    """
+
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        held = {v: _unpack(x, 32) for v, x in zip(sets["variant"].to_pylist(), sets["values"].to_pylist())}
-        a, b, j = [], [], []
-        for x, y in zip(pairs["va"].to_pylist(), pairs["vb"].to_pylist()):
-            p, q = held[x], held[y]
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = len(q) - 1
-            common = int((q[at] == p).sum())
-            value = common / (len(p) + len(q) - common)
-            if value >= threshold:
-                a.append(x), b.append(y), j.append(value)
-        return pa.table({"va": pa.array(a, pa.int64()), "vb": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
+        _, first = np.unique(sets["variant"].to_numpy(), return_index=True)
+        if len(first) < sets.num_rows:  # rows that repeat a document
+            sets = sets.take(pa.array(first))
+        held = [_unpack(x, 32) for x in sets["values"].to_pylist()]
+        name, size = sets["variant"].to_numpy(), np.array([len(x) for x in held])
+        docs, several = sets["copies"].to_numpy().astype(np.float64), sets["several"].to_pylist()
+        if pairs.num_rows:
+            where = {v: i for i, v in enumerate(name.tolist())}
+            i, j = (np.fromiter(map(where.__getitem__, pairs[c].to_pylist()), np.int64, pairs.num_rows) for c in ("va", "vb"))
+            shared = np.zeros(len(i))
+            for k, (x, y) in enumerate(zip(i, j)):
+                p, q = sorted((held[x], held[y]), key=len)
+                at = np.searchsorted(q, p)
+                at[at == len(q)] = len(q) - 1
+                shared[k] = (q[at] == p).sum()
+            jaccard = shared / (size[i] + size[j] - shared)
+            keep = jaccard >= threshold
+            i, j, jaccard = i[keep], j[keep], jaccard[keep]
+            v, o = np.concatenate([i, j]), np.concatenate([j, i])
+            partners = docs[o]
+        else:
+            side = sets["side"].to_numpy()
+            own = side[0] == 2
+            x, y = (np.arange(len(side)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            shared = common([held[k] for k in x], [held[k] for k in y]).astype(np.float64) if len(x) and len(y) else np.zeros((len(x), len(y)))
+            similar = shared / (size[x][:, None] + size[y][None, :] - shared)
+            linked = similar >= threshold
+            if own:
+                np.fill_diagonal(linked, False)
+            if expand:
+                i, j = np.nonzero(np.triu(linked) if own else linked)
+                i, j, jaccard = x[i], y[j], similar[i, j]
+            else:
+                row, column = _parts(linked)
+                a, b = np.flatnonzero(row < len(x)), np.flatnonzero(column < len(x))
+                weight = linked.astype(np.float64)
+                v, o, partners = x[a], x[row[a]], (weight @ docs[y])[a]
+                if not own:
+                    v, o, partners = np.concatenate([v, y[b]]), np.concatenate([o, x[column[b]]]), np.concatenate([partners, (docs[x] @ weight)[b]])
+                # only texts of ids that have several can be of one id
+                p, q = (np.flatnonzero([bool(several[k]) for k in s]) for s in (x, y))
+                i, j = np.nonzero((np.triu(linked) if own else linked)[np.ix_(p, q)])
+                i, j = x[p[i]], y[q[j]]
+        batches.trim()
+        if expand:
+            return pa.table({"va": pa.array(name[i]), "vb": pa.array(name[j]), "jaccard": pa.array(jaccard)})
+        same = [d for a, b in zip(i.tolist(), j.tolist()) if several[a] and several[b] for d in set(several[a]) & set(several[b])]
+        none, total = [None] * len(same), len(v)
+        return pa.table({
+            "v": pa.array(name[v].tolist() + none, pa.int64()), "o": pa.array(name[o].tolist() + none, pa.int64()),
+            "docs": pa.array(partners.astype(np.int64).tolist() + [-2] * len(same), pa.int64()), "id": pa.array([None] * total + same, pa.int64()),
+        })
 
     return run
 
 
-def verified(documents: DataFrame, shared, known: DataFrame, grouped: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(va, vb, jaccard) of all variant pairs at or above the threshold.
+def _small(known: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
+    """(a_variant, a_rep, b_variant, b_rep, task) of pairs of members of small cells whose sketches allow the threshold.
 
     Pairs are gathered at the least variant that either side meets, so that a set is sent about once to
     each place that compares it, however many partners it has there.
     """
-    side = known.select("grp", "variant", "size", "sketch", F.col("docs")[0].alias("rep"))
+    side = known.select("cell", "variant", "size", "sketch", F.col("docs")[0].alias("rep"))
     left, right = (side.select(*[F.col(c).alias(f"{p}_{c}") for c in side.columns]) for p in "ab")
-    across = grouped.join(left, F.col("a") == F.col("a_grp")).join(right, F.col("b") == F.col("b_grp"))
-    within = left.join(right, (F.col("a_grp") == F.col("b_grp")) & (F.col("a_variant") < F.col("b_variant")))
+    across = met.join(left, F.col("a") == F.col("a_cell")).join(right, F.col("b") == F.col("b_cell"))
+    within = left.join(right, (F.col("a_cell") == F.col("b_cell")) & (F.col("a_variant") < F.col("b_variant")))
     close = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-6
     picked = ["a_variant", "a_rep", "b_variant", "b_rep", "a_size", "b_size", "a_sketch", "b_sketch"]
 
@@ -338,7 +475,7 @@ def verified(documents: DataFrame, shared, known: DataFrame, grouped: DataFrame,
             # |x and y| = (|x| + |y| - unshared) / 2 must reach t / (1 + t) (|x| + |y|)
             yield batch.select(picked[:4]).filter(pa.array(least <= total * (1 - threshold) / (1 + threshold) + 1e-6))
 
-    pairs = across.where(close).select(*picked).union(within.select(*picked)).mapInArrow(near, "a_variant long, a_rep long, b_variant long, b_rep long")
+    pairs = across.select(*picked).union(within.select(*picked)).where(close).mapInArrow(near, "a_variant long, a_rep long, b_variant long, b_rep long")
     pairs = batches.cut(pairs)
     ends = pairs.select(F.col("a_variant").alias("v"), F.col("b_variant").alias("o")).union(pairs.select("b_variant", "a_variant"))
     least = ends.groupBy("v").agg(F.least(F.first("v"), F.min("o")).alias("home"))
@@ -349,35 +486,82 @@ def verified(documents: DataFrame, shared, known: DataFrame, grouped: DataFrame,
     blocks = F.ceil(F.sqrt(2.0 * F.col("pairs")) / BLOCK).cast("long")
     placed = placed.join(sizes, "home").withColumn("blocks", blocks)
     block = lambda p: F.pmod(F.xxhash64(f"{p}_variant"), F.col("blocks"))
-    placed = batches.cut(placed.withColumn("x", block("a")).withColumn("y", block("b")).select(
+    return batches.cut(placed.withColumn("x", block("a")).withColumn("y", block("b")).select(
         "a_variant", "a_rep", "b_variant", "b_rep", F.xxhash64("home", F.least("x", "y"), F.greatest("x", "y")).alias("task")))
-    needed = placed.select(F.col("a_rep").alias("rep"), F.col("a_variant").alias("variant"), "task").union(placed.select("b_rep", "b_variant", "task"))
-    needed = needed.groupBy("rep", "variant").agg(F.collect_set("task").alias("tasks"))
+
+
+def _large(known: DataFrame, met: DataFrame, big: DataFrame) -> DataFrame:
+    """(rep, variant, task, side) of blocks of large cells, which meet one another and blocks of all cells that are candidates of theirs.
+
+    met has (host, guest), of which the host is large; a pair of cells is there once.
+    """
+    one = known.select("cell", "variant", F.col("docs")[0].alias("rep"), "size")
+    guests = batches.cut(met.join(one, F.col("guest") == F.col("cell")).select("host", "variant", "rep", "size"))
+    rows = guests.groupBy("host").agg(_blocks(F.count("*"), F.sum("size")).alias("chunks"))
+    hosts = big.join(rows, F.col("cell") == F.col("host"), "left").select(F.col("cell").alias("host"), "blocks", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    # apart from the hash that places rows, which the rows of a cell would share
+    at = lambda parts: F.pmod(F.xxhash64("variant", F.lit(1)), F.col(parts))
+    home = one.join(hosts, F.col("cell") == F.col("host")).withColumn("at", at("blocks"))
+    other = home.select("host", "rep", "variant", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
+    inner = other.select("rep", "variant", F.xxhash64("host", F.lit(0), F.least("at", "to"), F.greatest("at", "to")).alias("task"), F.expr("CASE WHEN at = to THEN 2 WHEN at < to THEN 0 ELSE 1 END").alias("side"))
+    outer = home.where("chunks > 0").select("host", "rep", "variant", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("to"))
+    outer = outer.select("rep", "variant", F.xxhash64("host", F.lit(1), "at", "to").alias("task"), F.lit(0).alias("side"))
+    guest = guests.join(hosts, "host").withColumn("at", at("chunks"))
+    guest = guest.select("host", "rep", "variant", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"))
+    return inner.union(outer).union(guest.select("rep", "variant", F.xxhash64("host", F.lit(1), "to", "at").alias("task"), F.lit(1).alias("side")))
+
+
+def _blocks(sets, grams):
+    return F.ceil(F.greatest(sets / BLOCK_SETS, grams / BLOCK_GRAMS)).cast("long")
+
+
+def verified(documents: DataFrame, shared, floor: int, known: DataFrame, met: DataFrame, several: DataFrame | None, n: int, threshold: float, expand: bool) -> DataFrame:
+    """What ``_verify`` finds in all pairs of variants at or above the threshold; each pair is compared in one task."""
+    big = known.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("size").alias("grams")).where(F.col("sets") >= DENSE)
+    big = batches.cut(big.select("cell", _blocks(F.col("sets"), F.col("grams")).alias("blocks")))
+    a, b = (big.select(F.col("cell").alias(p), F.col("blocks").alias(f"{p}_blocks")) for p in "ab")
+    met = batches.cut(met.join(a, "a", "left").join(b, "b", "left"))
+    placed = _small(known.join(big, "cell", "left_anti"), met.where("a_blocks IS NULL AND b_blocks IS NULL").select("a", "b"), threshold)
+    first = F.expr("b_blocks IS NULL OR a_blocks >= b_blocks")
+    hosted = met.where("a_blocks IS NOT NULL OR b_blocks IS NOT NULL").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"))
+    needed = placed.select(F.col("a_rep").alias("rep"), F.col("a_variant").alias("variant"), "task", F.lit(2).alias("side")).union(placed.select("b_rep", "b_variant", "task", F.lit(2)))
+    needed = needed.union(_large(known, hosted, big)).groupBy("rep", "variant").agg(F.collect_set(F.struct("task", "side")).alias("tasks"))
+    needed = batches.cut(needed)
     few = batches.fits_broadcast(needed, BROADCAST_ROWS)
-    texts = _texts(documents).join(F.broadcast(needed) if few else needed, F.col("doc_id") == F.col("rep")).select("text", "variant", "tasks")
+    # what is counted of a variant goes with its set
+    told = known.select("variant", F.size("docs").alias("copies"))
+    told = told.join(several, "variant", "left") if several is not None else told.withColumn("several", F.lit(None).cast("array<long>"))
+    needed = needed.join(told, "variant")
+    texts = _texts(documents).join(F.broadcast(needed) if few else needed, F.col("doc_id") == F.col("rep")).select("text", "variant", "tasks", "copies", "several")
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = Sets(batch.column("text"), n, threshold, shared.value)
+        sets = Sets(batch.column("text"), n, threshold, shared.value, floor)
         wanted = batch.column("variant").to_numpy(zero_copy_only=False)
-        task, variant, values = [], [], []
+        row, task, side, values = [], [], [], []
         for i, tasks in enumerate(batch.column("tasks").to_pylist()):
             if sets.set[i] == wanted[i]:  # a doc_id may have several texts
                 raw = _pack(np.sort(textvec.mix(sets.value[sets.at[i] : sets.at[i + 1]]) >> np.uint64(16)), 32)
                 for t in tasks:
-                    task.append(t), variant.append(wanted[i]), values.append(raw)
-        return pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array(variant, pa.int64()), pa.array(values, pa.binary())], ["task", "variant", "values"])
+                    row.append(i), task.append(t["task"]), side.append(t["side"]), values.append(raw)
+        own = pa.array(row, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array(side, pa.int32()), *(batch.column(c).take(own) for c in ("variant", "copies", "several")), pa.array(values, pa.binary())], ["task", "side", "variant", "copies", "several", "values"])
 
-    sent = batches.map_text(texts, send, "task long, variant long, values binary")
+    sent = batches.map_text(texts, send, "task long, side int, variant long, copies int, several array<long>, values binary")
     ask = placed.select(F.col("a_variant").alias("va"), F.col("b_variant").alias("vb"), "task")
-    return ask.groupBy("task").cogroup(sent.groupBy("task")).applyInArrow(_verify(threshold), "va long, vb long, jaccard double")
+    return ask.groupBy("task").cogroup(sent.groupBy("task")).applyInArrow(_verify(threshold, expand), FOUND[expand])
 
 
-def _joined(documents: DataFrame, n: int, threshold: float) -> tuple:
-    """The broadcast order of n-grams, all variants, and the pairs of them that are near."""
-    shared = documents.sparkSession.sparkContext.broadcast(frequent(documents, n))
-    known = variants(documents, shared, n, threshold)
-    grouped = candidates(documents, shared, n, threshold)
-    return shared, known, batches.cut(verified(documents, shared, known, grouped, n, threshold))
+def _joined(documents: DataFrame, n: int, threshold: float, expand: bool = False) -> tuple:
+    """The broadcast order of n-grams, all variants, what is found in pairs of them that are near, and (variant, id) of doc_ids that have several variants."""
+    ranks = frequent(documents, n)
+    shared, floor = documents.sparkSession.sparkContext.broadcast(ranks), cell_rank(ranks)
+    known = variants(documents, shared, floor, n, threshold)
+    met = candidates(documents, shared, floor, n, threshold)
+    owners = known.select("variant", F.explode("docs").alias("id"))
+    repeated = batches.cut(owners.groupBy("id").count().where("count > 1").select("id"))
+    repeated = None if repeated.isEmpty() else batches.cut(owners.join(repeated, "id").select("variant", "id"))
+    several = None if repeated is None else repeated.groupBy("variant").agg(F.collect_list("id").alias("several"))
+    return shared, known, batches.cut(verified(documents, shared, floor, known, met, several, n, threshold, expand)), repeated
 
 
 def pairs(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -386,7 +570,7 @@ def pairs(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
     Variants are expanded to their members last, in blocks of ids that are spread over all tasks, so that the pairs of a large
     group do not fall to one of them.
     """
-    _, known, found = _joined(documents, n, threshold)
+    _, known, found, _ = _joined(documents, n, threshold, True)
     steps = f"transform(sequence(0, (size(docs) - 1) div {MEMBERS}), i -> struct(i AS at, slice(docs, i * {MEMBERS} + 1, {MEMBERS}) AS docs))"
     blocks = known.select("variant", F.explode(F.expr(steps)).alias("block")).select("variant", "block.at", "block.docs")
     a, b = (blocks.select(F.col("variant").alias(f"v{p}"), F.col("at").alias(f"at_{p}"), F.col("docs").alias(f"docs_{p}")) for p in "ab")
@@ -399,6 +583,27 @@ def pairs(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
     return one.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def classes(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) of every document: the least doc_id that links lead to, and how many pairs at or above the threshold it is in."""
+    _, known, found, repeated = _joined(documents, n, threshold)
+    edges = found.where("v != o").select(F.col("v").alias("a"), F.col("o").alias("b"))
+    if repeated is not None:
+        # the texts of an id are of one class
+        least = repeated.groupBy("id").agg(F.min("variant").alias("a"))
+        edges = edges.union(repeated.join(least, "id").where("a != variant").select("a", "variant"))
+    labels = components(edges).select(F.col("node").alias("variant"), "label")
+    partners = found.where("v IS NOT NULL").groupBy(F.col("v").alias("variant")).agg(F.sum("docs").alias("partners"))
+    placed = known.select("variant", "docs").join(labels, "variant", "left").join(partners, "variant", "left")
+    placed = batches.cut(placed.select(F.coalesce("label", "variant").alias("label"), "docs", (F.coalesce("partners", F.lit(0)) + F.size("docs") - 1).alias("links")))
+    least = placed.groupBy("label").agg(F.min(F.col("docs")[0]).alias("class_id"))
+    rows = placed.join(least, "label").select(F.explode("docs").alias("doc_id"), "class_id", "links")
+    no_class = F.lit(None).cast("long").alias("class_id")
+    rows = rows.union(found.where("id IS NOT NULL").select("id", no_class, "docs"))
+    rows = rows.union(documents.select(F.col("doc_id").cast("long").alias("doc_id"), no_class, F.lit(0).cast("long")).where("doc_id IS NOT NULL"))
+    rows = rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of edges (a, b).
 
@@ -422,8 +627,8 @@ def keep_one(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     A document is a doc_id with a variant: each text of a doc_id that has several stays or goes with its own group, and one row of
     those that repeat a document stays. Texts without words are in no group.
     """
-    shared, known, found = _joined(documents, n, threshold)
-    labels = components(found.select(F.col("va").alias("a"), F.col("vb").alias("b")))
+    shared, known, found, _ = _joined(documents, n, threshold)
+    labels = components(found.where("v != o").select(F.col("v").alias("a"), F.col("o").alias("b")))
     placed = known.join(labels, known["variant"] == labels["node"], "left").select(F.coalesce("label", "variant").alias("label"), "variant", "docs")
     least = placed.groupBy("label").agg(F.min(F.struct(F.col("docs")[0].alias("id"), "variant")).alias("kept"))
     least = placed.select("label", "variant", F.explode("docs").alias("id")).join(least, "label")
@@ -458,16 +663,21 @@ def _with_variant(documents: DataFrame, shared, n: int, threshold: float, varian
 
 
 def op(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(batches.read(spark, sf_dir, "documents"))
+    return classes(batches.read(spark, sf_dir, "documents"))
 
 
 ORACLE = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{textvec.WORD_SQL}') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '{textvec.WORD_SQL}') AS w FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
       ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i : i + {N - 1}], ' ')) END)) AS grams FROM w WHERE len(w) > 0),
-d AS (SELECT row_number() OVER (ORDER BY doc_id) AS d, doc_id, grams, len(grams) AS n FROM s),
+d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS d, doc_id, grams, len(grams) AS n FROM s),
 g AS (SELECT d, doc_id, unnest(grams) AS g FROM d),
-c AS (SELECT a.d AS da, b.d AS db, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.d, b.d)
-SELECT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b, round(common / (x.n + y.n - common), 6) AS jaccard
-FROM c JOIN d x ON x.d = c.da JOIN d y ON y.d = c.db WHERE common / (x.n + y.n - common) >= {THRESHOLD}
+c AS (SELECT a.d AS da, b.d AS db, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.d, b.d),
+p AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM c JOIN d x ON x.d = c.da JOIN d y ON y.d = c.db WHERE common / (x.n + y.n - common) >= {THRESHOLD}),
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a AS doc_id, b AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+l AS (SELECT a AS doc_id, count(*) AS links FROM e GROUP BY a),
+m AS (SELECT doc_id, min(other) AS least FROM r GROUP BY doc_id)
+SELECT i.doc_id, least(i.doc_id, coalesce(m.least, i.doc_id)) AS class_id, coalesce(l.links, 0) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) i LEFT JOIN l ON l.doc_id = i.doc_id LEFT JOIN m ON m.doc_id = i.doc_id
 """

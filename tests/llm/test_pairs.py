@@ -57,6 +57,79 @@ def test_pairs_equal_brute_force(spark):
         assert pairs(documents(spark, texts), n, threshold) == brute(enumerate(texts), n, threshold), (n, threshold)
 
 
+def in_classes(rows, n=2, threshold=0.7):
+    """Classes and numbers of links, from (doc_id, text)."""
+    linked = brute(rows, n, threshold)
+    label = {i: i for i, _ in rows if i is not None}
+    for _ in label:
+        for i, j, _ in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    return sorted((i, label[i], sum(i in p[:2] for p in linked)) for i in label)
+
+
+def clusters():
+    """Large groups of near copies, some of which are not near one another, beside texts of their own."""
+    rng = random.Random(6)
+    texts = []
+    for size, words in ((70, 60), (40, 30), (12, 200)):
+        base = [f"b{rng.randrange(400)}" for _ in range(words)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, words // 10)):
+                w[rng.randrange(words)] = f"x{rng.randrange(2000)}"
+            texts.append(" ".join(w[: rng.randint(words * 3 // 4, words)]))
+    return texts + texts[:9] + copies(9, 20) + [None, "", "..."]
+
+
+def test_classes_equal_brute_force(spark, monkeypatch):
+    rows = list(enumerate(clusters()))
+    # doc_ids of several texts, some of which are near one another; a row that repeats; no doc_id
+    rows += [(3, rows[4][1]), (3, rows[80][1]), (200, rows[115][1]), (200, "stands alone"), (5, rows[5][1]), (5, rows[5][1]), (None, rows[6][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, linked = in_classes(rows), brute(rows, 2, 0.7)
+    assert max(w[2] for w in want) > 30 and len(linked) > 5 * len(want)
+    # cells are compared as blocks, or pair by pair
+    for dense, rank, block in ((3, 2, 7), (10**9, 5, 1024)):
+        monkeypatch.setattr(ngram_join, "DENSE", dense)
+        monkeypatch.setattr(ngram_join, "CELL_RANK", rank)
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+        assert sorted(tuple(r) for r in ngram_join.classes(docs).collect()) == want
+        assert pairs(docs) == linked
+    assert ngram_join.classes(docs.limit(0)).count() == 0
+
+
+def test_pairs_of_a_cluster_are_not_sent(spark):
+    """Rows of near copies grow as the copies do, in what the tasks find and before."""
+    rng = random.Random(1)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        w[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = ngram_join.frequent(docs)
+    shared, floor = spark.sparkContext.broadcast(ranks), ngram_join.cell_rank(ranks)
+    assert ngram_join.candidates(docs, shared, floor, 2, 0.7).count() < 200
+    assert ngram_join._joined(docs, 2, 0.7)[2].count() < 3 * 200
+    assert {tuple(r) for r in ngram_join.classes(docs).collect()} == {(i, 0, 199) for i in range(200)}
+
+
+def test_full_cells_of_the_order_make_no_cells():
+    assert ngram_join.cell_rank(np.zeros(16, np.uint8)) == ngram_join.CELL_RANK
+    assert ngram_join.cell_rank(np.full(16, 6, np.uint8)) == 6 + ngram_join.ABOVE_MEDIAN
+
+
+def test_common_counts_equal_sets(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(ngram_join, "ADDED", 50)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, rng.integers(1, 40)), 10**6 + rng.integers(0, 5000, rng.integers(0, 300))])).astype(np.uint64) for _ in range(90)]
+    p, q = sets[:40], sets[40:]
+    got = ngram_join.common(p, q)
+    assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in q] for x in p] and got.any()
+    assert not ngram_join.common([np.array([1], np.uint64)], [np.array([2], np.uint64)]).any()
+
+
 def test_members_are_expanded_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "MEMBERS", 2)
     long = " ".join(f"w{i}" for i in range(50))
