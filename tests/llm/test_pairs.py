@@ -227,6 +227,33 @@ def test_tiles_equal_brute_force(spark):
     assert embedding_tiles.pairs(df.limit(0)).count() == 0
 
 
+def test_classes_of_vectors_equal_brute_force(spark):
+    """Chains and copies, across tiles and widths; vectors without a partner, and rows that have none to compare, are a class each."""
+    rng = np.random.default_rng(7)
+    angles = np.concatenate([np.arange(0, 2, 0.2), rng.uniform(2.5, 6, 12)])
+    rows = [(i, [float(np.cos(a)), float(np.sin(a)), 0.0]) for i, a in enumerate(angles)]
+    x = rng.normal(size=(30, 6))
+    rows += [(len(rows) + i, v) for i, v in enumerate([*x.tolist(), *(x[:9] + 0.02 * rng.normal(size=(9, 6))).tolist(), *x[:1].tolist() * 8])]
+    rows += [(0, x[29].tolist()), (9998, None), (9997, [0.0] * 6), (9996, [1.0]), (None, x[0].tolist())]
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i is not None and v and any(v)]
+    linked = [(i, j) for (i, a), (j, b) in itertools.combinations(unit, 2) if i != j and len(a) == len(b) and a @ b >= 0.95]
+    label = {i: i for i, _ in rows if i is not None}
+    for _ in label:
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for tile in (6, 4096):
+        assert {tuple(r) for r in embedding_tiles.classes(df, 0.95, tile).collect()} == set(label.items())
+    assert len(set(label.values())) < len(label) - 20 and embedding_tiles.classes(df.limit(0)).count() == 0
+
+
+def test_stars_connect_the_same_ids():
+    p, q = (np.array(x) for x in zip(*itertools.combinations(range(10, 200), 2)))
+    a, b = embedding_tiles.stars(np.concatenate([p, [1, 2, 3]]), np.concatenate([q, [2, 3, 4]]))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(1, i) for i in (2, 3, 4)] + [(10, i) for i in range(11, 200)]
+    assert [len(x) for x in embedding_tiles.stars(p[:0], q[:0])] == [0, 0]
+
+
 def test_tiles_compare_every_width(spark):
     rng = np.random.default_rng(1)
     rows = []
