@@ -3,7 +3,7 @@
 A document is the set of its word n-grams. Under one order of all n-grams, two sets with Jaccard
 similarity t or more share an n-gram among their first |x| - ceil(t |x|) + 1, their prefixes; of the smaller set the first
 |y| - ceil(2t / (1 + t) |y|) + 1 will do. Documents
-with the same prefix and size are one cell, and so are those that share the rarest n-gram of many documents in their prefixes and are near in size:
+with the same prefix and size are one cell, and so are those of a class of sizes whose prefixes, of the n-grams that many documents have, begin with the same one at the frequency that most of these have:
 texts with many near copies. Cells that hold a common prefix n-gram and whose sizes
 allow the threshold are candidates. Members of small cells are paired, compared by parity sketches that bound
 the overlap from above, and what is left is verified on the whole sets; large cells are cut into blocks, and all members of two blocks
@@ -208,10 +208,15 @@ class Sets:
         self.steps = np.minimum(np.log(np.maximum(self.size, 1)) * SIZE_STEPS, VISITOR - 1).astype("<u2")
         # two sets near enough in size are of one class or of neighbours
         self.kind = (self.steps // (slack(threshold) + 1)).astype(np.uint64)
-        rare = np.concatenate([[0], np.cumsum(value >> np.uint64(56) < floor)])
-        rare = rare[self.at[1:]] - rare[self.at[:-1]]
-        many = np.flatnonzero(rare < self.prefix)
-        self.cell[many] = (textvec.mix(value[self.at[:-1][many] + rare[many]] + (self.kind[many] + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(16)).view(np.int64)
+        # near copies share the n-grams of the rank that most of the prefix has, whatever was put into each
+        rank = value[self.where] >> np.uint64(56)
+        often = np.flatnonzero(rank >= floor)
+        row = np.repeat(np.arange(len(self.size)), self.prefix)[often]
+        first, long = _runs(row.astype(np.uint64) << np.uint64(8) | rank[often])
+        order = np.lexsort((long, row[first]))
+        order = order[np.append(np.diff(row[first][order]) > 0, True)] if len(order) else order
+        many, key = row[first][order], value[self.where][often[first[order]]]
+        self.cell[many] = (textvec.mix(key + (self.kind[many] + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(16)).view(np.int64)
 
     def sketch(self, i: int) -> bytes:
         """Parity of how many members fall on each of about as many bits as there are members, 64 at least."""

@@ -115,6 +115,21 @@ def test_pairs_of_a_cluster_are_not_sent(spark):
     assert {tuple(r) for r in ngram_join.classes(docs).collect()} == {(i, 0, 199) for i in range(200)}
 
 
+def test_edits_of_middling_frequency_leave_near_copies_in_one_cell():
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(6):
+            w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    ranks = np.random.default_rng(3).choice([0, 6], 1 << 16, p=[0.5, 0.5]).astype(np.uint8)
+    ranks[(ngram_join._sets(pa.array([" ".join(base)]), 2)[0] >> np.uint64(48)).astype(np.int64)] = 9
+    cells = ngram_join.Sets(pa.array(texts), 2, 0.7, ranks).cell
+    assert np.unique(cells, return_counts=True)[1].max() > 200
+
+
 def test_full_cells_of_the_order_make_no_cells():
     assert ngram_join.cell_rank(np.zeros(16, np.uint8)) == ngram_join.CELL_RANK
     assert ngram_join.cell_rank(np.full(16, 6, np.uint8)) == 6 + ngram_join.ABOVE_MEDIAN
