@@ -72,6 +72,20 @@ def test_categories_and_analogies(spark):
     assert (first["target"], first["similarity"], first["shared_relations"]) == ("bob", 1.0, ["LIVES_IN", "WORKS_FOR"])
 
 
+def test_categories_group_fingerprints_not_pairs(spark, monkeypatch):
+    """Sixty alike people are one group without an edge between any two of them; those of a second fingerprint close to it belong too."""
+    counted = []
+    whole = graph.components
+    monkeypatch.setattr(graph, "components", lambda e: counted.append(e.count()) or whole(e))
+    people = [f"p{i:02}" for i in range(60)]
+    items = [(p, r, to) for p in people for r, to in (("WORKS_FOR", "acme"), ("LIVES_IN", "rome"), ("OWNS", "car"))] + [(p, "USES", "pen") for p in people[50:]]
+    nodes = spark.createDataFrame([(p, "person") for p in people] + [("acme", "org"), ("rome", "city"), ("car", "thing"), ("pen", "tool")], "name string, type string")
+    rows = graph.categories(edges(spark, items), nodes, largest=100).where("type = 'person'").collect()
+    assert [(r["label"], r["members"], r["relations"]) for r in rows] == [("p00", people, ["LIVES_IN", "OWNS", "WORKS_FOR"])]
+    assert counted == [1]
+    assert graph.categories(edges(spark, items), nodes, largest=59).where("type = 'person'").count() == 0
+
+
 def test_names_resolve_exactly_first(spark):
     nodes = spark.createDataFrame([("Rome", 1), ("ROME", 2)], "name string, seq long")
     aliases = spark.createDataFrame([("eternal city", "Rome")], "alias string, canonical string")
