@@ -86,6 +86,22 @@ def test_categories_group_fingerprints_not_pairs(spark, monkeypatch):
     assert graph.categories(edges(spark, items), nodes, largest=59).where("type = 'person'").count() == 0
 
 
+def test_pairs_of_alike_nodes_are_spread(spark, monkeypatch):
+    """Blocks of few names: no pair is lost or doubled, and the pairs are multiplied out in as many tasks as their number asks for."""
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    monkeypatch.setattr(graph, "TASK_PAIRS", 100)
+    kinds = {f"n{i:02}": i % 3 for i in range(50)}
+    counts = {0: {"R": 3}, 1: {"R": 3, "S": 1}, 2: {"S": 2}}
+    prints = spark.createDataFrame([(name, "out", rel, "t", n) for name, kind in kinds.items() for rel, n in counts[kind].items()], "name string, dir string, rel string, type string, n long")
+    nodes = spark.createDataFrame([(name, "own") for name in kinds], "name string, type string")
+    found = graph.fingerprint_pairs(prints, nodes)
+    near = 9 / (3 * 10**0.5)
+    want = {(a, b, 1.0 if kinds[a] == kinds[b] else round(near, 6)) for a in kinds for b in kinds if a < b and (kinds[a] == kinds[b] or {kinds[a], kinds[b]} == {0, 1})}
+    rows = [(r["a"], r["b"], round(r["cosine"], 6)) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert found.rdd.getNumPartitions() >= 8
+
+
 def test_names_resolve_exactly_first(spark):
     nodes = spark.createDataFrame([("Rome", 1), ("ROME", 2)], "name string, seq long")
     aliases = spark.createDataFrame([("eternal city", "Rome")], "alias string, canonical string")
