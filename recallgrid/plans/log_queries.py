@@ -196,7 +196,7 @@ def stale_events(spark, sf):
 
 @query("SELECT id, event_id FROM (SELECT event_id AS id, event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-14 00:00:00' AND TIMESTAMP '2024-01-17 23:59:59')")
 def calendar_window(spark, sf):
-    e = s.table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("start"))
+    e = s.table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"))
     return calendar.window(e, "2024-01-15", 1, 2).select("id", "event_id")
 
 

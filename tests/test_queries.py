@@ -38,3 +38,14 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert rows == sorted((tuple(plain(r[i]) for i in order) for r in cursor.fetchall()), key=repr)
+
+
+def test_window_ends_with_its_last_second(spark, tmp_path):
+    stamps = ["2024-01-13 23:59:59.999999", "2024-01-14 00:00:00", "2024-01-17 23:59:58.9", "2024-01-17 23:59:59", "2024-01-17 23:59:59.000001", "2024-01-17 23:59:59.5", "2024-01-16 23:59:59.5", "2024-01-18 00:00:00"]
+    rows = ", ".join(f"({i}, TIMESTAMP '{t}')" for i, t in enumerate(stamps))
+    path = f"{tmp_path}/events.parquet"
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM (VALUES {rows}) v(event_id, ts)) TO '{path}' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    got = sorted(tuple(r) for r in catalog.QUERIES["calendar_window"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(catalog.ORACLE_SQL["calendar_window"]).fetchall()) and [i for i, _ in got] == [1, 2, 3, 6]
