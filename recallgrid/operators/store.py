@@ -149,3 +149,8 @@ def merge_attrs(winner: Column, loser: Column) -> Column:
     """Two attribute maps; the winner's values win."""
     rest = F.map_filter(loser, lambda k, v: ~F.map_contains_key(winner, k))
     return F.map_concat(winner, rest)
+
+
+def spread(rows: DataFrame, per_task: int = 20_000) -> DataFrame:
+    """rows in parts of about per_task each, for work that costs much a row: a narrow table is few bytes, so the reader makes few tasks of it."""
+    return rows.repartition(max(1, -(-rows.count() // per_task)))

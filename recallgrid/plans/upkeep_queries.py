@@ -68,7 +68,7 @@ def entity_candidates(spark, sf):
     """A leading preposition or verb comes off, repeats, line breaks, long spans and lower-case phrases go."""
     own = F.concat(F.lit("Ann  Lee "), F.col("c_custkey").cast("string"))
     raw = F.array(own, F.lit("from Prague"), F.lit("PRAGUE"), F.lit("a\nb"), F.lit("see Rome"), F.lit("one of the many phrases"), F.lit("x" * 61), F.lit(None), F.upper(own), F.lit("visits"))
-    return s.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.array_join(text.tidy_entities(raw), "|").alias("names"))
+    return store.spread(s.table(spark, sf, "customer").select("c_custkey")).select(F.col("c_custkey").alias("k"), F.array_join(text.tidy_entities(raw), "|").alias("names"))
 
 
 _PLACES = "VALUES ('prague', 'Prague'), ('chicago', 'Chicago City'), ('rome', 'Rome')"

@@ -65,3 +65,13 @@ def test_stamp_and_bump(spark):
     assert rows(store.stamp_source(facts, stamps), "fact_id", "source_ref") == [(1, "a"), (2, "set")]
     shown = spark.createDataFrame([("c1", 1), ("c1", 1), ("c2", 1), ("c2", None)], "call string, fact_id long")
     assert rows(store.bump_retrieval(facts, shown), "fact_id", "retrieval_count") == [(1, 2), (2, 0)]
+
+
+def test_costly_rows_are_spread(spark, tmp_path):
+    """A small file of many rows makes several tasks, also in the query that needs them."""
+    from recallgrid.plans import catalog
+
+    spark.range(50_000).coalesce(1).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found = catalog.QUERIES["entity_candidates"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 3 and found.count() == 50_000
+    assert store.spread(spark.range(0)).count() == 0
