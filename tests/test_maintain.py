@@ -36,3 +36,33 @@ def test_vectors_and_names(spark):
     edge, node = chunk["edges"].first(), chunk["nodes"].first()
     assert (edge["src"], edge["src_tag"]) == ("One and three", "chunk") and (node["name"], node["attrs"]) == ("One and three", '{"chunk_fact_id":101}')
     assert chunk["facts"].first()["content"] == "one+three" and chunk["chunk_members"].count() == 2 and chunk["edges"].first()["dst"] == "Ann"
+
+
+def test_shared_pairs_have_tasks_by_their_number(spark, monkeypatch):
+    """Repeated links, nulls and hubs; as many tasks as the pairs ask for; large components are counted, not gathered."""
+    import random
+    from collections import Counter
+
+    from recallgrid.operators import consolidate
+
+    monkeypatch.setattr(consolidate, "TASK_PAIRS", 50)
+    rng = random.Random(3)
+    rows = [(rng.randrange(60), rng.randrange(30)) for _ in range(200)] + [(f, 99) for f in range(60)] + [(None, 1), (5, None), (7, 3), (7, 3)]
+    links = spark.createDataFrame(rows, "fact_id long, entity_id long")
+    groups = {}
+    for f, e in rows:
+        if f is not None and e is not None:
+            groups.setdefault(e, []).append(f)
+    shared, small, total = Counter(), set(), 0
+    for facts in groups.values():
+        if 2 <= len(facts) <= 20:
+            total += len(facts) * (len(facts) - 1) // 2
+            for a in facts:
+                for b in facts:
+                    if a < b:
+                        shared[a, b] += 1
+                        if len(facts) <= 6:
+                            small.add((a, b))
+    found = consolidate.shared_pairs(links, 20, 6)
+    assert {(r["a"], r["b"]): (r["shared"], r["small"]) for r in found.collect()} == {p: (n, p in small) for p, n in shared.items()}
+    assert found.rdd.getNumPartitions() == total // 50 + 1
