@@ -66,3 +66,13 @@ def test_shared_pairs_have_tasks_by_their_number(spark, monkeypatch):
     found = consolidate.shared_pairs(links, 20, 6)
     assert {(r["a"], r["b"]): (r["shared"], r["small"]) for r in found.collect()} == {p: (n, p in small) for p, n in shared.items()}
     assert found.rdd.getNumPartitions() == total // 50 + 1
+
+
+def test_large_components_are_counted_only(spark):
+    from recallgrid.operators import consolidate
+
+    chain = spark.createDataFrame([(f, e) for e in range(40) for f in (e, e + 1)] + [(f, 500) for f in (900, 901, 902)], "fact_id long, entity_id long")
+    assert [r["members"] for r in consolidate.clusters(chain).collect()] == [[900, 901, 902]]
+    plan = consolidate.clusters(chain)._jdf.queryExecution().optimizedPlan().toString()
+    # sizes are joined before members are gathered
+    assert "Join" in plan[plan.index("collect_list") :]
