@@ -21,6 +21,16 @@ def visible_edges(edges: DataFrame, hidden: tuple[str, ...] = HIDDEN_TAGS) -> Da
     return edges.where((F.col("src_tag").isNull() | ~F.col("src_tag").isin(*hidden)) & (F.col("rel") != "POSSIBLE_ALIAS"))
 
 
+def seen_edges(log: DataFrame, hidden: tuple[str, ...] = HIDDEN_TAGS) -> DataFrame:
+    """(src, rel, dst, seq) of the edges that are visible after the fold, without the other columns.
+
+    An edge is hidden if its first assertion is. Two least numbers tell that, which are kept in a hash table; a first row of strings would be sorted for.
+    """
+    named = log.where("src <> '' AND dst <> '' AND src <> dst AND rel <> 'POSSIBLE_ALIAS'")
+    first = named.groupBy("src", "rel", "dst").agg(F.min("seq").alias("seq"), F.min(F.when(F.col("src_tag").isin(*hidden), F.col("seq"))).alias("veiled"))
+    return first.where("veiled IS NULL OR veiled > seq").drop("veiled")
+
+
 def single_edges(edges: DataFrame) -> DataFrame:
     """At most one relation from a node to another: the one asserted last."""
     return edges.groupBy("src", "dst").agg(F.max_by("rel", "seq").alias("rel"), F.max("seq").alias("seq"))
@@ -39,10 +49,15 @@ def fold_nodes(log: DataFrame) -> DataFrame:
     return log.groupBy("name").agg(F.coalesce(strong, weak).alias("type"), last)
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """(name) of all ends of edges, each once, in one pass over them."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+
+
 def graph_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, type): listed nodes and all ends of visible edges; unknown types read as concept."""
-    ends = edges.select(F.col("src").alias("name")).union(edges.select("dst")).select("name", F.lit(None).cast("string").alias("type"))
-    return nodes.select("name", "type").union(ends).groupBy("name").agg(F.coalesce(F.max("type"), F.lit("concept")).alias("type"))
+    """(name, type): listed nodes and all ends of visible edges; unknown types read as concept. Ends are made distinct before types are looked at."""
+    rest = ends(edges).select("name", F.lit(None).cast("string").alias("type"))
+    return nodes.select("name", "type").union(rest).groupBy("name").agg(F.coalesce(F.max("type"), F.lit("concept")).alias("type"))
 
 
 def latest(log: DataFrame, key: str, deleted: str | None = None) -> DataFrame:
