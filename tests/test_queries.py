@@ -49,3 +49,15 @@ def test_window_ends_with_its_last_second(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
     got = sorted(tuple(r) for r in catalog.QUERIES["calendar_window"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(catalog.ORACLE_SQL["calendar_window"]).fetchall()) and [i for i, _ in got] == [1, 2, 3, 6]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["fingerprints", "analogize"])
+def test_edges_are_folded_once_for_fingerprints(spark, monkeypatch, name):
+    from recallgrid.operators import store
+
+    folded, fold = [], store.seen_edges
+    monkeypatch.setattr(store, "fold_edges", lambda log: pytest.fail("sorts rows of strings"))
+    monkeypatch.setattr(store, "seen_edges", lambda log: folded.append(1) or fold(log))
+    found = catalog.QUERIES[name](spark, SF)
+    assert found.count() > 0 and len(folded) == 1
